@@ -175,8 +175,7 @@ def content_type(filename: Column) -> Column:
     packed = [e.lstrip(".") for e in known.encodings_map]
     name = F.substring_index(filename, "?", 1)
     for short, long in known.suffix_map.items():
-        stem = F.substring(name, F.lit(1), F.length(name) - len(short))
-        name = F.when(name.endswith(short), F.concat(stem, F.lit(long))).otherwise(name)
+        name = F.regexp_replace(name, re.escape(short) + "$", long)
     bare = F.regexp_replace(name, r"\.(" + "|".join(packed) + ")$", "")
     extension = F.lower(F.regexp_extract(bare, r"[^/](\.[^./]+)$", 1))
     table = F.create_map(*[F.lit(x) for pair in sorted(types.items()) for x in pair])

@@ -11,39 +11,36 @@ from pyspark.sql import Column, functions as F
 # Fixed value: objects nested deeper than this are rejected at ingest, see ``too_deep``.
 MAX_DEPTH = 20
 
-_IS_OBJECT = "schema_of_variant({0}) like 'OBJECT<%'"
-_HAS_FIELDS = "(schema_of_variant({0}) like 'OBJECT<%' and schema_of_variant({0}) <> 'OBJECT<>')"
+# a variant type text names fields only when the object has some: ``OBJECT<a: ...>``
+_OPEN = "schema_of_variant({0}) like 'OBJECT<%:%'"
 
 
 def leaves(body: str, max_depth: int = MAX_DEPTH) -> Column:
-    """``array<struct<path: array<string>, value: variant>>`` of a VARIANT column.
+    """``array<struct<path: array<string>, value: variant, open: boolean>>`` of a VARIANT column.
 
-    Arrays, scalars, explicit nulls and empty objects are leaves. A level that finds no object
-    left to open is skipped, so shallow documents do not pay for ``max_depth``.
+    Arrays, scalars, explicit nulls and empty objects are leaves. Each round opens the objects
+    of one level; rounds that find nothing to open cost one flag check. ``open`` stays true only
+    below the depth limit.
     """
-    text = (
-        f"transform(map_entries(try_variant_get({body}, '$', 'map<string,variant>')), "
-        "x -> named_struct('path', array(x.key), 'value', x.value))"
+
+    def entry(path: str, value: str) -> str:
+        return f"named_struct('path', {path}, 'value', {value}, 'open', {_OPEN.format(value)})"
+
+    fields = "map_entries(try_variant_get({0}, '$', 'map<string,variant>'))"
+    top = f"transform({fields.format(body)}, f -> {entry('array(f.key)', 'f.value')})"
+    opened = (
+        f"flatten(transform(acc, x -> case when x.open then transform({fields.format('x.value')}, "
+        f"y -> {entry('array_append(x.path, y.key)', 'y.value')}) else array(x) end))"
+    )
+    return F.expr(
+        f"aggregate(sequence(2, {max(2, max_depth)}), {top}, "
+        f"(acc, level) -> case when exists(acc, x -> x.open) then {opened} else acc end)"
     )
-    for _ in range(max_depth - 1):
-        text = (
-            "aggregate(array(1), {prev}, (acc, one) -> "
-            "case when exists(acc, x -> {open_x}) then "
-            "flatten(transform(acc, x -> case when {open_x} then "
-            "transform(map_entries(try_variant_get(x.value, '$', 'map<string,variant>')), "
-            "y -> named_struct('path', array_append(x.path, y.key), 'value', y.value)) "
-            "else array(x) end)) else acc end)"
-        ).format(prev=text, open_x=_HAS_FIELDS.format("x.value"))
-    return F.expr(text)
 
 
 def too_deep(all_leaves: Column) -> Column:
-    """True when a leaf still holds an object with fields, i.e. the depth limit was hit."""
-    return F.exists(
-        all_leaves,
-        lambda x: F.schema_of_variant(x["value"]).like("OBJECT<%")
-        & (F.schema_of_variant(x["value"]) != "OBJECT<>"),
-    )
+    """True when the depth limit left an object unopened."""
+    return F.exists(all_leaves, lambda x: x["open"])
 
 
 def is_object(v: Column) -> Column:

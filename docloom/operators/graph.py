@@ -98,12 +98,7 @@ def edges(docs: DataFrame, config: Mapping, doc_type: str) -> DataFrame:
         many = isinstance(dtype, T.ArrayType)
         element = dtype.elementType if many else dtype
         targets = F.coalesce(c, F.array().cast(dtype)) if many else F.array(c)
-        lists.append(
-            F.filter(
-                F.transform(targets, lambda t, f=f, e=element, m=many: _edge_item(t, e, f, m)),
-                lambda e: e["dst_id"].isNotNull(),
-            ).cast(EDGE_ITEM)
-        )
+        lists.append(_edge_items(targets, element, f, many))
     src = next(
         (
             resolve(docs.schema, f["path"])[0].cast("string")
@@ -119,6 +114,11 @@ def edges(docs: DataFrame, config: Mapping, doc_type: str) -> DataFrame:
     )
 
 
+def _edge_items(targets: Column, dtype: T.DataType, f: Mapping, in_list: bool) -> Column:
+    items = F.transform(targets, lambda t: _edge_item(t, dtype, f, in_list))
+    return F.filter(items, lambda e: e["dst_id"].isNotNull()).cast(EDGE_ITEM)
+
+
 def _edge_item(t: Column, dtype: T.DataType, f: Mapping, in_list: bool) -> Column:
     target_id = f["target_id"]
     if isinstance(dtype, T.StructType):

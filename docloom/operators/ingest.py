@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import variants as V
 from ..functions.scalars import iso_text, nan_to_null, text_hash
+from ..session import written
 from .joins import lookup_join
 
 STRUCTURAL = ("_id", "_op_type")
@@ -77,17 +78,18 @@ def clean_body(df: DataFrame) -> DataFrame:
     return df.drop(*STRUCTURAL)
 
 
-def split_missing_identity(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``id`` and ``doc_type``, and the quarantine of those without.
-
-    Null and empty are both missing.
-    """
-    gone = [f"{c} missing" for c in ("id", "doc_type")]
+def missing_identity(id_col: str = "id", type_col: str = "doc_type") -> Column:
+    """Message naming the identity fields that are null or empty; empty when none is."""
     checks = [
-        F.when(F.coalesce(F.length(F.col(c)), F.lit(0)) == 0, F.lit(m))
-        for c, m in zip(("id", "doc_type"), gone)
+        F.when(F.coalesce(F.length(F.col(c)), F.lit(0)) == 0, F.lit(f"{c} missing"))
+        for c in (id_col, type_col)
     ]
-    flagged = df.withColumn("__missing", F.concat_ws("; ", *checks))
+    return F.concat_ws("; ", *checks)
+
+
+def split_missing_identity(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``id`` and ``doc_type``, and the quarantine of those without."""
+    flagged = df.withColumn("__missing", missing_identity())
     good = flagged.filter(F.col("__missing") == "").drop("__missing")
     bad = flagged.filter(F.col("__missing") != "").select(
         F.lit("missing_fields").alias("error_type"),
@@ -122,19 +124,22 @@ def strictly(bad: DataFrame) -> None:
         raise IngestError(f"{first[0]['error_type']}: {first[0]['id']}: {first[0]['message']}")
 
 
-def first_families(df: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
-    """First storage family of every field of every type: ``doc_type, first map<path,family>``.
+def field_families(df: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
+    """First storage family of every field: ``doc_type, path, family``.
 
-    One partial aggregate over (type, path) and one over type; the map is as wide as the
-    type's field list, never as long as its documents.
+    One partial aggregate; the result is as long as the field lists, not as the documents.
     """
-    seen = (
+    return (
         df.select("doc_type", seq, F.explode(_family_entries(V.leaves(body))).alias("e"))
         .filter(F.col("e.family").isNotNull())
         .groupBy("doc_type", F.col("e.path").alias("path"))
         .agg(F.min_by("e.family", seq).alias("family"))
     )
-    return seen.groupBy("doc_type").agg(
+
+
+def family_maps(families: DataFrame) -> DataFrame:
+    """One row per type: ``doc_type, first map<path,family>``."""
+    return families.groupBy("doc_type").agg(
         F.map_from_entries(F.collect_list(F.struct("path", "family"))).alias("first")
     )
 
@@ -160,40 +165,54 @@ def _family_entries(all_leaves: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(all_leaves, expand)))
 
 
-def split_conflicts(
-    df: DataFrame, body: str = "body", seq: str = "seq", known: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Reject documents whose fields do not fit the family seen first.
-
-    ``known`` carries families of documents stored earlier; without it the batch decides.
-    Only the offending document is lost, the rest of the batch is kept.
-    """
-    first = known if known is not None else first_families(df, body, seq)
-    joined = lookup_join(df, first, ["doc_type"], "left")
+def conflicting_paths(first: Column, all_leaves: Column) -> Column:
+    """Paths whose value does not fit the family seen first, or that lie below a plain field."""
 
-    def clash(leaf: Column) -> Column:
-        path = leaf["path"]
-        own_first = F.try_element_at(F.col("first"), V.path_text(path))
-        above = F.when(
+    def below_plain(path: Column) -> Column:
+        return F.when(
             F.size(path) > 1,
             F.exists(
                 F.sequence(F.lit(1), F.size(path) - 1),
                 lambda k: F.coalesce(
-                    F.try_element_at(F.col("first"), V.path_text(F.slice(path, F.lit(1), k)))
-                    != "object",
+                    F.try_element_at(first, V.path_text(F.slice(path, F.lit(1), k))) != "object",
                     F.lit(False),
                 ),
             ),
         ).otherwise(False)
-        return ~V.fits_family(own_first, leaf["value"]) | above
 
-    offending = F.transform(
-        F.filter(V.leaves(body), clash), lambda leaf: V.path_text(leaf["path"])
-    )
-    flagged = joined.withColumn(
-        "__bad", F.when(F.col("first").isNotNull(), offending)
+    def clash(leaf: Column) -> Column:
+        own_first = F.try_element_at(first, V.path_text(leaf["path"]))
+        return ~V.fits_family(own_first, leaf["value"]) | below_plain(leaf["path"])
+
+    return F.transform(F.filter(all_leaves, clash), lambda leaf: V.path_text(leaf["path"]))
+
+
+def flag_conflicts(df: DataFrame, families: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``__bad``: the conflicting paths of each document.
+
+    The family maps (one row per type) meet the documents in a size-checked join.
+    """
+    joined = lookup_join(df, family_maps(families), ["doc_type"], "left")
+    paths = conflicting_paths(F.col("first"), V.leaves(body))
+    return joined.withColumn(
+        "__bad",
+        F.coalesce(
+            F.when(F.col("first").isNotNull(), paths), F.array().cast("array<string>")
+        ),
     ).drop("first")
-    good = flagged.filter(F.coalesce(F.size("__bad"), F.lit(0)) <= 0).drop("__bad")
+
+
+def split_conflicts(
+    df: DataFrame, body: str = "body", seq: str = "seq", known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Reject documents whose fields do not fit the family seen first.
+
+    ``known`` carries families of documents stored earlier; without it the batch decides. Only
+    the offending document is lost, the rest of the batch is kept.
+    """
+    families = known if known is not None else written(field_families(df, body, seq), "families")
+    flagged = flag_conflicts(df, families, body)
+    good = flagged.filter(F.size("__bad") == 0).drop("__bad")
     bad = flagged.filter(F.size("__bad") > 0).select(
         F.lit("BulkIndexError").alias("error_type"),
         "doc_type",
@@ -223,24 +242,3 @@ def normalise(df: DataFrame) -> DataFrame:
             c = F.transform(c, nan_to_null)
         cols.append(c.alias(f.name))
     return df.select(*cols)
-
-
-def change_rows(df: DataFrame, batch: int, now: Column, order: Column | None = None) -> DataFrame:
-    """Turn prepared documents into change-log rows.
-
-    ``seq`` is ``(batch, position)``. Without an explicit order column the position is the
-    partition-ordered row number, which a retried task reproduces.
-    """
-    position = order if order is not None else F.monotonically_increasing_id()
-    return df.select(
-        "doc_type",
-        "id",
-        F.struct(F.lit(batch).cast("long").alias("batch"), position.cast("long").alias("pos")).alias(
-            "seq"
-        ),
-        F.coalesce(F.col("_op_type"), F.lit("index")).alias("op")
-        if "_op_type" in df.columns
-        else F.lit("index").alias("op"),
-        now.alias("ts"),
-        "body",
-    )

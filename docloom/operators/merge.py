@@ -64,9 +64,11 @@ def fold_documents(
         F.struct(
             F.array().cast("array<string>").alias("path"),
             F.parse_json(F.lit("null")).alias("value"),
+            F.lit(False).alias("open"),
         )
     )
-    leaf = F.concat(marker, F.coalesce(V.leaves(body, max_depth), F.filter(marker, lambda x: F.lit(False))))
+    nothing = F.filter(marker, lambda x: F.lit(False))
+    leaf = F.concat(marker, F.coalesce(V.leaves(body, max_depth), nothing))
     exploded = log.select(
         *keys,
         F.col(seq).alias("__seq"),

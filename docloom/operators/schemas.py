@@ -49,7 +49,7 @@ def field_profile(df: DataFrame, body: str = "body", name_pattern: str | None =
         .select(
             "doc_type",
             V.path_text(F.col("leaf.path")).alias("path"),
-            F.schema_of_variant("leaf.value").alias("value_type"),
+            F.regexp_replace(F.schema_of_variant("leaf.value"), r"\(\d+,\d+\)", "").alias("value_type"),
         )
         .groupBy("doc_type", "path", "value_type")
         .agg(F.count("*").alias("n_docs"))
@@ -84,27 +84,26 @@ def link_fields(schema: T.StructType, path: str = "") -> Iterator[tuple[str, boo
             yield from link_fields(dtype, where)
 
 
+def _link_items(path: str, many: bool) -> Column:
+    links = F.col(path) if many else F.array(F.col(path))
+    return F.transform(
+        F.filter(links, lambda x: x.isNotNull() & x["id"].isNotNull()),
+        lambda x: F.struct(
+            F.lit(path.rsplit(".", 1)[-1]).alias("edge"),
+            x["doc_type"].alias("dst_type"),
+            x["id"].cast("string").alias("dst_id"),
+            F.lit(many).alias("many"),
+        ),
+    )
+
+
 def link_edges(df: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """One row per link: ``src_type, src_id, edge, dst_type, dst_id, many``.
 
     All link fields are gathered into one array per document, so the table is read once.
     ``allowed`` (edge, dst_type) keeps only declared targets.
     """
-    parts = []
-    for path, many in link_fields(df.schema):
-        edge = path.rsplit(".", 1)[-1]
-        links = F.col(path) if many else F.array(F.col(path))
-        parts.append(
-            F.transform(
-                F.filter(links, lambda x: x.isNotNull() & x["id"].isNotNull()),
-                lambda x, edge=edge, many=many: F.struct(
-                    F.lit(edge).alias("edge"),
-                    x["doc_type"].alias("dst_type"),
-                    x["id"].cast("string").alias("dst_id"),
-                    F.lit(many).alias("many"),
-                ),
-            )
-        )
+    parts = [_link_items(path, many) for path, many in link_fields(df.schema)]
     if not parts:
         raise ValueError("no link fields: a link is a struct with doc_type and id")
     empty = F.array().cast("array<struct<edge:string,dst_type:string,dst_id:string,many:boolean>>")

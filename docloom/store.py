@@ -1,13 +1,16 @@
 """Document store on plain Parquet: an append-only change log and its folded view.
 
-Layout below ``root``::
+Layout below ``root/tenant``::
 
-    log/batch=<n>/type_key=<lower-case type>/*.parquet     change log
-    errors/error_type=<kind>/batch=<n>/*.parquet           quarantine
-    snapshots/<n>/type_key=.../                            folded state up to batch n
+    log/batch=<n>/outcome=<stored|error kind>/type_key=<lower-case type>/*.parquet
+    families/batch=<n>/*.parquet      field families first seen in batch n
+    snapshots/<n>/type_key=.../       folded state up to batch n
+    commits/*.parquet                 one row per finished batch, drop or snapshot
 
-A batch directory is written by one Spark job, replaying a stream epoch overwrites the same
-directory, so writes are idempotent. Types that differ only in case share a collection.
+A batch is written by one Spark job and becomes visible with its commit row, so a failed or
+replayed job leaves nothing behind that readers see. Readers open only the directories of live
+batches after the newest snapshot; types and outcomes prune by partition. Types that differ only
+in case share a collection.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from .functions.predicates import Clause
 from .operators import ingest, rules
 from .operators.merge import fold_documents
 
-LOG = "doc_type string, id string, seq struct<batch:bigint,pos:bigint>, op string, ts timestamp, body variant, batch long, type_key string"
-ERRORS = "doc_type string, id string, message string, ts timestamp, error_type string, batch long"
+LOG = (
+    "doc_type string, id string, seq struct<batch:bigint,pos:bigint>, op string, ts timestamp, "
+    "body variant, message string, batch long, outcome string, type_key string"
+)
+COMMITS = "batch long, kind string, type_key string"
+FAMILIES = "doc_type string, path string, family string, batch long"
 
 
 class DocumentStore:
@@ -30,42 +37,65 @@ class DocumentStore:
         self.spark = spark
         self.root = f"{root.rstrip('/')}/{tenant}"
 
-    # -- reading ---------------------------------------------------------------------------
+    # -- commits: metadata, one row per batch ----------------------------------------------
 
-    def _read(self, folder: str, schema: str) -> DataFrame:
+    def _commits(self) -> list:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+            return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").collect()
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            return []
+
+    def _commit(self, batch: int, kind: str, type_key: str | None = None) -> None:
+        row = self.spark.range(1).select(
+            F.lit(batch).cast("long").alias("batch"),
+            F.lit(kind).alias("kind"),
+            F.lit(type_key).cast("string").alias("type_key"),
+        )
+        row.write.mode("append").parquet(f"{self.root}/commits")
+
+    @staticmethod
+    def _dropped(commits: list) -> dict[str, int]:
+        """Newest drop of each collection that was ever dropped."""
+        newest: dict[str, int] = {}
+        for c in commits:
+            if c["kind"] == "drop":
+                newest[c["type_key"]] = max(c["batch"], newest.get(c["type_key"], 0))
+        return newest
+
+    def _next_batch(self) -> int:
+        return max((c["batch"] for c in self._commits()), default=0) + 1
+
+    # -- reading ---------------------------------------------------------------------------
+
+    def changes(self, after: int = 0) -> DataFrame:
+        """Rows of all finished batches newer than ``after``, stored and rejected."""
+        live = sorted({c["batch"] for c in self._commits() if c["kind"] == "log"} - {0})
+        paths = [f"{self.root}/log/batch={b}" for b in live if b > after]
+        if not paths:
+            return self.spark.createDataFrame([], LOG)
+        reader = self.spark.read.schema(LOG).option("basePath", f"{self.root}/log")
+        return reader.parquet(*paths)
 
     def log(self, doc_type: str = "*") -> DataFrame:
-        """Change rows, pruned to one collection by its partition."""
-        rows = self._read("log", LOG)
-        snapshot = self._latest_snapshot()
-        if snapshot is not None:
-            base = self._read(f"snapshots/{snapshot}", LOG)
-            rows = base.unionByName(rows.filter(F.col("batch") > snapshot))
+        """Stored changes on top of the newest snapshot, without those of dropped collections."""
+        commits = self._commits()
+        snapshot = max((c["batch"] for c in commits if c["kind"] == "snapshot"), default=0)
+        rows = self.changes(after=snapshot).filter("outcome = 'stored'")
+        if snapshot:
+            base = self.spark.read.schema(LOG).parquet(f"{self.root}/snapshots/{snapshot}")
+            rows = base.unionByName(rows)
         if doc_type != "*":
             rows = rows.filter(F.col("type_key") == doc_type.lower())
+        for key, batch in self._dropped(commits).items():
+            rows = rows.filter((F.col("type_key") != key) | (F.col("batch") > batch))
         return rows
 
     def current(self, doc_type: str = "*") -> DataFrame:
         """Live documents: ``doc_type, id, body VARIANT``."""
-        rows = self.log(doc_type)
-        # one row per collection that was ever dropped
-        dropped = rows.filter("op = 'drop'").groupBy("type_key").agg(F.max("seq").alias("__dropped"))
-        kept = (
-            rows.filter("op <> 'drop'")
-            .join(F.broadcast(dropped) if self._few(dropped) else dropped, "type_key", "left")
-            .filter(F.col("__dropped").isNull() | (F.col("seq") > F.col("__dropped")))
-        )
-        return fold_documents(kept, keys=("type_key", "doc_type", "id")).drop("type_key")
-
-    def _few(self, dropped: DataFrame) -> bool:
-        return dropped.limit(10_001).count() <= 10_000
+        return fold_documents(self.log(doc_type), keys=("doc_type", "id"))
 
     def view(self, doc_type: str, fields: Mapping[str, str]) -> DataFrame:
-        """Typed view: ``id`` plus the named body fields."""
+        """Typed view: ``doc_type, id`` plus the named body fields."""
         return self.current(doc_type).select(
             "doc_type",
             "id",
@@ -73,30 +103,26 @@ class DocumentStore:
         )
 
     def errors(self) -> DataFrame:
-        return self._read("errors", ERRORS)
+        """Quarantine: ``error_type, doc_type, id, message, ts, data``."""
+        return self.changes().filter("outcome <> 'stored'").select(
+            F.col("outcome").alias("error_type"),
+            "doc_type",
+            "id",
+            "message",
+            "ts",
+            F.to_json("body").alias("data"),
+        )
 
     def type_exists(self, doc_type: str) -> bool:
-        return not self.log(doc_type).filter("op <> 'drop'").isEmpty()
+        return not self.log(doc_type).isEmpty()
 
     # -- writing ---------------------------------------------------------------------------
 
-    def _next_batch(self) -> int:
-        newest = self._read("log", LOG).agg(F.max("batch")).first()[0]
-        errors = self._read("errors", ERRORS).agg(F.max("batch")).first()[0]
-        return max(newest or 0, errors or 0, self._latest_snapshot() or 0) + 1
-
     def _write_log(self, rows: DataFrame, batch: int) -> None:
-        rows.withColumn("type_key", F.lower("doc_type")).write.mode("overwrite").partitionBy(
-            "type_key"
-        ).parquet(f"{self.root}/log/batch={batch}")
-
-    def _write_errors(self, bad: DataFrame, batch: int, now: Column) -> None:
-        for kind in ("missing_fields", "jsonschema", "BulkIndexError"):
-            bad.filter(F.col("error_type") == kind).select(
-                "doc_type", "id", "message", now.alias("ts")
-            ).write.mode("overwrite").parquet(
-                f"{self.root}/errors/error_type={kind}/batch={batch}"
-            )
+        rows.withColumn("type_key", F.lower(F.coalesce("doc_type", F.lit("")))).write.mode(
+            "overwrite"
+        ).partitionBy("outcome", "type_key").parquet(f"{self.root}/log/batch={batch}")
+        self._commit(batch, "log")
 
     def put(
         self,
@@ -114,55 +140,75 @@ class DocumentStore:
     ) -> int:
         """Ingest open documents (``doc_type, id, body``) and return the batch number.
 
-        Chain, schema check, identity check and field-family check run in this order; rejected
-        rows go to the quarantine and never stop the batch unless ``strict``.
+        The chain runs first, then the schema check, the identity check and the field-family
+        check. One write carries stored and rejected rows into their outcome partitions, so the
+        documents are computed once for all outcomes. ``strict`` raises on the first rejection
+        before the batch becomes visible.
         """
         number = batch if batch is not None else self._next_batch()
         rows = chain(docs) if chain is not None else docs
         position = F.col(order) if order else F.monotonically_increasing_id()
-        rows = rows.withColumn("__pos", position.cast("long"))
-        good, bad = ingest.split_missing_identity(rows)
-        rejected = [bad]
+        none = F.array().cast("array<string>")
+        broken = none
         for doc_type, schema in (schemas or {}).items():
             full = rules.merge_schemas(rules.BASE_SCHEMA, schema)
             mine = F.col("doc_type") == doc_type
-            broken = F.when(mine, rules.document_violations(full, good, "body")).otherwise(
-                F.array().cast("array<string>")
-            )
-            good, bad = ingest.split_violations(good, broken)
-            rejected.append(bad)
-        good, bad = ingest.split_conflicts(good, seq="__pos", known=self._families(good))
-        rejected.append(bad)
-        all_bad = rejected[0]
-        for more in rejected[1:]:
-            all_bad = all_bad.unionByName(more)
+            broken = F.when(mine, rules.document_violations(full, rows, "body")).otherwise(broken)
+        checked = rows.withColumns(
+            {
+                "__pos": position.cast("long"),
+                "__rules": F.array_join(broken, "; "),
+                "__missing": ingest.missing_identity(),
+            }
+        )
+        passed = checked.filter((F.col("__rules") == "") & (F.col("__missing") == ""))
+        flagged = ingest.flag_conflicts(checked, self._families(passed, number))
+        clash = F.array_join("__bad", "; ")
+        outcome = (
+            F.when(F.col("__rules") != "", "jsonschema")
+            .when(F.col("__missing") != "", "missing_fields")
+            .when(clash != "", "BulkIndexError")
+            .otherwise("stored")
+        )
+        stored = F.col("outcome") == "stored"
+        out = flagged.withColumn("outcome", outcome).select(
+            "doc_type",
+            "id",
+            F.struct(
+                F.lit(number).cast("long").alias("batch"), F.col("__pos").alias("pos")
+            ).alias("seq"),
+            F.lit("update" if upsert else "index").alias("op"),
+            now.cast("timestamp").alias("ts"),
+            F.when(stored, self._sealed(analytic, session, now, archive))
+            .otherwise(F.col("body"))
+            .alias("body"),
+            F.when(~stored, F.concat("__rules", "__missing", clash)).alias("message"),
+            "outcome",
+        )
         if strict:
-            ingest.strictly(all_bad)
-        sealed = good.withColumn("body", self._sealed(good, analytic, session, now, archive))
-        if upsert:
-            sealed = sealed.withColumn("_op_type", F.lit("update"))
-        self._write_log(ingest.change_rows(sealed, number, now, F.col("__pos")), number)
-        self._write_errors(all_bad, number, now)
+            ingest.strictly(
+                out.filter(~stored).select(F.col("outcome").alias("error_type"), "id", "message")
+            )
+        self._write_log(out, number)
         return number
 
-    def _families(self, batch: DataFrame) -> DataFrame:
-        """Field families of stored documents, completed by the batch for new fields."""
-        stored = self._read("log", LOG).filter(F.col("op").isin("index", "update"))
-        earlier = stored.select("doc_type", F.col("seq").alias("__order"), "body")
-        later = batch.select(
-            "doc_type",
-            F.struct(F.lit(2**62).alias("batch"), F.col("__pos").alias("pos")).alias("__order"),
-            "body",
+    def _families(self, batch: DataFrame, number: int) -> DataFrame:
+        """Field families: those of earlier batches first, completed by this batch.
+
+        Only the batch is scanned; what older batches decided is kept in a small table.
+        """
+        folder = f"{self.root}/families"
+        ingest.field_families(batch, seq="__pos").write.mode("overwrite").parquet(
+            f"{folder}/batch={number}"
         )
-        return ingest.first_families(earlier.union(later), seq="__order")
+        seen = self.spark.read.schema(FAMILIES).parquet(folder)
+        for key, dropped in self._dropped(self._commits()).items():
+            seen = seen.filter((F.lower("doc_type") != key) | (F.col("batch") > dropped))
+        return seen.groupBy("doc_type", "path").agg(F.min_by("family", "batch").alias("family"))
 
-    def _sealed(
-        self, docs: DataFrame, analytic: str, session: str, now: Column, archive: bool
-    ) -> Column:
+    def _sealed(self, analytic: str, session: str, now: Column, archive: bool) -> Column:
         """Body with identity, provenance and times written into it, addressing fields removed."""
-        fields = F.try_variant_get("body", "$", "map<string,variant>")
-        kept = F.map_filter(fields, lambda k, v: ~k.isin(*ingest.STRUCTURAL))
-        extra = {
+        own = {
             "id": F.col("id").cast("variant"),
             "doc_type": F.col("doc_type").cast("variant"),
         }
@@ -172,14 +218,15 @@ class DocumentStore:
                 merged = F.array_union(
                     F.coalesce(old, F.array().cast("array<string>")), F.array(F.lit(value))
                 )
-                extra[name] = merged.cast("variant")
-            extra["@updated"] = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").cast("variant")
-            extra["@timestamp"] = F.coalesce(
-                F.try_variant_get("body", "$['@timestamp']", "variant"), extra["@updated"]
+                own[name] = merged.cast("variant")
+            own["@updated"] = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").cast("variant")
+            own["@timestamp"] = F.coalesce(
+                F.try_variant_get("body", "$['@timestamp']", "variant"), own["@updated"]
             )
-        own = F.create_map(*[x for n, v in extra.items() for x in (F.lit(n), v)])
-        rest = F.map_filter(kept, lambda k, v: ~k.isin(*extra))
-        return F.to_variant_object(F.map_concat(rest, own))
+        fields = F.try_variant_get("body", "$", "map<string,variant>")
+        rest = F.map_filter(fields, lambda k, v: ~k.isin(*ingest.STRUCTURAL, *own))
+        added = F.create_map(*[x for n, v in own.items() for x in (F.lit(n), v)])
+        return F.to_variant_object(F.map_concat(rest, added))
 
     def delete(self, ids: DataFrame, now: Column) -> int:
         """Tombstones for ``doc_type, id`` rows (delete by id)."""
@@ -192,43 +239,29 @@ class DocumentStore:
                 F.monotonically_increasing_id().alias("pos"),
             ).alias("seq"),
             F.lit("delete").alias("op"),
-            now.alias("ts"),
+            now.cast("timestamp").alias("ts"),
             F.lit(None).cast("variant").alias("body"),
+            F.lit(None).cast("string").alias("message"),
+            F.lit("stored").alias("outcome"),
         )
         self._write_log(rows, number)
         return number
 
-    def delete_by_query(self, doc_type: str, fields: Mapping[str, str], clause: Clause, now: Column):
+    def delete_by_query(
+        self, doc_type: str, fields: Mapping[str, str], clause: Clause, now: Column
+    ) -> int:
         """Tombstones for every document of a typed view that satisfies the clause."""
         hits = self.view(doc_type, fields)
         return self.delete(hits.filter(clause(hits)).select("doc_type", "id"), now)
 
-    def drop(self, doc_type: str, now: Column) -> int:
-        """Forget a collection; later documents start it afresh."""
+    def drop(self, doc_type: str) -> int:
+        """Forget a collection and its field families; later documents start it afresh."""
         number = self._next_batch()
-        marker = self.spark.range(1).select(
-            F.lit(doc_type).alias("doc_type"),
-            F.lit(None).cast("string").alias("id"),
-            F.struct(
-                F.lit(number).cast("long").alias("batch"), F.lit(0).cast("long").alias("pos")
-            ).alias("seq"),
-            F.lit("drop").alias("op"),
-            now.alias("ts"),
-            F.lit(None).cast("variant").alias("body"),
-        )
-        self._write_log(marker, number)
+        self._commit(number, "drop", doc_type.lower())
         return number
 
     # -- upkeep ----------------------------------------------------------------------------
 
-    def _latest_snapshot(self) -> int | None:
-        """Newest finished snapshot; the marker row is written after the data."""
-        try:
-            found = self.spark.read.schema("snapshot long").parquet(f"{self.root}/snapshot_index")
-            return found.agg(F.max("snapshot")).first()[0]
-        except AnalysisException:
-            return None
-
     def compact(self, now: Column) -> int:
         """Write the folded state as a snapshot, so reads no longer fold old history."""
         newest = self._next_batch() - 1
@@ -239,17 +272,17 @@ class DocumentStore:
                 F.lit(newest).cast("long").alias("batch"), F.lit(0).cast("long").alias("pos")
             ).alias("seq"),
             F.lit("index").alias("op"),
-            now.alias("ts"),
+            now.cast("timestamp").alias("ts"),
             "body",
+            F.lit(None).cast("string").alias("message"),
             F.lit(newest).cast("long").alias("batch"),
+            F.lit("stored").alias("outcome"),
             F.lower("doc_type").alias("type_key"),
         )
         state.write.mode("overwrite").partitionBy("type_key").parquet(
             f"{self.root}/snapshots/{newest}"
         )
-        self.spark.range(1).select(F.lit(newest).cast("long").alias("snapshot")).write.mode(
-            "append"
-        ).parquet(f"{self.root}/snapshot_index")
+        self._commit(newest, "snapshot")
         return newest
 
     def copy_to(

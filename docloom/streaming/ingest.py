@@ -64,7 +64,9 @@ def ingest_stream(
             batch=epoch + 1,
         )
         if daily_log is not None:
-            stored = store.log().filter(F.col("batch") == number)
+            stored = store.changes(after=number - 1).filter(
+                (F.col("batch") == number) & (F.col("outcome") == "stored")
+            )
             stored.select(
                 "doc_type", "id", F.to_json("body").alias("body"),
                 F.date_format("ts", "yyyyMMdd").alias("day"),
