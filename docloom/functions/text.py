@@ -14,10 +14,21 @@ MIN_TOKEN, MAX_TOKEN = 2, 15
 TOKEN_PATTERN = r"[\p{L}\p{Nl}\p{No}_]+"
 
 
+# Fixed value: members of the Unicode white-space class; Java's \\s alone is ASCII only.
+WS = (
+    r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+
+
 def clean_text(c: Column) -> Column:
-    """Drop e-mail-like tokens, squeeze white space, drop single quotes."""
-    out = F.regexp_replace(c, r"\S*@\S*\s?", "")
-    out = F.regexp_replace(out, r"\s+", " ")
+    """Drop e-mail-like tokens, squeeze white space, drop single quotes.
+
+    The patterns start only at a token's begin and leave lone blanks alone, which keeps both
+    passes linear and cheap on ordinary text.
+    """
+    mail = rf"(?<![^{WS}])[^{WS}@]*+@[^{WS}]*[{WS}]?"
+    out = F.when(c.contains("@"), F.regexp_replace(c, mail, "")).otherwise(c)
+    out = F.regexp_replace(out, rf"[{WS}]{{2,}}|[{WS}&&[^ ]]", " ")
     return F.replace(out, F.lit("'"), F.lit(""))
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import text_hash
 
+# the page reader travels with the UDF, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements whose text is not content, and elements that end a paragraph.
 SKIPPED = {"script", "style", "nav", "footer", "header", "noscript", "aside", "title"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "div", "section", "blockquote"}

@@ -50,37 +50,49 @@ def scored_pairs(
     second = words.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
     joined = lookup_join(lookup_join(frequent, first, ["a"]), second, ["b"])
     score = (F.col("n_ab") - min_count) * F.col("vocabulary") / (F.col("n_a") * F.col("n_b"))
-    return (
+    found = (
         joined.join(F.broadcast(size))  # one row
         .select("a", "b", "n_ab", "n_a", "n_b", score.alias("score"))
         .filter(F.col("score") > threshold)
     )
+    return written(found, "phrases")
 
 
-def merge_tokens(token_list: Column, starts: Column) -> Column:
-    """Join tokens at the given 1-based start positions with their successor, left to right.
-
-    A token already used as the second half of a phrase cannot start another one.
-    """
-    empty = F.array().cast("array<int>")
-    chosen = F.aggregate(
-        F.array_sort(F.coalesce(starts, empty)),
-        F.struct(F.lit(-1).alias("last"), empty.alias("taken")),
+def greedy_starts(starts: Column) -> Column:
+    """Start positions taken from left to right; the second word of a phrase cannot start one."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        F.array_sort(F.coalesce(starts, none)),
+        F.struct(F.lit(-1).alias("last"), none.alias("taken")),
         lambda acc, p: F.when(
             p > acc["last"] + 1,
             F.struct(p.alias("last"), F.array_append(acc["taken"], p).alias("taken")),
         ).otherwise(acc),
         lambda acc: acc["taken"],
     )
-    merged = F.transform(
-        token_list,
-        lambda t, i: F.when(F.array_contains(chosen, i), F.lit(None).cast("string"))
-        .when(
-            F.array_contains(chosen, i + 1), F.concat(t, F.lit("_"), F.get(token_list, i + 1))
-        )
-        .otherwise(t),
+
+
+def merge_at(token_list: str, taken: str) -> Column:
+    """Join the tokens at the taken 1-based positions with their successors.
+
+    The list is cut at each phrase, so the work grows with the tokens and not with tokens times
+    phrases: the piece before a phrase, the phrase, and after the last one the rest.
+    """
+    words, at = F.col(token_list), F.col(taken)
+    pieces = F.transform(
+        at,
+        lambda p, i: F.concat(
+            F.slice(
+                words,
+                F.when(i > 0, F.get(at, i - 1) + 2).otherwise(1),
+                p - F.when(i > 0, F.get(at, i - 1) + 2).otherwise(1),
+            ),
+            F.array(F.concat(F.get(words, p - 1), F.lit("_"), F.get(words, p))),
+        ),
     )
-    return F.array_compact(merged)
+    begin = F.try_element_at(at, F.lit(-1)) + 2
+    rest = F.slice(words, begin, F.greatest(F.size(words) - begin + 1, F.lit(0)))
+    return F.when(F.size(at) > 0, F.concat(F.flatten(pieces), rest)).otherwise(words)
 
 
 def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame) -> DataFrame:
@@ -92,9 +104,11 @@ def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame)
         key, F.posexplode(neighbour_pairs(F.col(token_col))).alias("pos", "p")
     ).select(key, (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
     hits = lookup_join(spots, phrases.select("a", "b"), ["a", "b"], "left_semi")
-    starts = hits.groupBy(key).agg(F.collect_list("pos").alias("__starts"))
+    taken = hits.groupBy(key).agg(greedy_starts(F.collect_list("pos")).alias("__taken"))
+    none = F.array().cast("array<int>")
     return (
-        docs.join(starts, key, "left")
-        .withColumn(token_col, merge_tokens(F.col(token_col), F.col("__starts")))
-        .drop("__starts")
+        docs.join(taken, key, "left")
+        .withColumn("__taken", F.coalesce("__taken", none))
+        .withColumn(token_col, merge_at(token_col, "__taken"))
+        .drop("__taken")
     )

@@ -54,3 +54,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Let CPU-heavy work on a plain scan use every core.
+
+    A large table is split into more partitions than there are cores and passes through
+    unchanged. A small one that arrives in a single row group is redistributed once. Select the
+    needed columns first; only the split plan is computed here, no job runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

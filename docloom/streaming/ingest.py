@@ -48,6 +48,7 @@ def ingest_stream(
     schemas: Mapping[str, Mapping] | None = None,
     daily_log: str | None = None,
     session: str = "stream",
+    order: str | None = None,
     available_now: bool = False,
     every: str = "2 seconds",
 ) -> StreamingQuery:
@@ -61,7 +62,7 @@ def ingest_stream(
         now = F.current_timestamp()
         number = store.put(
             batch, now, analytic="ingest", session=session, chain=chain, schemas=schemas,
-            batch=epoch + 1,
+            order=order, batch=epoch + 1,
         )
         if daily_log is not None:
             stored = store.changes(after=number - 1).filter(
