@@ -263,7 +263,7 @@ pair AS (
   SELECT DISTINCT h.doc_id, h.last, h.i, x.w AS a, y.w AS b
   FROM w x JOIN w y ON x.w <= y.w JOIN hit h ON h.w IN (x.w, y.w)),
 cover AS (SELECT doc_id, a, b, greatest(least(i, last) - greatest(i - {T.WINDOW - 1},
-            coalesce(least(lag(i) OVER (PARTITION BY doc_id, a, b ORDER BY i), last) + 1, 0), 0) + 1, 0) AS k FROM pair),
+            least(coalesce(lag(i) OVER (PARTITION BY doc_id, a, b ORDER BY i) + 1, 0), last + 1), 0) + 1, 0) AS k FROM pair),
 u AS (SELECT doc_id, a, b, sum(k) AS k FROM cover GROUP BY ALL)
 SELECT x.a, y.b, CAST(sum(x.k + y.k - xy.k) AS BIGINT) AS n_windows
 FROM u xy JOIN u x ON x.doc_id = xy.doc_id AND x.a = xy.a AND x.b = xy.a
