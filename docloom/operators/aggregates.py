@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.predicates import Clause, match_all
+from ..functions.rows import each
 
 # Fixed value: most buckets a term count returns.
 MAX_BUCKETS = 10_000
@@ -27,7 +28,7 @@ def term_counts(
     """
     hits = df.filter((clause or match_all())(df))
     if isinstance(df.select(F.col(field)).schema[0].dataType, T.ArrayType):
-        values = hits.select(F.explode(F.array_distinct(F.col(field))).alias("term"))
+        values = each(hits, [], F.array_distinct(F.col(field)), "term")
     else:
         values = hits.select(F.col(field).alias("term"))
     return (

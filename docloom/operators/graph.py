@@ -17,6 +17,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.rows import each
+
 
 def resolve(schema: T.StructType, path: str) -> tuple[Column, T.DataType]:
     """Column and type of a path in the row; null text when the path does not exist."""
@@ -107,11 +109,8 @@ def edges(docs: DataFrame, config: Mapping, doc_type: str) -> DataFrame:
         ),
         F.col("id").cast("string"),
     )
-    return mine.select(
-        F.lit(src_label).alias("src_label"),
-        src.alias("src_id"),
-        F.inline(F.flatten(F.array(*lists))),
-    )
+    source = [F.lit(src_label).alias("src_label"), src.alias("src_id")]
+    return each(mine, source, F.flatten(F.array(*lists)), "e").select("src_label", "src_id", "e.*")
 
 
 def _edge_items(targets: Column, dtype: T.DataType, f: Mapping, in_list: bool) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import variants as V
+from ..functions.rows import each
 from ..functions.scalars import iso_text, nan_to_null, text_hash
 from ..session import written
 from .joins import lookup_join
@@ -130,7 +131,7 @@ def field_families(df: DataFrame, body: str = "body", seq: str = "seq") -> DataF
     One partial aggregate; the result is as long as the field lists, not as the documents.
     """
     return (
-        df.select("doc_type", seq, F.explode(_family_entries(V.leaves(body))).alias("e"))
+        each(df, ["doc_type", seq], _family_entries(V.leaves(body)), "e")
         .filter(F.col("e.family").isNotNull())
         .groupBy("doc_type", F.col("e.path").alias("path"))
         .agg(F.min_by("e.family", seq).alias("family"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import each
 from ..session import written
 from .joins import fits, lookup_join
 
@@ -11,35 +12,18 @@ from .joins import fits, lookup_join
 MAX_LANGUAGES = 500
 
 
-def grams(text: Column, n: int) -> Column:
-    """Character n-grams of the lower-case text with white space squeezed."""
-    flat = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
-    return F.when(
-        F.length(flat) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, F.lit(n))
-        ),
-    )
-
-
-def gram_counts(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """Counts per key and gram; the partial aggregate runs where the text is read."""
-    flat = df.select(
-        *keys,
-        F.concat(
-            F.lit(" "), F.lower(F.regexp_replace(F.col(text), r"\s+", " ")), F.lit(" ")
-        ).alias("__flat"),
-    )
-    # split by characters once instead of one substring scan per position
+def grams(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
+    """``keys, gram``: character n-grams of the lower-case text, white space squeezed."""
+    squeezed = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
+    flat = df.select(*keys, F.concat(F.lit(" "), squeezed, F.lit(" ")).alias("__flat"))
+    # split into characters once instead of scanning the text for every position
     chars = flat.select(*keys, F.split("__flat", "").alias("__chars"))
-    lists = F.arrays_zip(*[F.slice("__chars", F.lit(i + 1), F.size("__chars")) for i in range(n)])
-    parts = chars.select(*keys, F.explode(lists).alias("z")).select(*keys, "z.*")
-    names = [c for c in parts.columns if c not in keys]
-    return (
-        parts.dropna(subset=names)
-        .groupBy(*keys, F.concat(*[F.col(f"`{c}`") for c in names]).alias("gram"))
-        .agg(F.count("*").alias("n"))
-    )
+    shifted = [
+        F.slice("__chars", F.lit(i + 1), F.size("__chars") - (n - 1)) for i in range(n)
+    ]
+    whole = chars.filter(F.size("__chars") >= n)
+    parts = each(whole, keys, F.arrays_zip(*shifted), "z")
+    return parts.select(*keys, F.concat(*[F.col("z")[str(i)] for i in range(n)]).alias("gram"))
 
 
 def train(df: DataFrame, label: str, text: str, n: int = 3) -> tuple[DataFrame, list[str]]:
@@ -48,7 +32,10 @@ def train(df: DataFrame, label: str, text: str, n: int = 3) -> tuple[DataFrame,
     The profile is a model: it is written once and read back for every scoring job.
     """
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = written(gram_counts(labelled, [label], text, n), "gram-counts")
+    counts = written(
+        grams(labelled, [label], text, n).groupBy(label, "gram").agg(F.count("*").alias("n")),
+        "gram-counts",
+    )
     names = counts.select(label).distinct()
     if not fits(names, MAX_LANGUAGES):
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {label}")
@@ -78,13 +65,11 @@ def detect(
 ) -> DataFrame:
     """``key, language, probability, scores map`` with softmax over the language scores.
 
-    Documents without a single known gram are skipped.
+    Documents without a single known gram are skipped. A document's grams meet the profile in
+    the task that read it, so its scores are summed there before one row per document moves.
     """
-    counts = gram_counts(df.filter(F.col(text).isNotNull()), [key], text, n)
-    hits = lookup_join(counts, profile, ["gram"])
-    sums = hits.groupBy(key).agg(
-        *[F.sum(F.col("n") * F.col(f"p_{x}")).alias(f"s_{x}") for x in languages]
-    )
+    hits = lookup_join(grams(df.filter(F.col(text).isNotNull()), [key], text, n), profile, ["gram"])
+    sums = hits.groupBy(key).agg(*[F.sum(f"p_{x}").alias(f"s_{x}") for x in languages])
     ranked = F.array_sort(
         F.array(
             *[F.struct((-F.col(f"s_{x}")).alias("cost"), F.lit(x).alias("lang")) for x in languages]

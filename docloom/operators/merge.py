@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import variants as V
+from ..functions.rows import each
 
 RESETS = ("index", "delete")
 
@@ -69,12 +70,8 @@ def fold_documents(
     )
     nothing = F.filter(marker, lambda x: F.lit(False))
     leaf = F.concat(marker, F.coalesce(V.leaves(body, max_depth), nothing))
-    exploded = log.select(
-        *keys,
-        F.col(seq).alias("__seq"),
-        F.col(op).alias("__op"),
-        F.explode(leaf).alias("__leaf"),
-    ).select(
+    kept = [*keys, F.col(seq).alias("__seq"), F.col(op).alias("__op")]
+    exploded = each(log, kept, leaf, "__leaf").select(
         *keys,
         "__seq",
         "__op",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import each
 from ..session import written
 from .joins import lookup_join
 
@@ -33,21 +34,22 @@ def scored_pairs(
     distinct words and distinct pairs. Only pairs above the support can score above zero, so
     rare pairs are dropped before the joins.
     """
-    words = written(
-        docs.select(F.explode(token_col).alias("w")).groupBy("w").agg(F.count("*").alias("n")),
-        "word-counts",
+    single = F.transform(
+        F.col(token_col), lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b"))
     )
-    pairs = written(
-        docs.select(F.explode(neighbour_pairs(F.col(token_col))).alias("p"))
-        .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.count("*").alias("n_ab")),
-        "pair-counts",
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    both = F.concat(single, F.coalesce(neighbour_pairs(F.col(token_col)), none))
+    # words (b is null) and pairs are counted in one pass and one shuffle
+    counts = written(
+        each(docs, [], both, "p").groupBy("p.a", "p.b").agg(F.count("*").alias("n")), "pair-counts"
     )
-    size = words.agg(F.count("*").alias("x")).union(pairs.agg(F.count("*").alias("x")))
-    size = size.agg(F.sum("x").alias("vocabulary"))
-    frequent = pairs.filter(F.col("n_ab") > min_count)
-    first = words.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
-    second = words.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
+    words = counts.filter(F.col("b").isNull())
+    size = counts.agg(F.count("*").alias("vocabulary"))
+    frequent = counts.filter(F.col("b").isNotNull() & (F.col("n") > min_count)).select(
+        "a", "b", F.col("n").alias("n_ab")
+    )
+    first = words.select("a", F.col("n").alias("n_a"))
+    second = words.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
     joined = lookup_join(lookup_join(frequent, first, ["a"]), second, ["b"])
     score = (F.col("n_ab") - min_count) * F.col("vocabulary") / (F.col("n_a") * F.col("n_b"))
     found = (
@@ -100,9 +102,8 @@ def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame)
 
     Only positions that start a phrase are shuffled back to their document, not all tokens.
     """
-    spots = docs.select(
-        key, F.posexplode(neighbour_pairs(F.col(token_col))).alias("pos", "p")
-    ).select(key, (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
+    spots = each(docs, [key], neighbour_pairs(F.col(token_col)), "p", at="pos").select(
+        key, (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
     hits = lookup_join(spots, phrases.select("a", "b"), ["a", "b"], "left_semi")
     taken = hits.groupBy(key).agg(greedy_starts(F.collect_list("pos")).alias("__taken"))
     none = F.array().cast("array<int>")

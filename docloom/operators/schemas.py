@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import variants as V
+from ..functions.rows import each
 from ..session import written
 
 
@@ -45,7 +46,7 @@ def json_schema_of(dtype: T.DataType) -> dict:
 def field_profile(df: DataFrame, body: str = "body", name_pattern: str | None = None) -> DataFrame:
     """Fields and value types present per document type, with counts."""
     out = (
-        df.select("doc_type", F.explode(V.leaves(body)).alias("leaf"))
+        each(df, ["doc_type"], V.leaves(body), "leaf")
         .select(
             "doc_type",
             V.path_text(F.col("leaf.path")).alias("path"),
@@ -108,11 +109,8 @@ def link_edges(df: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
         raise ValueError("no link fields: a link is a struct with doc_type and id")
     empty = F.array().cast("array<struct<edge:string,dst_type:string,dst_id:string,many:boolean>>")
     every = F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
-    out = df.select(
-        F.col("doc_type").alias("src_type"),
-        F.col("id").cast("string").alias("src_id"),
-        F.explode(every).alias("l"),
-    ).select("src_type", "src_id", "l.*")
+    source = [F.col("doc_type").alias("src_type"), F.col("id").cast("string").alias("src_id")]
+    out = each(df, source, every, "l").select("src_type", "src_id", "l.*")
     if allowed is not None:
         out = out.join(allowed.select("edge", "dst_type").distinct(), ["edge", "dst_type"], "left_semi")
     return out.select("src_type", "src_id", "edge", "dst_type", "dst_id", "many")

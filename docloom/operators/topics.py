@@ -10,6 +10,7 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Word2Vec
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.rows import each
 from ..functions.text import clean_text, tokens, without_words
 from .phrases import apply_phrases, scored_pairs
 
@@ -103,8 +104,8 @@ def topics_for(model: PipelineModel, words: DataFrame, key: str, minimum: float
     """``key, topic, weight`` for topics with at least the minimum weight."""
     from pyspark.ml.functions import vector_to_array
 
-    spread = model.transform(words).select(
-        key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight")
+    spread = each(
+        model.transform(words), [key], vector_to_array("topicDistribution"), "weight", at="topic"
     )
     return spread.filter(F.col("weight") >= minimum)
 
@@ -180,7 +181,8 @@ def window_counts(
         )
     )
     return (
-        held.select(F.inline(pairs))
+        each(held, [], pairs, "p")
+        .select("p.*")
         .groupBy("a", "b")
         .agg(F.sum("n").alias("n_windows"))
         .filter(F.col("n_windows") > 0)

@@ -6,17 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.rows import each
 from ..session import written
 from .joins import lookup_join
 
 
-def bag_of_words(docs: DataFrame, key: str, token_col: str) -> DataFrame:
-    """``key, token, n`` per document."""
-    return (
-        docs.select(key, F.explode(token_col).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count("*").alias("n"))
+def with_bags(docs: DataFrame, token_col: str, name: str = "bag") -> DataFrame:
+    """Adds ``array<struct<token,n>>`` per row.
+
+    All tokens of a document are in its row, so counting is done in place: sort, mark where runs
+    begin, take differences. Nothing is shuffled.
+    """
+    ordered = docs.withColumn("__sorted", F.sort_array(F.col(token_col)))
+    marked = ordered.withColumn(
+        "__begin",
+        F.array_compact(
+            F.transform(
+                "__sorted",
+                lambda t, i: F.when((i == 0) | (F.get("__sorted", i - 1) != t), i),
+            )
+        ),
+    )
+    counted = F.transform(
+        "__begin",
+        lambda at, k: F.struct(
+            F.get("__sorted", at).alias("token"),
+            (F.coalesce(F.get("__begin", k + 1), F.size("__sorted")) - at).cast("long").alias("n"),
+        ),
     )
+    return marked.withColumn(name, counted).drop("__sorted", "__begin")
+
+
+def bag_of_words(docs: DataFrame, key: str, token_col: str) -> DataFrame:
+    """``key, token, n`` per document (one row per document comes in)."""
+    bags = with_bags(docs.select(key, F.col(token_col).alias("__tokens")), "__tokens")
+    return each(bags, [key], F.col("bag"), "b").select(key, "b.*")
 
 
 def dense_ids(values: DataFrame, column: str, name: str = "token_id") -> DataFrame:
@@ -49,10 +73,14 @@ def dense_ids(values: DataFrame, column: str, name: str = "token_id") -> DataFra
 
 
 def dictionary_bags(docs: DataFrame, key: str, token_col: str) -> tuple[DataFrame, DataFrame]:
-    """Dictionary ``token, token_id`` and corpus ``key, token_id, n``."""
-    bags = written(bag_of_words(docs, key, token_col), "bags")
-    dictionary = dense_ids(bags, "token")
-    return dictionary, lookup_join(bags, dictionary, ["token"]).select(key, "token_id", "n")
+    """Dictionary ``token, token_id`` and corpus ``key, token_id, n``.
+
+    Only the vocabulary is shuffled and written; bags are counted in place and looked up.
+    """
+    vocabulary = each(docs, [], F.array_distinct(token_col), "token")
+    ids = written(dense_ids(vocabulary, "token"), "dictionary")
+    corpus = lookup_join(bag_of_words(docs, key, token_col), ids, ["token"])
+    return ids, corpus.select(key, "token_id", "n")
 
 
 def lemmatize(
@@ -67,7 +95,7 @@ def lemmatize(
 
     ``lexicon`` has ``word, lemma, pos``; words it does not know are kept as they are.
     """
-    spots = docs.select(key, F.posexplode(token_col).alias("position", "word"))
+    spots = each(docs, [key], F.col(token_col), "word", at="position")
     tagged = lookup_join(spots, lexicon.select("word", "lemma", "pos"), ["word"], "left")
     lemma = F.coalesce("lemma", "word")
     kept = tagged.filter(F.col("pos").isNull() | F.col("pos").isin(list(keep_pos)))
@@ -77,11 +105,11 @@ def lemmatize(
 
 
 def top_terms(docs: DataFrame, key: str, token_col: str, k: int) -> DataFrame:
-    """The ``k`` most frequent terms of each document: ``key, rank, term, n``."""
-    counts = bag_of_words(docs, key, token_col)
-    order = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("token"))
-    return (
-        counts.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(key, "rank", F.col("token").alias("term"), "n")
+    """The ``k`` most frequent terms of each document: ``key, rank, term, n``; no shuffle."""
+    bags = with_bags(docs.select(key, F.col(token_col).alias("__tokens")), "__tokens")
+    ranked = F.sort_array(
+        F.transform("bag", lambda e: F.struct((-e["n"]).alias("less"), e["token"].alias("term")))
+    )
+    return each(bags, [key], F.slice(ranked, 1, k), "e", at="at").select(
+        key, (F.col("at") + 1).alias("rank"), "e.term", (-F.col("e.less")).alias("n")
     )

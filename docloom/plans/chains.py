@@ -8,6 +8,7 @@ from ..functions.scalars import iso_text, lenient_timestamp
 from ..operators import chain as P, spans as E
 from ..operators.sentiment import sentiment_step
 from ..sources import artifacts as files
+from ..session import spread
 from .registry import register, table
 
 
@@ -123,7 +124,8 @@ WHERE found <> ''""".format(label=label, rx=rx)
     )
 )
 def entity_spans(spark, sf):
-    return E.pattern_spans(table(spark, sf, "documents"), "doc_id", "text", PATTERNS).select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return E.pattern_spans(docs, "doc_id", "text", PATTERNS).select(
         "doc_id", "label", "start_char", "end_char", "text"
     )
 
@@ -147,7 +149,8 @@ def gazetteer_spans(spark, sf):
     terms = table(spark, sf, "benchmark").select(word).select(
         F.lower("w").alias("term"), F.when(F.length("w") > 6, "LONG").otherwise("SHORT").alias("label")
     )
-    found = E.gazetteer_spans(table(spark, sf, "documents"), "doc_id", "text", terms)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    found = E.gazetteer_spans(docs, "doc_id", "text", terms)
     return found.groupBy("doc_id", "label").agg(
         F.count("*").alias("n"),
         F.sum(F.col("start_char").cast("long")).alias("starts"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import term
 from ..functions.scalars import iso_text
 from ..operators import ingest as I, merge as M
-from ..session import fresh_dir
+from ..session import fresh_dir, spread
 from ..store import DocumentStore
 from .registry import register, table
 
@@ -108,7 +108,7 @@ def mapping_conflict(spark, sf):
         WHEN 'purchase' THEN '"abc' || event_id || '"'
         WHEN 'error' THEN '"' || event_id || '"'
         WHEN 'view' THEN 'true' ELSE CAST(event_id AS STRING) END || '}'"""
-    docs = table(spark, sf, "events").select(
+    docs = spread(table(spark, sf, "events")).select(
         F.col("event_id").alias("seq"),
         F.col("event_id").cast("string").alias("id"),
         F.concat(F.lit("u"), F.col("user_id") % 10).alias("doc_type"),
@@ -193,7 +193,7 @@ def document_fold(spark, sf):
     text = """'{"last":{"' || event_type || '":{"value":' || value || '}},"k":' ||
         get_json_object(props, '$.k') || ',"tags":["' || event_type || '"]}'"""
     kind = F.col("event_type")
-    log = table(spark, sf, "events").select(
+    log = spread(table(spark, sf, "events")).select(
         F.lit("User").alias("doc_type"),
         F.col("user_id").alias("id"),
         F.col("event_id").alias("seq"),

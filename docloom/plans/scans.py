@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import bool_query, exists, match, match_all, must, must_not, term
 from ..operators import articles as A, search as S
+from ..session import spread
 from .registry import register, table
 
 
@@ -96,7 +97,7 @@ WHERE list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'),
                    ['thorat', 'nicht', 'cióngañ', 'eaux'])
 """)
 def match_tokens(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return S.query(docs, match("text", "Thorat, NICHT; cióngañ eaux"), source=["doc_id", "source"])
 
 

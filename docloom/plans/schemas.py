@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules, schemas as C
+from ..session import spread
 from .registry import register, table
 
 EVENT_JSON = """'{"props":' || props || ',"user":{"id":' || user_id || '},"level":' ||
@@ -12,7 +13,7 @@ EVENT_JSON = """'{"props":' || props || ',"user":{"id":' || user_id || '},"level
 
 
 def event_bodies(spark, sf):
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.col("event_type").alias("doc_type"), F.parse_json(F.expr(EVENT_JSON)).alias("body")
     )
 

@@ -103,7 +103,7 @@ def stream_ingest(spark, sf):
         kind.alias("doc_type"), F.col("user_id").cast("string").alias("id"), "value", "event_id"
     )
     # files arrive in event order, as a producer would write them
-    docs.repartitionByRange(2, "event_id").sortWithinPartitions("event_id").write.json(inbox)
+    docs.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.json(inbox)
     store = DocumentStore(spark, fresh_dir(spark, "stream-store"))
     schema = {"properties": {"value": {"type": "number", "maximum": 90}}, "required": ["value"]}
 

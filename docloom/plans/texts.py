@@ -104,7 +104,7 @@ def merged_sql(docs: str, phrases: str, name: str) -> str:
     """CTEs that merge phrases: in a run of overlapping candidates every other one is taken."""
     return f"""
 {name}_t AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS w,
-                    unnest(list_append(words[2:], NULL)) AS nxt FROM {docs}),
+                    unnest(list_append(words[2:], NULL)) AS nxt FROM {docs} WHERE len(words) > 0),
 {name}_c AS (SELECT t.*, p.a IS NOT NULL AS hit FROM {name}_t t LEFT JOIN {phrases} p ON t.w = p.a AND t.nxt = p.b),
 {name}_r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM {name}_c WHERE hit),
 {name}_s AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM {name}_r) WHERE k % 2 = 1),
