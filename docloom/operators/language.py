@@ -13,17 +13,14 @@ MAX_LANGUAGES = 500
 
 
 def grams(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """``keys, gram``: character n-grams of the lower-case text, white space squeezed."""
+    """``keys, gram``: character n-grams of each text, lower case, white space squeezed.
+
+    The look-ahead yields overlapping grams in one regex pass over the text.
+    """
     squeezed = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
-    flat = df.select(*keys, F.concat(F.lit(" "), squeezed, F.lit(" ")).alias("__flat"))
-    # split into characters once instead of scanning the text for every position
-    chars = flat.select(*keys, F.split("__flat", "").alias("__chars"))
-    shifted = [
-        F.slice("__chars", F.lit(i + 1), F.size("__chars") - (n - 1)) for i in range(n)
-    ]
-    whole = chars.filter(F.size("__chars") >= n)
-    parts = each(whole, keys, F.arrays_zip(*shifted), "z")
-    return parts.select(*keys, F.concat(*[F.col("z")[str(i)] for i in range(n)]).alias("gram"))
+    flat = F.concat(F.lit(" "), squeezed, F.lit(" "))
+    found = F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return each(df, keys, found, "gram")
 
 
 def train(df: DataFrame, label: str, text: str, n: int = 3) -> tuple[DataFrame, list[str]]:

@@ -46,14 +46,13 @@ def bag_of_words(docs: DataFrame, key: str, token_col: str) -> DataFrame:
 def dense_ids(values: DataFrame, column: str, name: str = "token_id") -> DataFrame:
     """Consecutive ids from 0 in value order, without a single-task window.
 
-    The values are range-partitioned and written with their partition number; then each
-    partition ranks its own rows and adds the number of rows in lower partitions.
+    The distinct values are written, range-partitioned and written again with their partition
+    number; then each partition ranks its own rows and adds the number of rows in lower
+    partitions. Range partitioning samples its input, which therefore must be cheap to read.
     """
+    distinct = written(values.select(column).distinct(), "distinct")
     ranged = written(
-        values.select(column)
-        .distinct()
-        .repartitionByRange(F.col(column))
-        .withColumn("__part", F.spark_partition_id()),
+        distinct.repartitionByRange(F.col(column)).withColumn("__part", F.spark_partition_id()),
         "dense-ids",
     )
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
