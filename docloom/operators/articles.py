@@ -188,16 +188,19 @@ ARTICLE = (
 def read_article(html: Column, xpaths: Sequence[str] = ()) -> Column:
     """Content and metadata of a whole page; needs a real parser, hence an Arrow-batched UDF."""
     wanted = [_steps(x) for x in xpaths]
+    nothing = dict.fromkeys(
+        ["content", "authors", "publish_date", "top_image", "description", "error"]
+    )
 
     def one(page: str | None) -> dict:
         if page is None:
-            return {"error": "no html"}
+            return {**nothing, "error": "no html"}
         try:
             reader = _Reader(wanted)
             reader.feed(page)
             reader.close()
         except (AssertionError, ValueError, IndexError) as ex:
-            return {"error": f"{type(ex).__name__}: {ex}"}
+            return {**nothing, "error": f"{type(ex).__name__}: {ex}"}
         content = _squeezed(reader.parts[True]) or _squeezed(reader.parts[False])
         picked = max((_squeezed(p) for p in reader.picked), key=len, default="")
         if picked and (not content or len(content) / len(picked) <= SELECTOR_SHARE):
@@ -214,8 +217,7 @@ def read_article(html: Column, xpaths: Sequence[str] = ()) -> Column:
 
     @F.pandas_udf(ARTICLE)
     def parse(pages: pd.Series) -> pd.DataFrame:
-        names = ["content", "authors", "publish_date", "top_image", "description", "error"]
-        return pd.DataFrame([one(p) for p in pages], columns=names)
+        return pd.DataFrame([one(p) for p in pages], columns=list(nothing), dtype=object)
 
     return parse(html)
 

@@ -129,13 +129,9 @@ def read_archive(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 def read_document_tree(spark: SparkSession, path: str) -> DataFrame:
     """Archives with one ``doc.json`` per folder: ``folder, doc_type, id, body``."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "doc.json")
-        .option("wholetext", "true")
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
+    lines = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="doc.json"
+    ).select("value", F.col("_metadata.file_path").alias("file"))
     body = F.try_parse_json("value")
     return lines.select(
         F.regexp_replace("file", "/doc\\.json$", "").alias("folder"), body.alias("body")
