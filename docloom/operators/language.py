@@ -47,10 +47,11 @@ def train(df: DataFrame, label: str, text: str, n: int = 3) -> tuple[DataFrame,
             for x in languages
         ]
     )
-    profile = wide.join(F.broadcast(totals)).select(  # totals is one row
+    known = totals.first()
+    profile = wide.select(
         "gram",
         *[
-            F.log((F.col(f"c_{x}") + 1) / (F.col(f"__t_{x}") + F.col("__v"))).alias(f"p_{x}")
+            F.log((F.col(f"c_{x}") + 1) / F.lit(known[f"__t_{x}"] + known["__v"])).alias(f"p_{x}")
             for x in languages
         ],
     )

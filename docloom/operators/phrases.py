@@ -44,20 +44,16 @@ def scored_pairs(
         each(docs, [], both, "p").groupBy("p.a", "p.b").agg(F.count("*").alias("n")), "pair-counts"
     )
     words = counts.filter(F.col("b").isNull())
-    size = counts.agg(F.count("*").alias("vocabulary"))
+    vocabulary = counts.count()  # row counts of the files just written
     frequent = counts.filter(F.col("b").isNotNull() & (F.col("n") > min_count)).select(
         "a", "b", F.col("n").alias("n_ab")
     )
     first = words.select("a", F.col("n").alias("n_a"))
     second = words.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
     joined = lookup_join(lookup_join(frequent, first, ["a"]), second, ["b"])
-    score = (F.col("n_ab") - min_count) * F.col("vocabulary") / (F.col("n_a") * F.col("n_b"))
-    found = (
-        joined.join(F.broadcast(size))  # one row
-        .select("a", "b", "n_ab", "n_a", "n_b", score.alias("score"))
-        .filter(F.col("score") > threshold)
-    )
-    return written(found, "phrases")
+    score = (F.col("n_ab") - min_count) * F.lit(vocabulary) / (F.col("n_a") * F.col("n_b"))
+    found = joined.select("a", "b", "n_ab", "n_a", "n_b", score.alias("score"))
+    return written(found.filter(F.col("score") > threshold), "phrases")
 
 
 def greedy_starts(starts: Column) -> Column:

@@ -91,6 +91,4 @@ def page(
 ) -> DataFrame:
     """One page in key order, each row carrying the exact total number of hits."""
     hits = df.filter((clause or match_all())(df))
-    total = hits.agg(F.count("*").alias("total"))
-    rows = hits.orderBy(order).offset(start).limit(size)
-    return rows.join(F.broadcast(total))  # a one-row side, size known by construction
+    return hits.orderBy(order).offset(start).limit(size).withColumn("total", F.lit(hits.count()))

@@ -201,7 +201,7 @@ def coherence(
     spark = docs.sparkSession
     every = sorted({w for ws in topics.values() for w in ws})
     counts = window_counts(docs, key, token_col, every, width)
-    total = total_windows(docs, token_col, width)
+    total = F.lit(total_windows(docs, token_col, width).first()["total_windows"] or 0)
     members = spark.createDataFrame(
         [(t, w) for t, ws in topics.items() for w in dict.fromkeys(ws)], "topic int, w string"
     )
@@ -214,12 +214,11 @@ def coherence(
         .join(both, ["a", "b"], "left")
         .join(single.select(F.col("w").alias("a"), F.col("n_w").alias("n_a")), "a", "left")
         .join(single.select(F.col("w").alias("b"), F.col("n_w").alias("n_b")), "b", "left")
-        .join(F.broadcast(total))  # one row
     )
     eps = F.lit(1e-12)
-    p_ab = F.coalesce("n_windows", F.lit(0)) / F.col("total_windows") + eps
-    p_a = F.coalesce("n_a", F.lit(0)) / F.col("total_windows") + eps
-    p_b = F.coalesce("n_b", F.lit(0)) / F.col("total_windows") + eps
+    p_ab = F.coalesce("n_windows", F.lit(0)) / total + eps
+    p_a = F.coalesce("n_a", F.lit(0)) / total + eps
+    p_b = F.coalesce("n_b", F.lit(0)) / total + eps
     npmi = grid.select("topic", "a", "b", (F.log(p_ab / (p_a * p_b)) / -F.log(p_ab)).alias("m"))
     sums = npmi.groupBy("topic", "b").agg(F.sum("m").alias("s"))
     measured = npmi.join(sums, ["topic", "b"]).groupBy("topic", "a").agg(
