@@ -64,10 +64,11 @@ def page_language(html: Column) -> Column:
 
 
 def basic_entities(c: Column) -> Column:
+    """Decode the five basic entities; as in browsers the semicolon may be missing."""
     for entity, ch in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
+        ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&amp;?", "&"),
     ):
-        c = F.replace(c, F.lit(entity), F.lit(ch))
+        c = F.regexp_replace(c, entity, ch)
     return c
 
 

@@ -19,8 +19,9 @@ def pages(spark, sf, *columns):
 
 @register(rf"""
 SELECT page_id, sha256(url) AS id,
-  coalesce(nullif(replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ''), url) AS title,
+  coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g'), ''), url) AS title,
   lower(regexp_extract(html, '(?i)<html[^>]*\slang=["'']?([A-Za-z]{{2}})', 1)) AS meta_lang, {SITE} AS source_url
 FROM pages
 """)
@@ -34,12 +35,22 @@ def page_articles(spark, sf):
     )
 
 
-@register()
+@register(r"""
+WITH a AS (SELECT url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+l AS (SELECT url, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(body, '(?i)</?(p|h1|h2|li|br|div)(\s[^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g'),
+        '&quot;?', '"', 'g'), '&copy;?', chr(169), 'g'), '&middot;', chr(183), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), chr(10)) AS lines FROM a),
+c AS (SELECT url, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[ \t\r\f\v\x{A0}]+', ' ', 'g'))),
+        lambda x: x <> ''), chr(10) || chr(10)) AS content FROM l)
+SELECT sha256(url) AS id, true AS scrape_status, length(content) AS n_chars, sha256(content) AS digest FROM c
+""")
 def article_content(spark, sf):
     return A.extract_articles(pages(spark, sf)).select(
-        "id", "title", "meta_lang", "scrape_status",
-        F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"),
-    )
+        "id",
+        "scrape_status",
+        F.length("content").cast("long").alias("n_chars"),
+        F.sha2("content", 256).alias("digest"),
+    )
 
 
 @register()
