@@ -28,22 +28,21 @@ def fold_columns(
     """Current state of typed documents.
 
     ``fields`` maps a name to ``(value, present)``. A present null overwrites, an absent field
-    keeps what was there. Values older than the last reset of the key are forgotten.
+    keeps what was there. Values older than the last reset of the key are forgotten. Numeric
+    fields and sequences keep the aggregation hash-based, without a sort by key.
     """
     aggs = [
-        F.max_by(op, seq).alias("__last_op"),
+        F.max_by(op == "delete", seq).alias("__gone"),
         F.max(F.when(op.isin(*RESETS), seq)).alias("__reset"),
     ]
     for name, (value, present) in fields.items():
         aggs.append(F.max(F.when(present, seq)).alias(f"__seq_{name}"))
-        aggs.append(
-            F.max_by(F.struct(value.alias("v")), F.when(present, seq)).alias(f"__val_{name}")
-        )
-    folded = log.groupBy(*keys).agg(*aggs).filter(F.col("__last_op") != "delete")
+        aggs.append(F.max_by(value, F.when(present, seq)).alias(f"__val_{name}"))
+    folded = log.groupBy(*keys).agg(*aggs).filter(~F.col("__gone"))
     outs = []
     for name in fields:
         fresh = F.col("__reset").isNull() | (F.col(f"__seq_{name}") >= F.col("__reset"))
-        outs.append(F.when(fresh, F.col(f"__val_{name}")["v"]).alias(name))
+        outs.append(F.when(fresh, F.col(f"__val_{name}")).alias(name))
     return folded.select(*keys, *outs)
 
 
