@@ -19,8 +19,8 @@ def assign_id(df: DataFrame, content: Sequence[str] = ()) -> DataFrame:
     """``id`` wins, then ``_id``, then a new id; both end up equal.
 
     A random id is drawn again when a task is retried, so new ids are a hash of the row's
-    content. A present but null ``id`` column value counts as absent only when there is an
-    ``_id``-less column layout; an explicit null in both stays for the identity check.
+    content. In a frame that has neither column every row gets one; where a column exists its
+    nulls stay for the identity check (:func:`fill_id` treats them as absent instead).
     """
     has_id, has_alt = "id" in df.columns, "_id" in df.columns
     if has_id and has_alt:
