@@ -16,7 +16,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that are hashed at once; one longer text is taken alone.
-PIECE = 2 << 20
+PIECE = (1 << 19) - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -117,19 +117,28 @@ class Words:
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``width`` words within one text, and the word each run starts at."""
+    """Hashes of all runs of ``width`` words within one text, and the word each run starts at.
+
+    Runs are polynomials over word hashes, doubled in length and extended by one as the bits of
+    ``width`` say.
+    """
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(seed).to(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=sums[1:])
+    base = powers(seed).base
+    run, length = hashes, 1
+    for bit in bin(width)[3:]:
+        run = run[: len(run) - length] * np.uint64(pow(base, length, 1 << 64)) + run[length:]
+        length *= 2
+        if bit == "1":
+            run = run[: len(run) - 1] * np.uint64(base) + hashes[length:]
+            length += 1
     open_ = np.ones(n, bool)
     for k in range(1, width):  # runs that would leave their text
         at = first[1:] - k
         open_[at[at >= first[:-1]]] = False
     at = np.flatnonzero(open_)
-    return mixed((sums[at + width] - sums[at]) * down[at]), at
+    return mixed(run[at]), at
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:

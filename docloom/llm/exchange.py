@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes a block holds on average, and hashes a bucket is sized for.
-BLOCK_BYTES, BUCKET_HASHES = 8 << 20, 400_000
+BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 400_000
 ASKED = "bucket int, block int, question binary"
 ANSWERED = "block int, bucket int, answer binary"
 
