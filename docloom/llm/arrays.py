@@ -161,3 +161,19 @@ def from_planes(data, width: int, offset: int = 0, count: int = -1) -> np.ndarra
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = flat.reshape(width, n).T
     return out.reshape(-1).view("<u8")
+
+
+class Spans(Words):
+    """Hashes of given byte spans, in order, none of which leaves its text."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.data, self.offsets, self.start, self.end = data, offsets, start, end
+        self.first = np.searchsorted(start, offsets)
+        self.hashes = [self.hashed(powers(1))]
+
+
+def gathered(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``chosen`` of a ragged array, one after the other, and their new offsets."""
+    size = np.diff(offsets)[chosen]
+    new = np.r_[0, np.cumsum(size)]
+    return values[np.arange(new[-1]) + np.repeat(offsets[:-1][chosen] - new[:-1], size)], new
