@@ -217,6 +217,17 @@ def cut_texts(batch_text, starts, ends) -> list[str]:
     return out
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", window: int = 35) -> DataFrame:
+    """``doc_id, text`` with the repeated passages cut out; see ``repeated_spans``."""
+
+    def cut(batches):
+        for batch in batches:
+            spans = (batch.column(c).to_pylist() for c in ("text", "starts", "ends"))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc"), "text": pa.array(cut_texts(*spans), pa.string())})
+
+    return repeated_spans(docs, key, window=window).mapInArrow(cut, "doc_id long, text string")
+
+
 def repeats_digest(docs: DataFrame, window: int = 35) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
     import hashlib
