@@ -3,9 +3,8 @@
 Two sets whose Jaccard similarity reaches t share a token among the first
 ``n - ceil(t * n) + 1`` tokens of each set, whatever the order of all tokens is. The orders here are
 (1) rare tokens first, (2) rare first with ties broken another way, (3) a pseudo-random order. A
-pair is verified only when it shares a prefix token under all of them. Under the first order the
-smaller set of a pair needs only its first ``n - ceil(2t / (1 + t) * n) + 1`` tokens, and tokens that
-no other document has bound the overlap from above. Each token flips one of 256 bits of its set; two
+pair is verified only when it shares a prefix token under all of them. Under the first order
+the place of the first shared token bounds the overlap: no more than what follows in either set. Each token flips one of 256 bits of its set; two
 sets differ in at least as many tokens as bits.
 
 The result is a partition into components, so pairs inside one component need no check. Each round
@@ -27,7 +26,7 @@ from .arrays import Words, from_planes, mixed, planes, windows
 from .components import components
 
 SIGNATURES = (
-    "doc long, n_shingles long, print_a long, print_b long, shared boolean, common long, short long, "
+    "doc long, n_shingles long, print_a long, print_b long, shared boolean, common long, "
     "bits0 long, bits1 long, bits2 long, bits3 long, "
     "prefix1 array<long>, prefix2 array<long>, prefix3 array<long>, tokens array<long>"
 )
@@ -103,9 +102,6 @@ class ShingleSets:
         inside = rank < length[of]
         common = [o[inside & (spread[o] > 1)] for o in orders]
         shared = np.bincount(of[common[0]], minlength=rows.num_rows) > 0
-        # as the smaller of two sets a text must share 2t / (1 + t) of its own tokens
-        least = -(-2 * self.percent * n // (100 + self.percent))
-        short = np.bincount(of[orders[0][(rank < (n - least + 1)[of]) & (spread[orders[0]] > 1)]], minlength=rows.num_rows)
         prefixes = [self.lists(keys[c], of[c], shared) for c in common]
         keep = shared[of]
         prints = [np.zeros(rows.num_rows, np.uint64) for _ in range(2)]
@@ -124,7 +120,6 @@ class ShingleSets:
                 "print_b": pa.array(prints[1].view(np.int64)),
                 "shared": pa.array(shared),
                 "common": pa.array(np.bincount(of[spread > 1], minlength=rows.num_rows).astype(np.int64)),
-                "short": pa.array(short.astype(np.int64)),
                 **{f"bits{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)},
                 "prefix1": prefixes[0],
                 "prefix2": prefixes[1],
@@ -178,9 +173,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = written(linkable.groupBy(*prints).agg(F.min("doc").alias("rep")), "classes")
     sets = linkable.join(classes.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"])
     sets = sets.withColumnRenamed("n_shingles", "n")
-    sets = written(sets.select("doc", "n", "common", "short", *BITS, "prefix1", "prefix2", "prefix3", "tokens"), "sets")
-    posts = sets.select("doc", "n", "common", "short", *BITS, F.posexplode("prefix1").alias("at", "token"))
-    posts = posts.select("doc", "n", "common", *BITS, "token", (F.col("at") < F.col("short")).alias("small"))
+    sets = written(sets.select("doc", "n", "common", *BITS, "prefix1", "prefix2", "prefix3", "tokens"), "sets")
+    posts = sets.select("doc", "n", "common", *BITS, F.posexplode("prefix1").alias("at", "token"))
+    # tokens from this one on; those that no other document has come first in the order
+    posts = posts.select("doc", "n", "common", *BITS, "token", (F.col("common") - F.col("at")).alias("rest"))
     several = posts.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
     posts = written(posts.join(several, "token"), "postings")
 
@@ -208,18 +204,18 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     parts = place.groupBy("token").agg(F.countDistinct("component").alias("parts")).where("parts > 1").select("token")
     open_ = written(place.join(parts, "token"), "open")
     left, right = (
-        open_.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "component", "n", "common", "small", *BITS)))
+        open_.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "component", "n", "common", "rest", *BITS)))
         for x in "ab"
     )
     fits = (
-        "a_component <> b_component and a_small and (a_n < b_n or a_n = b_n and a_doc <> b_doc)"
-        f" and 100 * a_n >= {percent} * b_n"
-        f" and {100 + percent} * least(a_common, b_common) >= {percent} * (a_n + b_n)"
+        "a_component <> b_component and a_doc < b_doc"
+        f" and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+        f" and {100 + percent} * least(a_rest, b_rest) >= {percent} * (a_n + b_n)"
         f" and {100 + percent} * ({' + '.join(f'bit_count(a_{b} ^ b_{b})' for b in BITS)})"
         f" <= {100 - percent} * (a_n + b_n)"
     )
     rest = left.alias("a").join(right.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(fits))
-    rest = rest.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
+    rest = rest.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
     links = links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
 
     joined = components(links).withColumnRenamed("id", "rep")
