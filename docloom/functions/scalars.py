@@ -52,24 +52,31 @@ def bad_bool(c: Column) -> Column:
 def nest_columns(
     df: DataFrame, delimiter: str = ".", prefix: str | None = None, strip_prefix: bool = False
 ) -> DataFrame:
-    """Turn columns named ``a.b.c`` into nested structs."""
-    tree: dict = {}
-    for name in df.columns:
-        if prefix is not None and not name.startswith(prefix):
-            continue
-        shown = name.replace(prefix, "", 1) if prefix and strip_prefix else name
-        *parents, leaf = shown.split(delimiter)
-        node = tree
-        for part in parents:
-            node = node.setdefault(part, {})
-        node[leaf] = F.col(f"`{name}`")
-
-    def build(node: dict) -> list[Column]:
-        return [
-            (F.struct(*build(v)) if isinstance(v, dict) else v).alias(k) for k, v in node.items()
-        ]
-
-    return df.select(*build(tree))
+    """Turn columns named ``a.b.c`` into nested structs.
+
+    Only columns that begin with ``prefix`` take part. A name that is both a value and the parent of
+    others is refused.
+    """
+    chosen = [c for c in df.columns if prefix is None or c.startswith(prefix)]
+    cut = len(prefix) if prefix and strip_prefix else 0
+
+    def level(named: list[tuple[str, str]]) -> list[Column]:
+        """Columns for names that share a parent, in the order in which they first occur."""
+        groups: dict[str, list[tuple[str, str]]] = {}
+        for name, column in named:
+            head, _, rest = name.partition(delimiter)
+            groups.setdefault(head, []).append((rest if delimiter in name else "", column))
+        return [member(head, group).alias(head) for head, group in groups.items()]
+
+    def member(head: str, group: list[tuple[str, str]]) -> Column:
+        values = [column for rest, column in group if not rest]
+        if not values:
+            return F.struct(*level(group))
+        if len(group) > 1:
+            raise ValueError(f"{head!r} is a value and a parent or occurs twice")
+        return F.col(f"`{values[0]}`")
+
+    return df.select(*level([(c[cut:], c) for c in chosen]))
 
 
 def natural_key(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable
 from functools import cache
@@ -36,8 +37,10 @@ def clean_text(c: Column) -> Column:
 def accent_table() -> tuple[str, str]:
     """Equal-length strings for ``translate``: each accented letter and its base letter."""
     found, base = [], []
-    for code in range(0xC0, 0x3000):
+    for code in range(0xC0, sys.maxunicode + 1):
         ch = chr(code)
+        if unicodedata.category(ch) in ("Cn", "Cs", "Co"):
+            continue
         stripped = "".join(
             x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn"
         )

@@ -8,19 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: objects nested deeper than this are rejected at ingest, see ``too_deep``.
-MAX_DEPTH = 20
-
 # a variant type text names fields only when the object has some: ``OBJECT<a: ...>``
 _OPEN = "schema_of_variant({0}) like 'OBJECT<%:%'"
 
 
-def leaves(body: str, max_depth: int = MAX_DEPTH) -> Column:
+def leaves(body: str, max_depth: int | None = None) -> Column:
     """``array<struct<path: array<string>, value: variant, open: boolean>>`` of a VARIANT column.
 
     Arrays, scalars, explicit nulls and empty objects are leaves. Each round opens the objects
-    of one level; rounds that find nothing to open cost one flag check. ``open`` stays true only
-    below the depth limit.
+    of one level, and there are as many rounds as the document's own type has objects, so none is
+    left closed. Rounds that find nothing to open cost one flag check. ``open`` stays true only below
+    a ``max_depth`` that the caller asks for.
     """
 
     def entry(path: str, value: str) -> str:
@@ -32,14 +30,16 @@ def leaves(body: str, max_depth: int = MAX_DEPTH) -> Column:
         f"flatten(transform(acc, x -> case when x.open then transform({fields.format('x.value')}, "
         f"y -> {entry('array_append(x.path, y.key)', 'y.value')}) else array(x) end))"
     )
+    rounds = f"greatest(2, size(split(coalesce(schema_of_variant({body}), ''), 'OBJECT<')))"
+    last = rounds if max_depth is None else str(max(2, max_depth))
     return F.expr(
-        f"aggregate(sequence(2, {max(2, max_depth)}), {top}, "
+        f"aggregate(sequence(2, {last}), {top}, "
         f"(acc, level) -> case when exists(acc, x -> x.open) then {opened} else acc end)"
     )
 
 
 def too_deep(all_leaves: Column) -> Column:
-    """True when the depth limit left an object unopened."""
+    """True when a depth limit left an object unopened."""
     return F.exists(all_leaves, lambda x: x["open"])
 
 

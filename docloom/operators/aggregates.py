@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.predicates import Clause, match_all
 from ..functions.rows import each
 
-# Fixed value: most buckets a term count returns.
-MAX_BUCKETS = 10_000
-
 
 def document_counts(df: DataFrame) -> DataFrame:
     """Number of documents per type."""
@@ -19,11 +16,11 @@ def document_counts(df: DataFrame) -> DataFrame:
 
 
 def term_counts(
-    df: DataFrame, field: str, clause: Clause | None = None, size: int = MAX_BUCKETS
+    df: DataFrame, field: str, clause: Clause | None = None, size: int | None = None
 ) -> DataFrame:
     """Documents per value, most frequent first.
 
-    Nulls have no bucket; an array element counts once per document. Counting is a partial
+    ``size`` keeps the first so many values; without it all are returned. Nulls have no bucket; an array element counts once per document. Counting is a partial
     aggregate, so a value that holds a third of all rows shuffles as one row per task.
     """
     hits = df.filter((clause or match_all())(df))
@@ -31,13 +28,13 @@ def term_counts(
         values = each(hits, [], F.array_distinct(F.col(field)), "term")
     else:
         values = hits.select(F.col(field).alias("term"))
-    return (
+    counts = (
         values.filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("n_docs"))
         .orderBy(F.desc("n_docs"), F.asc("term"))
-        .limit(size)
     )
+    return counts if size is None else counts.limit(size)
 
 
 def extremes(df: DataFrame, field: str, clause: Clause | None = None) -> DataFrame:

@@ -46,11 +46,6 @@ def header_filename(disposition: Column) -> Column:
     return F.when(F.length(name) > 0, name)
 
 
-def selector_of(xpath: str) -> str:
-    """Path expression to selector text: steps become descendants, ``[n]`` the n-th child."""
-    return re.sub(r"\[(\d*)\]", r":nth-child(\1)", xpath.replace("/", " "))
-
-
 def page_title(html: Column) -> Column:
     """Title element, entities of the basic five decoded, null when missing or empty."""
     raw = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
@@ -165,14 +160,19 @@ def _fits(element: tuple[str, int], step: tuple[str, int | None]) -> bool:
     return step[0] in ("*", element[0]) and step[1] in (None, element[1])
 
 
-def _steps(xpath: str) -> list[tuple[str, int | None]]:
-    out = []
-    for word in selector_of(xpath).split():
-        m = re.fullmatch(r"([\w*-]+)(?::nth-child\((\d+)\))?", word)
-        if not m:
-            raise ValueError(f"unsupported step {word!r} in {xpath!r}")
-        out.append((m[1], int(m[2]) if m[2] else None))
-    return out
+STEP = re.compile(r"([\w-]+|\*)(?:\[(\d+)\])?")
+
+
+def _steps(path: str) -> list[tuple[str, int | None]]:
+    """Elements of a path such as ``/html/body/div[2]`` with their position among all children."""
+    steps = []
+    for part in filter(None, (p.strip() for p in path.split("/"))):
+        found = STEP.fullmatch(part)
+        if found is None:
+            raise ValueError(f"cannot read step {part!r} of path {path!r}")
+        element, position = found.groups()
+        steps.append((element, None if position is None else int(position)))
+    return steps
 
 
 def _squeezed(parts: Sequence[str]) -> str:

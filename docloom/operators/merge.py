@@ -52,7 +52,7 @@ def fold_documents(
     seq: str = "seq",
     op: str = "op",
     body: str = "body",
-    max_depth: int = V.MAX_DEPTH,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Current state of open documents: ``keys`` plus ``body VARIANT``.
 

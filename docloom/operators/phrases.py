@@ -96,16 +96,18 @@ def merge_at(token_list: str, taken: str) -> Column:
 def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame) -> DataFrame:
     """Documents with ``token_col`` merged.
 
-    Only positions that start a phrase are shuffled back to their document, not all tokens.
+    Only positions that start a phrase are shuffled back to their document, not all tokens. Rows that
+    repeat a key are told apart by their tokens.
     """
-    spots = each(docs, [key], neighbour_pairs(F.col(token_col)), "p", at="pos").select(
-        key, (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
+    docs = docs.withColumn("__print", F.xxhash64(token_col))
+    spots = each(docs, [key, "__print"], neighbour_pairs(F.col(token_col)), "p", at="pos").select(
+        key, "__print", (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
     hits = lookup_join(spots, phrases.select("a", "b"), ["a", "b"], "left_semi")
-    taken = hits.groupBy(key).agg(greedy_starts(F.collect_list("pos")).alias("__taken"))
+    taken = hits.groupBy(key, "__print").agg(greedy_starts(F.collect_set("pos")).alias("__taken"))
     none = F.array().cast("array<int>")
     return (
-        docs.join(taken, key, "left")
+        docs.join(taken, [key, "__print"], "left")
         .withColumn("__taken", F.coalesce("__taken", none))
         .withColumn(token_col, merge_at(token_col, "__taken"))
-        .drop("__taken")
+        .drop("__taken", "__print")
     )

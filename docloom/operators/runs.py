@@ -121,7 +121,7 @@ def run_job(
             n_out = seen.get["n"]
             result = spark.read.parquet(out_path)
     except Exception as ex:
-        report(finished=True, error=True, message=str(ex)[:2000])
+        report(finished=True, error=True, message=str(ex))
         raise
     report(finished=True, n_out=n_out)
     return result

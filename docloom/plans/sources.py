@@ -16,7 +16,7 @@ def ndjson_roundtrip(spark, sf):
     docs = table(spark, sf, "documents")
     path = fresh_dir(spark, "ndjson")
     S.write_ndjson(docs, path, compression="gzip")
-    back = S.read_ndjson(spark, path, docs.schema)
+    back, _ = S.read_ndjson(spark, path, docs.schema)
     return back.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "source", "n_chars")
 
 

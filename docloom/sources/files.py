@@ -20,14 +20,26 @@ def write_ndjson(df: DataFrame, path: str, compression: str | None = None) -> No
     writer.json(path)
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Typed documents; blank lines are skipped by the reader."""
-    return (
-        spark.read.schema(schema)
+def read_ndjson(
+    spark: SparkSession, path: str, schema: str | T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Typed documents, and a quarantine of lines that are broken or hold a value of another type.
+
+    Blank lines are skipped by the reader.
+    """
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = (
+        spark.read.schema(T.StructType([*typed, T.StructField("__line", T.StringType())]))
+        .option("columnNameOfCorruptRecord", "__line")
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
         .json(path)
     )
+    bad = lines.filter(F.col("__line").isNotNull())
+    return (
+        lines.filter(F.col("__line").isNull()).drop("__line"),
+        bad.select(F.lit("json").alias("error_type"), F.col("__line").alias("data"), *typed.names),
+    )
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -64,11 +76,11 @@ def read_csv(
 ) -> DataFrame:
     """CSV with normalised headers, empty texts as null, chosen integer columns and a hash id.
 
-    Rows may span lines only inside quotes; files are read as text columns, so nothing is
-    inferred and the table is scanned once.
+    Rows may span lines inside quotes, so a file is one task; large tables come as many files. Columns
+    are read as text, nothing is inferred and the table is scanned once.
     """
     raw = spark.read.options(
-        header=True, multiLine=False, escape='"', encoding=encoding, enforceSchema=False
+        header=True, multiLine=True, escape='"', encoding=encoding, enforceSchema=False
     ).csv(path)
     out = raw.toDF(*[header_name(c) for c in raw.columns])
     cols = []

@@ -28,7 +28,7 @@ LOG = (
     "doc_type string, id string, seq struct<batch:bigint,pos:bigint>, op string, ts timestamp, "
     "body variant, message string, batch long, outcome string, type_key string"
 )
-COMMITS = "batch long, kind string, type_key string"
+COMMITS = "batch long, kind string, type_key string, writer string, epoch long"
 FAMILIES = "doc_type string, path string, family string, batch long"
 
 
@@ -45,11 +45,24 @@ class DocumentStore:
         except AnalysisException:
             return []
 
-    def _commit(self, batch: int, kind: str, type_key: str | None = None) -> None:
+    def batch_of(self, writer: str, epoch: int) -> int | None:
+        """The batch that a stream's micro-batch was stored as, if it was."""
+        try:
+            commits = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+            mine = commits.filter((F.col("writer") == writer) & (F.col("epoch") == epoch))
+            return mine.agg(F.max("batch")).first()[0]
+        except AnalysisException:
+            return None
+
+    def _commit(
+        self, batch: int, kind: str, type_key: str | None = None, source: tuple[str, int] | None = None
+    ) -> None:
         row = self.spark.range(1).select(
             F.lit(batch).cast("long").alias("batch"),
             F.lit(kind).alias("kind"),
             F.lit(type_key).cast("string").alias("type_key"),
+            F.lit(source[0] if source else None).cast("string").alias("writer"),
+            F.lit(source[1] if source else None).cast("long").alias("epoch"),
         )
         row.write.mode("append").parquet(f"{self.root}/commits")
 
@@ -118,11 +131,13 @@ class DocumentStore:
 
     # -- writing ---------------------------------------------------------------------------
 
-    def _write_log(self, rows: DataFrame, batch: int) -> None:
+    def _write_log(
+        self, rows: DataFrame, batch: int, source: tuple[str, int] | None = None
+    ) -> None:
         rows.withColumn("type_key", F.lower(F.coalesce("doc_type", F.lit("")))).write.mode(
             "overwrite"
         ).partitionBy("outcome", "type_key").parquet(f"{self.root}/log/batch={batch}")
-        self._commit(batch, "log")
+        self._commit(batch, "log", source=source)
 
     def put(
         self,
@@ -136,16 +151,16 @@ class DocumentStore:
         chain: Callable[[DataFrame], DataFrame] | None = None,
         strict: bool = False,
         order: str | None = None,
-        batch: int | None = None,
+        source: tuple[str, int] | None = None,
     ) -> int:
         """Ingest open documents (``doc_type, id, body``) and return the batch number.
 
         The chain runs first, then the schema check, the identity check and the field-family
         check. One write carries stored and rejected rows into their outcome partitions, so the
         documents are computed once for all outcomes. ``strict`` raises on the first rejection
-        before the batch becomes visible.
+        before the batch becomes visible. ``source`` names the stream and micro-batch of the rows.
         """
-        number = batch if batch is not None else self._next_batch()
+        number = self._next_batch()
         rows = chain(docs) if chain is not None else docs
         position = F.col(order) if order else F.monotonically_increasing_id()
         none = F.array().cast("array<string>")
@@ -189,7 +204,7 @@ class DocumentStore:
             ingest.strictly(
                 out.filter(~stored).select(F.col("outcome").alias("error_type"), "id", "message")
             )
-        self._write_log(out, number)
+        self._write_log(out, number, source)
         return number
 
     def _families(self, batch: DataFrame, number: int) -> DataFrame:

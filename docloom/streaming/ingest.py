@@ -22,12 +22,13 @@ def document_lines(
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    body = F.try_parse_json("value")
+    parsed = F.try_parse_json("value")
+    # a broken line has no type and so ends in the store's quarantine, with its text as body
+    kept = F.coalesce(parsed, F.parse_json(F.to_json(F.struct(F.col("value").alias("unparsed")))))
     return (
         reader.load(path)
         .filter(F.length(F.trim("value")) > 0)
-        .select("value", body.alias("body"))
-        .filter(F.col("body").isNotNull())
+        .select("value", kept.alias("body"))
         .select(
             F.try_variant_get("body", "$.doc_type", "string").alias("doc_type"),
             F.coalesce(
@@ -54,16 +55,18 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Processing chain, checks and store write per micro-batch.
 
-    The micro-batch id is the store's batch number and its directory is overwritten on replay,
-    so a restart after a failure stores nothing twice. Stored documents can be logged by day.
+    The store numbers the batches and remembers which micro-batch of which checkpoint each one came
+    from, so a replayed micro-batch is skipped and other writers' batches are left alone. Lines that
+    are no JSON are quarantined. Stored documents can be logged by day.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        now = F.current_timestamp()
-        number = store.put(
-            batch, now, analytic="ingest", session=session, chain=chain, schemas=schemas,
-            order=order, batch=epoch + 1,
-        )
+        number = store.batch_of(checkpoint, epoch)
+        if number is None:
+            number = store.put(
+                batch, F.current_timestamp(), analytic="ingest", session=session, chain=chain,
+                schemas=schemas, order=order, source=(checkpoint, epoch),
+            )
         if daily_log is not None:
             stored = store.changes(after=number - 1).filter(
                 (F.col("batch") == number) & (F.col("outcome") == "stored")

@@ -81,6 +81,21 @@ def test_leaves_open_every_level_and_report_the_limit(spark):
     assert tuple(path.first()) == ("a.a.a.a.a.a", True)
 
 
+def test_updates_far_down_merge(spark):
+    nest = lambda inner: '{"a":' * 25 + inner + "}" * 25
+    rows = [("T", "k", s, "update", nest(j)) for s, j in enumerate(('{"x":1,"y":[1]}', '{"y":2}'))]
+    log = spark.createDataFrame(rows, "doc_type string, id string, seq long, op string, j string")
+    got = as_dict(merge.fold_documents(log.withColumn("body", F.parse_json("j"))))
+    assert got == {"k": json.loads(nest('{"x":1,"y":2}'))}
+
+
+def test_columns_nest_by_their_names(spark):
+    frame = spark.createDataFrame([(1, 2, 3)], "`a.b.c` int, `a.d` int, e int")
+    assert X.nest_columns(frame).first().asDict(True) == {"a": {"b": {"c": 1}, "d": 2}, "e": 3}
+    with pytest.raises(ValueError):
+        X.nest_columns(spark.createDataFrame([(1, 2)], "`a` int, `a.b` int"))
+
+
 # -- store ---------------------------------------------------------------------------------------
 
 
@@ -309,7 +324,9 @@ def test_article_reader(spark):
     assert got["3"]["scrape_error"] and not got["3"]["scrape_status"]
     picked = articles.extract_articles(frame.limit(1), xpaths=["/html/body/article/p", "/html/body"])
     assert "side" in picked.first()["content"]
-    assert articles.selector_of("/html/body/div[2]") == " html body div:nth-child(2)"
+    assert articles._steps("//body/*/div[2]") == [("body", None), ("*", None), ("div", 2)]
+    with pytest.raises(ValueError):
+        articles._steps("/html/div[@id]")
 
 
 def test_graph_paths_and_falsy_values(spark):
