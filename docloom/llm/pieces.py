@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .arrays import Spans, gathered, text_bytes
 
 SPACE_MARK = "▁"
-#: Text bytes handled at once.
-BATCH_BYTES = 3 << 20
+#: Text bytes handled at once, and bytes of distinct stretches matched at once; memory follows these, not the texts.
+BATCH_BYTES, MATCH_BYTES = 1 << 20, 1 << 19
 UNKNOWN, START, UNSET = 0, -1, -2
 NEVER = np.iinfo(np.int32).max
 
@@ -38,10 +38,10 @@ class Model:
         kinds = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
         texts = ["" if kinds[i] else model.id_to_piece(i).replace(SPACE_MARK, " ") for i in range(n)]
         self.first_byte = next(i for i in range(n) if model.is_byte(i))
-        self.ids = np.array([i for i in range(n) if not kinds[i]])
+        self.ids = np.array([i for i in range(n) if not kinds[i]], np.int32)
         self.raw = [texts[i].encode() for i in self.ids]
         self.bytes = [bytes([i - self.first_byte]) if model.is_byte(i) else texts[i].encode() for i in range(n)]
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.length = np.array([len(b) for b in self.bytes], np.int32)
         self.rank(texts, [model.get_score(i) for i in range(n)])
         padded = [np.frombuffer(b[:8].ljust(8, fill), ">u8")[0] for b in self.raw for fill in (b"\0", b"\xff")]
         self.low, self.high = np.array(padded[::2], np.uint64), np.array(padded[1::2], np.uint64)
@@ -154,7 +154,7 @@ class Model:
         for k in range(8):
             key = key << np.uint64(8) | padded[heads + k]
         order = np.argsort(key)
-        suffixes, key = heads[order], key[order]
+        suffixes, key = heads[order].astype(np.int32), key[order]
         a, b = np.searchsorted(key, self.low), np.searchsorted(key, self.high, "right")
         size = b - a
         at, piece = [], []
@@ -168,7 +168,7 @@ class Model:
             found = suffixes[a[k] : b[k]]
             found = found[found + 8 + len(rest) <= n]
             same = (data[found[:, None] + 8 + np.arange(len(rest))] == rest).all(1) if len(found) else np.zeros(0, bool)
-            at.append(found[same]), piece.append(np.full(int(same.sum()), self.ids[k]))
+            at.append(found[same]), piece.append(np.full(int(same.sum()), self.ids[k], np.int32))
         return np.concatenate(at), np.concatenate(piece)
 
     def stretches(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,17 +179,16 @@ class Model:
         start, piece = self.edges(data)
         length = self.length[piece]
         # letters without a piece of their own
-        heads = np.flatnonzero((data & 0xC0) != 0x80)
-        wide = np.diff(np.r_[heads, len(data)])
+        heads = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        wide = np.diff(np.r_[heads, np.int32(len(data))])
         lone = np.ones(len(data), bool)
         lone[start[self.made[piece] < 0]] = False
         lone[begin + size] = False
         alone = lone[heads]
         start = np.r_[start, heads[alone]]
-        piece = np.r_[piece, np.full(int(alone.sum()), UNKNOWN)]
+        piece = np.r_[piece, np.full(int(alone.sum()), UNKNOWN, np.int32)]
         length = np.r_[length, wide[alone]]
-        own = np.searchsorted(begin, start, "right") - 1
-        far = start + length - begin[own]
+        far = (start + length - begin[np.searchsorted(begin, start, "right") - 1]).astype(np.int32)
         order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 65536 else far, kind="stable")
         start, piece, length, far = start[order], piece[order], length[order], far[order]
         last, came = np.full(len(data) + 1, UNSET), np.zeros(len(data) + 1, np.int64)
@@ -240,8 +239,14 @@ class Model:
         spans = Spans(data, offsets, border, np.r_[border[1:], len(data)] if len(border) else border)
         _, first, inverse = np.unique(spans.hashes[0], return_index=True, return_inverse=True)
         flat = data.tobytes()
-        ids, at = self.stretches([flat[a:b] for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())])
-        out, ends = gathered(ids, at, inverse)
+        begin, end = spans.start[first], spans.end[first]
+        group = np.cumsum(end - begin) // MATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(first)]
+        found = [
+            self.stretches([flat[a:b] for a, b in zip(begin[lo:hi].tolist(), end[lo:hi].tolist())]) for lo, hi in zip(cuts[:-1], cuts[1:])
+        ]
+        counts = np.concatenate([np.diff(at) for _, at in found])
+        out, ends = gathered(np.concatenate([ids for ids, _ in found]), np.r_[0, np.cumsum(counts)], inverse)
         return out, ends[spans.first]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
