@@ -24,7 +24,7 @@ from .arrays import Spans, gathered, text_bytes
 
 SPACE_MARK = "▁"
 #: Text bytes handled at once, and bytes of distinct stretches matched at once; memory follows these, not the texts.
-BATCH_BYTES, MATCH_BYTES = 1 << 20, 1 << 19
+BATCH_BYTES, MATCH_BYTES = 2 << 20, 1 << 20
 UNKNOWN, START, UNSET = 0, -1, -2
 NEVER = np.iinfo(np.int32).max
 
