@@ -273,7 +273,7 @@ def frontier(
     ``links`` has ``source_url, url`` and optionally ``corpus, meta_lang``; ``stored`` has
     ``url``. Known addresses are dropped by an anti-join and every article refers to its source.
     """
-    fresh = links.withColumn("url", F.trim("url")).join(stored.select("url"), "url", "left_anti")
+    fresh = links.withColumn("url", F.trim("url")).join(stored.select("url").distinct(), "url", "left_anti")
     own = F.col("corpus") if "corpus" in links.columns else F.lit(None).cast("string")
     out = fresh.select(
         url_id(F.col("url")).alias("id"),
@@ -300,8 +300,8 @@ def source_counts(articles: DataFrame) -> DataFrame:
 def rescrape_split(requests: DataFrame, stored: DataFrame, key: str = "id"):
     """Stored documents to return as they are, and requests that still have to be extracted."""
     return (
-        stored.join(requests.select(key), key, "left_semi"),
-        requests.join(stored.select(key), key, "left_anti"),
+        stored.join(requests.select(key).distinct(), key, "left_semi"),
+        requests.join(stored.select(key).distinct(), key, "left_anti"),
     )
 
 

@@ -65,12 +65,12 @@ def multi_get(df: DataFrame, requested: DataFrame, key: str, position: str) -> D
 
 def existing(requested: DataFrame, df: DataFrame, on: str) -> DataFrame:
     """Requests that are stored."""
-    return requested.join(df.select(on), on, "left_semi")
+    return requested.join(df.select(on).distinct(), on, "left_semi")
 
 
 def not_stored(requested: DataFrame, df: DataFrame, on: str) -> DataFrame:
     """Requests that are not stored yet."""
-    return requested.join(df.select(on), on, "left_anti")
+    return requested.join(df.select(on).distinct(), on, "left_anti")
 
 
 def types_exist(wanted: DataFrame, df: DataFrame, type_col: str = "doc_type") -> DataFrame:
