@@ -176,13 +176,15 @@ class RepeatFinder:
         )
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, then=None, schema: str = SPANS) -> DataFrame:
     """``doc, text, n_words, starts, ends``: the maximal byte runs of words that repeated windows cover.
 
     A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one text; it repeats when the
     same words also start anywhere else, in the same text included. Windows are judged on the input.
     Null texts count as empty; empty texts and texts shorter than a window have no spans; repeated
     rows repeat each other; an empty table gives an empty result; other columns are not read.
+    ``then`` turns the rows of a block into those of ``schema`` where they are found, so that texts
+    pass through Python once.
     """
     if window < 2:
         raise ValueError("a window has at least two words")
@@ -190,7 +192,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     finder = RepeatFinder(window, max(1, size // 7 // X.BUCKET_HASHES))
     hits = X.answer(X.ask(blocks, finder.ask_probes), finder.answer_probes)
     whole = X.answer(X.told(blocks, hits, finder.ask_windows, X.ASKED), finder.answer_windows)
-    return X.told(blocks, hits.unionByName(whole), finder.spans, SPANS)
+    last = (lambda rows, told: then(finder.spans(rows, told))) if then else finder.spans
+    return X.told(blocks, hits.unionByName(whole), last, schema)
 
 
 def kept_words(batch_text, starts, ends) -> list[str]:
@@ -220,31 +223,28 @@ def cut_texts(batch_text, starts, ends) -> list[str]:
 def without_repeats(docs: DataFrame, key: str = "doc_id", window: int = 35) -> DataFrame:
     """``doc_id, text`` with the repeated passages cut out; see ``repeated_spans``."""
 
-    def cut(batches):
-        for batch in batches:
-            spans = (batch.column(c).to_pylist() for c in ("text", "starts", "ends"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc"), "text": pa.array(cut_texts(*spans), pa.string())})
+    def cut(found: pa.Table) -> pa.Table:
+        spans = (found.column(c).to_pylist() for c in ("text", "starts", "ends"))
+        return pa.table({"doc_id": found.column("doc"), "text": pa.array(cut_texts(*spans), pa.string())})
 
-    return repeated_spans(docs, key, window=window).mapInArrow(cut, "doc_id long, text string")
+    return repeated_spans(docs, key, window=window, then=cut, schema="doc_id long, text string")
 
 
 def repeats_digest(docs: DataFrame, window: int = 35) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
     import hashlib
 
-    def digest(batches):
-        for batch in batches:
-            n = batch.column("n_words").to_numpy()
-            kept = kept_words(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())
-            left = np.array([x.count(" ") + 1 if x else 0 for x in kept], np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc"),
-                    "n_words": pa.array(n),
-                    "n_removed": pa.array(n - left),
-                    "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept]),
-                }
-            )
-
-    spans = repeated_spans(docs, window=window)
-    return spans.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def digest(found: pa.Table) -> pa.Table:
+        n = found.column("n_words").to_numpy()
+        kept = kept_words(*(found.column(c).to_pylist() for c in ("text", "starts", "ends")))
+        left = np.array([x.count(" ") + 1 if x else 0 for x in kept], np.int64)
+        return pa.table(
+            {
+                "doc_id": found.column("doc"),
+                "n_words": pa.array(n, pa.int64()),
+                "n_removed": pa.array(n - left, pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string()),
+            }
+        )
+
+    return repeated_spans(docs, window=window, then=digest, schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
