@@ -8,8 +8,11 @@ the bits. Two seeds give two independent hashes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -17,6 +20,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that are hashed at once; one longer text is taken alone.
 PIECE = (1 << 19) - 1
+#: Bytes that Spark hands to Python at once, where the session names no number of its own.
+ARROW_BYTES = 4 << 20
+ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to move rows to Python in batches of few bytes.
+
+    A batch stands several times outside the heap of an executor; with long texts the usual number of
+    rows a batch takes hundreds of MB a task. Groups still arrive whole, as tables of several chunks.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_SETTING, None) is None:
+        conf.set(ARROW_SETTING, str(ARROW_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers stay alive between tasks and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import give_back, in_small_batches
+
 #: Text bytes a block holds on average, and hashes a bucket is sized for.
 BLOCK_BYTES, BUCKET_HASHES = 4 << 20, 400_000
 ASKED = "bucket int, block int, question binary"
@@ -27,7 +29,7 @@ def text_blocks(docs: DataFrame, key: str, text: str = "text", block_bytes: int
     ``row_key`` hashes key and text, so rows with a null or repeated key spread over blocks as
     well; equal rows are interchangeable.
     """
-    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
+    rows = in_small_batches(docs).select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / (block_bytes or BLOCK_BYTES)))
     keyed = rows.withColumn("row_key", F.xxhash64("doc", "text"))
@@ -84,14 +86,25 @@ def by_bucket(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("answer").to_pylist()))
 
 
+def returning(work):
+    """``work`` on tables, giving memory back after each."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        found = work(*tables)
+        give_back()
+        return found
+
+    return run
+
+
 def ask(blocks: DataFrame, question) -> DataFrame:
-    return blocks.groupBy("block").applyInArrow(lambda rows: question(rows), ASKED)
+    return blocks.groupBy("block").applyInArrow(lambda rows: returning(question)(rows), ASKED)
 
 
 def answer(asked: DataFrame, reply) -> DataFrame:
-    return asked.groupBy("bucket").applyInArrow(lambda rows: reply(rows), ANSWERED)
+    return asked.groupBy("bucket").applyInArrow(lambda rows: returning(reply)(rows), ANSWERED)
 
 
 def told(blocks: DataFrame, answered: DataFrame, use, schema: str) -> DataFrame:
     """``use(rows of a block, answers to it)`` for every block of documents."""
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda rows, told: use(rows, told), schema)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda rows, told: returning(use)(rows, told), schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Spans, gathered, text_bytes
+from .arrays import Spans, gathered, give_back, in_small_batches, text_bytes
 
 SPACE_MARK = "▁"
 #: Text bytes handled at once, and bytes of distinct stretches matched at once; memory follows these, not the texts.
@@ -275,7 +275,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """
     import zlib
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
         model = shared_model(path)
@@ -299,6 +299,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if keep_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_pydict(columns)
+                give_back()
 
     schema = "doc long, n_pieces long, ids_crc32 long, exact boolean" + ", ids array<int>" * keep_ids
     return rows.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .arrays import Words, windows
+from .arrays import Words, give_back, in_small_batches, windows
 
 CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 11, 12, 13, 32),
@@ -79,9 +79,10 @@ def document_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
                 found = statistics(rows.column(1))
                 columns = {key: rows.column(0)} | {c: pa.array(found[:, k].astype(np.float32)) for k, c in enumerate(COLUMNS)}
                 yield pa.RecordBatch.from_pydict(columns)
+            give_back()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(make, f"`{key}` {kind}, " + ", ".join(f"{c} float" for c in COLUMNS))
+    return in_small_batches(docs).select(key, text).mapInArrow(make, f"`{key}` {kind}, " + ", ".join(f"{c} float" for c in COLUMNS))
 
 
 class Fourier:
