@@ -12,6 +12,7 @@ symbols; expansion lengths; symbols and marks. Symbols are stored by byte planes
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -57,8 +58,9 @@ def chunk_borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts; each distinct piece between safe borders is tokenized once while it is remembered.
 
-    New pieces are tokenized as long texts: pieces that begin with white space can follow each other,
-    and the byte lengths of the ids tell where each ends.
+    New pieces are tokenized as long texts: a piece that begins with white space can follow one that does
+    not end with it, and the byte lengths of the ids tell where each ends. Added tokens such as
+    ``<|endoftext|>`` are pieces of their own, as the tokenizer splits them off before anything else.
     """
 
     #: Pieces remembered at most, by 64-bit hash; then the memory starts anew.
@@ -68,22 +70,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], np.uint32)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        vocabulary, added = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on the text around them are not built")
+        self.size = np.zeros(max(*vocabulary.values(), *added) + 1, np.int64)
         for piece, n in vocabulary.items():
             self.size[n] = len(piece)  # one letter for each byte
+        for n, token in added.items():
+            self.size[n] = len(token.content.encode())
+        contents = sorted((t.content.encode() for t in added.values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
+        self.apart = any(SPACE[list(c)].any() for c in contents)  # joined pieces could spell an added token
         self.forget()
 
     def forget(self) -> None:
         self.known, self.values, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    def borders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at safe borders, and around added tokens but not inside them."""
+        border = chunk_borders(data, offsets)
+        flat = data.tobytes()
+        if self.added is None or self.added.search(flat) is None:
+            return border
+        found = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in self.added.finditer(flat, a, b)]
+        if not found:
+            return border
+        start, end = np.array(found).T
+        last = np.searchsorted(start, border) - 1  # the last token that starts before the border
+        return np.union1d(border[(last < 0) | (border >= end[last])], np.r_[start, end])
+
+    @staticmethod
+    def open_end(piece: bytes) -> bool:
+        """Whether white space of any kind ends the piece, which more of it would change."""
+        return piece[-1] <= 32 or piece[-1] >= 0x80 and piece[-4:].decode(errors="ignore")[-1:].isspace()
+
     def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces and their offsets."""
         out, sizes = [], []
         for k in range(0, len(pieces), 4096):
             own = pieces[k : k + 4096]
-            joint = [i for i, p in enumerate(own) if p[0] > 32]  # has to begin a text
+            # has to begin a text
+            joint = [i for i, p in enumerate(own) if p[0] > 32 or self.apart or i and self.open_end(own[i - 1])]
             cuts = sorted({0, *joint, len(own)})
             texts = [b"".join(own[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:])]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,7 +140,7 @@ class Encoder:
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, and the number of each text."""
         data, offsets = text_bytes(texts)
-        border = chunk_borders(data, offsets)
+        border = self.borders(data, offsets)
         border = border[border < len(data)]
         spans = Spans(data, offsets, border, np.r_[border[1:], len(data)] if len(border) else border)
         distinct, first, inverse = np.unique(spans.hashes[0], return_index=True, return_inverse=True)

@@ -162,6 +162,22 @@ def test_token_files(docs, none, monkeypatch):
     assert token_files.token_digest(none, path).count() == 0
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = [f"end {mark} of text", mark, f"{mark}{mark}", f"a\n{mark}\n\nb", f"  {mark}  x", "<|endof", "text|>", f"é\u3000{mark} \u3000z", "plain", "x\n", "b\n\nc"]
+    texts += [f"v{i}{'  ' if i % 2 else chr(10)}" for i in range(40)] + [f"v{i}\n\nw{i}" for i in range(40)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    got = token_files.token_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    at = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        at += len(ids)
+
+
 def test_grammar_blocks_are_read_from_anywhere():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 30, 20000).astype(np.uint32)
