@@ -2,7 +2,7 @@
 
 Documents are dealt into shards by ranges of their ids and encoded in order. A shard is stored as
 blocks, each by its own Re-Pair grammar: frequent pairs of neighbouring symbols are replaced by new
-symbols, round after round. A block keeps its rules, their expansion lengths, and the expanded place
+symbols, round after round, until no pair stands twice. A block keeps its rules, their expansion lengths, and the expanded place
 of every 1024th symbol, so a range of ids is decoded without the rest of the block.
 
 Block layout (little-endian): ``RPG1``, counts of documents, ids, rules, symbols and marks as 32-bit
@@ -110,7 +110,7 @@ class Encoder:
         for k in range(0, len(pieces), 4096):
             own = pieces[k : k + 4096]
             # has to begin a text
-            joint = [i for i, p in enumerate(own) if p[0] > 32 or self.apart or i and self.open_end(own[i - 1])]
+            joint = [i for i, p in enumerate(own) if p[0] > 32 or self.apart or i and not 32 < own[i - 1][-1] < 128 and self.open_end(own[i - 1])]
             cuts = sorted({0, *joint, len(own)})
             texts = [b"".join(own[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:])]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -161,53 +161,77 @@ def shared_encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def compressed(ids: np.ndarray, rounds: int, least: int):
-    """Symbols and rules ``left, right, length`` after some rounds of replacing pairs seen ``least`` times or more.
+def compressed(ids: np.ndarray, rounds: int | None = None, least: int = 2):
+    """Symbols and rules ``left, right, length`` after replacing pairs until none is seen ``least`` times.
 
-    Of overlapping pairs the more frequent is replaced. Pairs are counted in a table of hash slots, each
-    for the pair that wrote to it last, so a round takes a few passes and no sort; a frequent pair that
-    another has driven out of its slot is left for the next round, whose slots differ.
+    ``rounds`` ends it earlier. Of overlapping pairs the more frequent is replaced, of equally frequent
+    ones the same in every copy; in a run of one symbol every other place counts. Pairs are counted in a
+    table of hash slots, each for the pair that wrote to it last, so a round takes a few passes and no
+    sort; a pair that another has driven out of its slot is left for the next round, whose slots differ.
+    A pair seen too seldom can only become rarer, so its places rest until a neighbour is replaced.
     """
     symbols = ids.astype(np.uint32)
     left, right, length = [], [], []
-    size = np.ones(FIRST_RULE, np.int64)
-    for k in range(rounds):
-        if len(symbols) < 2:
-            break
-        a, b = symbols[:-1], symbols[1:]
-        slot = (a * np.uint32(0x9E3779B1 + 2 * k) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-        holder = np.zeros(1 << 20, np.int64)
-        holder[slot] = np.arange(len(slot))
+    size = [np.ones(FIRST_RULE, np.int64)]
+    first = FIRST_RULE
+    live = np.ones(max(0, len(symbols) - 1), bool)  # pairs that may be frequent
+    k = 0
+    while (rounds is None or k < rounds) and len(at := np.flatnonzero(live)):
+        a, b = symbols[at], symbols[at + 1]
+        same = np.flatnonzero(a == b)
+        if len(same):  # every other place of a run
+            place = at[same]
+            begin = np.r_[True, np.diff(place) > 1]
+            odd = (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 1
+            kept = np.ones(len(at), bool)
+            kept[same[odd]] = False
+            at, a, b = at[kept], a[kept], b[kept]
+        bits = min(20, max(10, (2 * len(at)).bit_length()))
+        slot = a * np.uint32((0x9E3779B1 + 0x3C6EF372 * k) & 0xFFFFFFFF | 1) ^ b * np.uint32((0x85EBCA6B + 0x27D4EB2E * k) & 0xFFFFFFFF | 1)
+        slot ^= slot >> np.uint32(15)
+        slot = (slot * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
+        holder = np.zeros(1 << bits, np.int32)
+        holder[slot] = np.arange(len(slot), dtype=np.int32)
         mine = holder[slot]
         own = (a[mine] == a) & (b[mine] == b)
-        counts = np.bincount(slot[own], minlength=1 << 20)
-        counts[counts < least] = 0
-        rank = np.zeros(len(slot) + 2, np.int64)
-        rank[1:-1] = np.where(own, counts[slot], 0)
-        where = np.flatnonzero((rank[1:-1] > rank[:-2]) & (rank[1:-1] >= rank[2:]))
-        if not len(where):
-            break
-        rule = np.zeros(1 << 20, np.int64)
-        rule[slot[where]] = 1
-        used = np.flatnonzero(rule)
-        rule[used] = np.arange(len(used))
-        first = len(size)
-        if first + len(used) >= 1 << 24:
+        counts = np.bincount(slot[own], minlength=1 << bits)
+        often = own & (counts[slot] >= least)
+        live[at[own & ~often]] = False
+        k += 1
+        if not often.any():
+            continue
+        spots, held = at[often], slot[often]
+        rank = counts[held] << 20 | held
+        less = (spots[1:] - spots[:-1] > 1) | (rank[:-1] < rank[1:])
+        more = (spots[1:] - spots[:-1] > 1) | (rank[:-1] > rank[1:])
+        taken = np.r_[True, less] & np.r_[more, True]
+        where, held = spots[taken], held[taken]
+        uses = np.bincount(held, minlength=1 << bits)
+        several = uses[held] >= least
+        where, held = where[several], held[several]
+        used = np.flatnonzero(uses >= least)
+        if first + len(used) > 1 << 24:  # no more rules than 3 bytes can name
             break
+        rule = np.zeros(1 << bits, np.uint32)
+        rule[used] = np.arange(first, first + len(used), dtype=np.uint32)
+        first += len(used)
         left.append(a[holder[used]].astype(np.int64)), right.append(b[holder[used]].astype(np.int64))
-        length.append(size[left[-1]] + size[right[-1]])
-        size = np.r_[size, length[-1]]
-        new = (first + rule[slot[where]]).astype(np.uint32)
-        symbols = symbols.copy()
-        symbols[where] = new
+        known = np.concatenate(size)
+        length.append(known[left[-1]] + known[right[-1]])
+        size = [known, length[-1]]
+        symbols[where] = rule[held]
+        live[where] = live[np.minimum(where + 1, len(live) - 1)] = True
+        live[np.maximum(where - 1, 0)] = True
         kept = np.ones(len(symbols), bool)
         kept[where + 1] = False
+        # the pair behind a replaced one starts at the new symbol
+        live = live[kept[: len(live)]][: int(kept.sum()) - 1]
         symbols = symbols[kept]
     joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, length)]
     return symbols, *joined
 
 
-def packed_block(docs, counts: np.ndarray, ids: np.ndarray, rounds: int, least: int) -> bytes:
+def packed_block(docs, counts: np.ndarray, ids: np.ndarray, rounds: int | None = None, least: int = 2) -> bytes:
     symbols, left, right, length = compressed(ids, rounds, least)
     width = np.r_[np.ones(FIRST_RULE, np.int64), length][symbols]
     marks = np.r_[0, np.cumsum(width)][:-1:MARK_EVERY]
@@ -247,19 +271,20 @@ class Block:
             return np.zeros(0, np.uint32)
         a, b = int(np.searchsorted(self.marks, start, "right")) - 1, int(np.searchsorted(self.marks, stop, "left"))
         symbols = self.symbols[a * MARK_EVERY : b * MARK_EVERY]
-        while len(made := np.flatnonzero(symbols >= FIRST_RULE)):
-            place = np.arange(len(symbols))
-            place[1:] += np.cumsum(symbols >= FIRST_RULE)[:-1]
-            out = np.empty(len(symbols) + len(made), np.int64)
-            out[place] = symbols
-            out[place[made]] = self.left[symbols[made]]
-            out[place[made] + 1] = self.right[symbols[made]]
-            symbols = out
-        base = int(self.marks[a])
-        return symbols[start - base : stop - base].astype(np.uint32)
-
-
-def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, rounds: int = 2, least: int = 256) -> DataFrame:
+        at = int(self.marks[a]) + np.r_[0, np.cumsum(self.length[symbols])][:-1]
+        out = np.empty(stop - start, np.uint32)
+        while len(symbols):
+            inside = (at < stop) & (at + self.length[symbols] > start)
+            symbols, at = symbols[inside], at[inside]
+            single = symbols < FIRST_RULE
+            out[at[single] - start] = symbols[single]
+            symbols, at = symbols[~single], at[~single]
+            halves = self.left[symbols], self.right[symbols]
+            symbols, at = np.concatenate(halves), np.r_[at, at + self.length[halves[0]]]
+        return out
+
+
+def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, rounds: int | None = None, least: int = 2) -> DataFrame:
     """Blocks ``shard, block, n_docs, n_ids, data`` of all rows in ascending order of ``key``.
 
     Null keys come first; rows with equal keys follow each other by text. Null texts count as empty and

@@ -188,6 +188,32 @@ def test_grammar_blocks_are_read_from_anywhere():
         assert (block.ids(a, b) == ids[a:b]).all()
 
 
+def pairs_seen_twice(symbols) -> int:
+    """Pairs that two places hold, which do not overlap."""
+    last, seen = {}, Counter()
+    for i, pair in enumerate(zip(symbols[:-1], symbols[1:])):
+        if i - last.get(pair, -2) > 1:
+            seen[pair] += 1
+            last[pair] = i
+    return sum(n > 1 for n in seen.values())
+
+
+def test_grammars_leave_no_repeated_pair(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rare = " ".join(f"rare{i} words" for i in range(300))
+    texts = [f"{PASSAGE} copy"] * 3000 + [f"no {i} {rare}" for i in range(100)] + ["la " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = [token_files.Block(bytes(r.data)) for r in token_files.shards(docs, path).collect()]
+    n_ids, n_symbols = sum(b.size for b in blocks), sum(len(b.symbols) for b in blocks)
+    assert n_ids > 400_000 and n_symbols < n_ids / 100
+    assert not any(pairs_seen_twice(b.symbols.tolist()) for b in blocks)
+    for block in blocks:
+        whole = block.ids()
+        assert len(whole) == block.size
+        for a in range(0, block.size, 50_001):
+            assert (block.ids(a, a + 777) == whole[a : a + 777]).all()
+
+
 def test_quality(spark, docs, none):
     good = [(i, " ".join(f"word{(i * 7 + j) % 97}" for j in range(40)) + ".", 1) for i in range(100, 160)]
     bad = [(i, "BUY!! $$$ " * (i % 9 + 2), 0) for i in range(200, 260)]
