@@ -159,8 +159,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     A set holds the distinct shingles of ``width`` lower-cased words; a shorter text is one shingle.
     Null, empty and wordless texts have an empty set and stay alone, as does a null key (component
-    null). Keys should be unique; rows that repeat a key are taken as one document each and end in the
-    component of that key. Equal sets are one class from the start. An empty table gives no rows; other
+    null). Rows that repeat a key are compared as one document each, and all end in the component of that
+    key, which so holds what any of them is linked to. Equal sets are one class from the start. An empty table gives no rows; other
     columns are not read.
     """
     blocks, _, size = X.text_blocks(docs, key, text)
@@ -170,9 +170,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     prints = ["n_shingles", "print_a", "print_b"]
     linkable = signs.where("shared and doc is not null")
-    classes = written(linkable.groupBy(*prints).agg(F.min("doc").alias("rep")), "classes")
-    sets = linkable.join(classes.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"])
-    sets = sets.withColumnRenamed("n_shingles", "n")
+    # a class is named by its prints, as one key can stand in several
+    classes = linkable.groupBy(*prints).agg(F.min("doc").alias("doc")).withColumn("rep", F.xxhash64(*prints))
+    classes = written(classes, "classes")
+    sets = linkable.join(classes, [*prints, "doc"]).dropDuplicates(["rep"])
+    sets = sets.drop("doc").withColumnRenamed("rep", "doc").withColumnRenamed("n_shingles", "n")
     sets = written(sets.select("doc", "n", "common", *BITS, "prefix1", "prefix2", "prefix3", "tokens"), "sets")
     posts = sets.select("doc", "n", "common", *BITS, F.posexplode("prefix1").alias("at", "token"))
     # tokens from this one on; those that no other document has come first in the order
@@ -218,9 +220,18 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rest = rest.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
     links = links.unionByName(verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
 
-    joined = components(links).withColumnRenamed("id", "rep")
-    found = classes.join(joined, "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component"))
     named = signs.select("doc", *prints, F.when(F.col("shared") & F.col("doc").isNotNull(), True).alias("linkable"))
-    grouped = named.where("linkable").join(found, prints).select("doc", "n_shingles", "component")
-    alone = named.where("linkable is null").select("doc", "n_shingles", F.col("doc").alias("component"))
-    return grouped.unionByName(alone)
+    # keys of several rows tie their classes, and rows that link to nothing
+    keys = named.where("doc is not null").withColumn("rep", F.when(F.col("linkable"), F.xxhash64(*prints)))
+    keys = keys.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), (F.count("*") > F.count("rep")).alias("mixed"))
+    keys = written(keys.where("a <> last or mixed and a is not null"), "keys")
+    tied = named.where("linkable").select("doc", F.xxhash64(*prints).alias("b")).distinct()
+    tied = tied.join(keys.where("a <> last").select("doc", "a"), "doc").select("a", "b").where("a <> b").distinct()
+    joined = components(links.unionByName(tied)).withColumnRenamed("id", "rep")
+    found = classes.join(joined, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    least = found.groupBy("root").agg(F.min("doc").alias("component"))
+    found = written(found.drop("component", "doc").join(least, "root").select("rep", *prints, "component"), "found")
+    grouped = named.where("linkable").join(found.drop("rep"), prints).select("doc", "n_shingles", "component")
+    known = keys.where("mixed").join(found.withColumnRenamed("rep", "a"), "a").select("doc", "component")
+    alone = named.where("linkable is null").select("doc", "n_shingles").join(known, "doc", "left")
+    return grouped.unionByName(alone.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component")))

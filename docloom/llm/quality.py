@@ -71,18 +71,23 @@ def statistics(texts) -> np.ndarray:
     return np.concatenate([x if x.ndim == 2 else x[:, None] for x in out], axis=1)
 
 
-def document_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
+def document_statistics(docs: DataFrame, key: str, text: str, carry=()) -> DataFrame:
     def make(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                found = statistics(rows.column(1))
-                columns = {key: rows.column(0)} | {c: pa.array(found[:, k].astype(np.float32)) for k, c in enumerate(COLUMNS)}
+                found = statistics(rows.column(text))
+                columns = {c: rows.column(c) for c in (key, *carry)} | {c: pa.array(found[:, k].astype(np.float32)) for k, c in enumerate(COLUMNS)}
                 yield pa.RecordBatch.from_pydict(columns)
             give_back()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return in_small_batches(docs).select(key, text).mapInArrow(make, f"`{key}` {kind}, " + ", ".join(f"{c} float" for c in COLUMNS))
+    kinds = f"{kept_columns(docs, key, carry)}, " + ", ".join(f"{c} float" for c in COLUMNS)
+    return in_small_batches(docs).select(*dict.fromkeys((key, text, *carry))).mapInArrow(make, kinds)
+
+
+def kept_columns(df: DataFrame, key: str, carry) -> str:
+    """Schema of the key and the carried columns."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *carry))
 
 
 class Fourier:
@@ -144,9 +149,9 @@ def isotonic(score: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, trainable, key: str = "doc_id", text: str = "text", label: str = "quality",
-    features: int = 256, width: float = 5.0, penalty: float = 1.0, most_rows: int = 200_000, parts: int = 16,
+    features: int = 256, width: float = 5.0, penalty: float = 1.0, most_rows: int = 200_000, parts: int = 16, carry=(),
 ) -> DataFrame:
-    """``key, score`` for each row: the probability that its label is 1.
+    """``key, score`` for each row, with the columns ``carry`` between them: the probability that its label is 1.
 
     Learns from at most about ``most_rows`` labelled rows that ``trainable`` (a column expression on the
     key) admits, chosen by a hash of the key; statistics and scores cover all rows and whole texts. Null
@@ -154,16 +159,15 @@ def quality_scores(
     are null are left out and repeated labels count once each; repeated rows get equal scores. Without a
     single label everything scores 0.5. An empty table gives no rows; other columns are not read.
     """
-    stats = written(document_statistics(docs, key, text), "statistics")
+    stats = written(document_statistics(docs, key, text, carry), "statistics")
     marks = labels.where(trainable & F.col(label).isNotNull()).select(key, F.col(label).cast("double").alias("label"))
     total = marks.count()
     if total > most_rows:
         marks = marks.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
     train = written(stats.join(marks, key).withColumn("half", F.pmod(F.xxhash64(key), F.lit(2)).cast("int")), "training")
     moments = train.agg(*(F.avg(c) for c in COLUMNS), *(F.stddev_pop(c) for c in COLUMNS)).first()
-    kind = stats.schema[key].dataType.simpleString()
     if moments[0] is None:
-        return stats.select(key, F.lit(0.5).alias("score"))
+        return stats.select(key, *carry, F.lit(0.5).alias("score"))
     fourier = Fourier(moments[: len(COLUMNS)], moments[len(COLUMNS) :], features, width)
     halves = normal_equations(train, fourier, parts)
     other = [ridge(*halves[1 - h], penalty) for h in (0, 1)]
@@ -182,6 +186,6 @@ def quality_scores(
     def scored(batches):
         for batch in batches:
             raw = np.clip(fourier(matrix(batch)) @ whole, -1, 2)
-            yield pa.RecordBatch.from_pydict({key: batch.column(key), "score": pa.array(np.interp(raw, knots, shares))})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in (key, *carry)} | {"score": pa.array(np.interp(raw, knots, shares))})
 
-    return stats.mapInArrow(scored, f"`{key}` {kind}, score double")
+    return stats.mapInArrow(scored, f"{kept_columns(stats, key, carry)}, score double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import exchange as X
 from .arrays import Words, covered, from_planes, planes, windows
@@ -41,8 +42,8 @@ class RepeatFinder:
     second, independent hash chooses, so this comparison sharpens as buckets grow in number.
     """
 
-    def __init__(self, window: int, buckets: int):
-        self.window, self.anchor, self.buckets = window, (window + 1) // 2, buckets
+    def __init__(self, window: int, buckets: int, extra: dict[str, pa.DataType] | None = None):
+        self.window, self.anchor, self.buckets, self.extra = window, (window + 1) // 2, buckets, extra or {}
 
     def words(self, rows: pa.Table) -> Words:
         return Words(rows.column("text"), seeds=(1, 2))
@@ -144,7 +145,8 @@ class RepeatFinder:
         """Rows of a block with the byte spans of the words to remove."""
         if not rows.num_rows:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.schema(zip(("row_key", "doc", "text", "n_words", "starts", "ends"), kinds)).empty_table()
+            names = ("row_key", "doc", "text", "n_words", "starts", "ends")
+            return pa.schema([*zip(names, kinds), *self.extra.items()]).empty_table()
         rows = X.ordered(rows)
         words, replies = self.words(rows), X.by_bucket(told)
         full, bucket, start = self.candidates(words, {k: v for k, v in replies.items() if k >= 0})
@@ -172,11 +174,12 @@ class RepeatFinder:
                 "n_words": pa.array(np.diff(words.first)),
                 "starts": lists[0],
                 "ends": lists[1],
+                **{c: rows.column(c).cast(kind) for c, kind in self.extra.items()},
             }
         )
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, then=None, schema: str = SPANS) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, then=None, schema: str = SPANS, extra=()) -> DataFrame:
     """``doc, text, n_words, starts, ends``: the maximal byte runs of words that repeated windows cover.
 
     A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one text; it repeats when the
@@ -184,12 +187,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     Null texts count as empty; empty texts and texts shorter than a window have no spans; repeated
     rows repeat each other; an empty table gives an empty result; other columns are not read.
     ``then`` turns the rows of a block into those of ``schema`` where they are found, so that texts
-    pass through Python once.
+    pass through Python once; it also gets the columns ``extra`` of each row.
     """
     if window < 2:
         raise ValueError("a window has at least two words")
-    blocks, _, size = X.text_blocks(docs, key, text)
-    finder = RepeatFinder(window, max(1, size // 7 // X.BUCKET_HASHES))
+    blocks, _, size = X.text_blocks(docs, key, text, extra=extra)
+    finder = RepeatFinder(window, max(1, size // 7 // X.BUCKET_HASHES), {c: to_arrow_type(docs.schema[c].dataType) for c in extra})
     hits = X.answer(X.ask(blocks, finder.ask_probes), finder.answer_probes)
     whole = X.answer(X.told(blocks, hits, finder.ask_windows, X.ASKED), finder.answer_windows)
     last = (lambda rows, told: then(finder.spans(rows, told))) if then else finder.spans
@@ -220,14 +223,15 @@ def cut_texts(batch_text, starts, ends) -> list[str]:
     return out
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", window: int = 35) -> DataFrame:
-    """``doc_id, text`` with the repeated passages cut out; see ``repeated_spans``."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", window: int = 35, extra=()) -> DataFrame:
+    """``doc_id, text`` of each row with the repeated passages cut out, and its columns ``extra``; see ``repeated_spans``."""
 
     def cut(found: pa.Table) -> pa.Table:
         spans = (found.column(c).to_pylist() for c in ("text", "starts", "ends"))
-        return pa.table({"doc_id": found.column("doc"), "text": pa.array(cut_texts(*spans), pa.string())})
+        return pa.table({"doc_id": found.column("doc"), "text": pa.array(cut_texts(*spans), pa.string())} | {c: found.column(c) for c in extra})
 
-    return repeated_spans(docs, key, window=window, then=cut, schema="doc_id long, text string")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return repeated_spans(docs, key, window=window, then=cut, schema="doc_id long, text string" + kinds, extra=extra)
 
 
 def repeats_digest(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -263,3 +263,66 @@ def test_pipeline(spark):
     kept = corpus_pipeline.run(spark, sf)
     assert 0 < kept.count() < docs.count() and kept.where("not exact").count() == 0
     assert kept.select("doc_id").distinct().count() == kept.count()
+
+
+def test_jaccard_links_every_text_of_a_key(spark):
+    one, two, odd = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (2, f"{one} more"), (3, f"{two} more"), (4, odd), (3, "alone here"), (None, one), (5, None)]
+    got = Counter((r.doc, r.component) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (None, None), (5, 5)])
+
+
+def shingled(text):
+    words = WORD.findall((text or "").translate(LOW))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stages_take_each_row_as_a_document(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    some = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    near = [" ".join(f"{x}{i}" for i in range(80)) for x in "abc"]
+    texts = [*some, *near, *(f"{t} more" for t in near), near[0], near[0], "", "", " ", None, f"one {PASSAGE} two", f"three {PASSAGE} four"]
+    rows = [([None, 7, 7, i][i % 4], t, "en", f"s{i % 2}") for i, t in enumerate(texts)]
+    rows += [rows[2], rows[0], rows[60], rows[60], (None, None, None, None), (7, near[1], None, "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def kept(stage):
+        return Counter(tuple(r)[:4] for r in stage(spark, docs, sf).select("doc_id", "text", "lang", "source").collect())
+
+    labels = queries.table(spark, sf, "labels")
+    scored = quality.quality_scores(docs, labels, queries.remainder(4) != 2, carry=("text",)).collect()
+    score = {r.text: r.score for r in scored}
+    assert len(scored) == len(rows) and kept(p.keep_good) == Counter(r for r in rows if score[r[1]] >= 0.7)
+
+    sets, group = [shingled(t) for _, t, *_ in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    got = kept(p.keep_one_of_each)
+    assert sum(got.values()) == len(set(group)) and not got - Counter(rows)
+    least = Counter(min((rows[k][0] for k in range(len(rows)) if group[k] == g), key=lambda x: (x is None, x or 0)) for g in set(group))
+    assert Counter(k[0] for k in got.elements()) == least
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = Counter()
+    for r, w in zip(rows, words):
+        gone = {i + j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        if len(gone) < len(w):
+            want[r[0], " ".join(x for i, x in enumerate(w) if i not in gone), *r[2:]] += 1
+    made = Counter()
+    for (a, b, c, d), n in kept(p.cut_repeats).items():
+        made[a, " ".join(WORD.findall(b)), c, d] += n
+    assert made == want
+
+    bench = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").translate(LOW)) for r in queries.table(spark, sf, "benchmark").collect()]
+    grams = {tuple(w[i : i + min(len(w), 10)]) for w in bench if w for i in range(len(w) - min(len(w), 10) + 1)}
+
+    def clean(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+        return not any(tuple(w[i : i + m]) in grams for m in {len(g) for g in grams} for i in range(len(w) - m + 1))
+
+    assert kept(p.cut_benchmark) == Counter(r for r in rows if clean(r[1]))
