@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_model, pieces, quality, repeats, token_files, vector_join, warc
+from . import (
+    chat, decontaminate, jaccard, language_model, manifest, negatives, pieces, quality, repeats, shards, token_files, vector_join, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +78,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shards_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_cosine_join, op3_lm_scores, op4_repeats, op5_chat_format, op6_sentencepiece,
         op7_warc_derivatives, op8_jaccard_join, op9_token_files, op10_decontaminate,
+        op11_manifest, op12_shards, op13_hard_negatives,
     )
 }
 
@@ -151,3 +166,91 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(12 + length(role) + 1 + length(safe) + 11)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
 }
+
+#: Table of the CRC-32 polynomial.
+CRC_TABLE = """
+crc_step(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, k + 1 FROM crc_step WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8)"""
+
+
+def crc32_sql(data: str) -> str:
+    """CRC-32 of a list of byte values, with the table ``t`` in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda acc, b: xor(acc // 256, t[(xor(acc % 256, b) + 1)::INT])), 4294967295::BIGINT)"
+
+
+def manifest_sql(levels: int = 6, tops: int = 3) -> str:
+    """SQL of the manifest for at most 8**levels rows of a ``lang`` and 8**tops values of it.
+
+    Level k of a tree has the digests of level k - 1 in runs of eight; ``size`` is its number of nodes. A
+    level above a tree's top repeats the top.
+    """
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def tree(first: str, name: str, count: int) -> list[str]:
+        out, below = [], first
+        for k in range(1, count + 1):
+            out.append(f"""{name}{k} AS MATERIALIZED (SELECT g, pos // 8 AS pos, list(h ORDER BY pos) AS kids, any_value(n) AS below,
+  CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h, (any_value(n) + 7) // 8 AS n
+  FROM {below} GROUP BY g, pos // 8)""")
+            below = f"{name}{k}"
+        return out
+
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = LOWER.format("text").replace("coalesce(text, '')", "text")
+    bytes_of = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)"
+    parts = [
+        CRC_TABLE.strip(),
+        f"""l AS (SELECT doc_id, lang AS g, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field(lower)}) AS low,
+  coalesce({crc32_sql(bytes_of)} % 3 = 0, false) AS hit FROM documents, crc_table)""",
+        """a0 AS MATERIALIZED (SELECT doc_id, g, leaf AS h, CASE WHEN hit THEN low ELSE leaf END AS shown,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l)""",
+        *tree("a0", "a", levels),
+        f"""b0 AS MATERIALIZED (SELECT 0 AS g, g AS lang, h, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS pos,
+  count(*) OVER () AS n FROM a{levels})""",
+        *tree("b0", "b", tops),
+    ]
+    joins, steps = [], []
+    for k in range(1, levels + 1):
+        joins.append(f"JOIN a{k} ON a{k}.g IS NOT DISTINCT FROM a0.g AND a{k}.pos = a0.pos // {8**k}")
+        steps.append((f"a{k}", f"(a0.pos // {8 ** (k - 1)} % 8)::INT"))
+    joins.append("JOIN b0 ON b0.lang IS NOT DISTINCT FROM a0.g")
+    for k in range(1, tops + 1):
+        joins.append(f"JOIN b{k} ON b{k}.pos = b0.pos // {8**k}")
+        steps.append((f"b{k}", f"(b0.pos // {8 ** (k - 1)} % 8)::INT"))
+    path = ", ".join(f"CASE WHEN {t}.below > 1 THEN {{'i': {i}, 'k': {t}.kids}} END" for t, i in steps)
+    parts.append(f"""p AS (SELECT a0.doc_id, a0.h AS leaf, a0.shown, b0.h AS subroot, b{tops}.h AS root,
+  list_filter([{path}], lambda s: s IS NOT NULL) AS path FROM a0 {' '.join(joins)})""")
+    parts.append("""f AS (SELECT *, sha256(array_to_string(flatten(list_transform(path, lambda s: s.k[:s.i] || s.k[s.i + 2:])), '')) AS proof_sha256,
+  list_reduce(list_prepend({'i': 0, 'k': [shown]}, path),
+    lambda acc, s: {'i': 0, 'k': [sha256(array_to_string(s.k[:s.i] || acc.k || s.k[s.i + 2:], ''))]}).k[1] AS folded_root FROM p)""")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"
+
+
+SQL["op11_manifest"] = manifest_sql()
+SQL["op12_shards"] = f"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+s AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size,
+        {crc32_sql("list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substring(hex(encode(coalesce(text, ''))), (2 * i + 1)::BIGINT, 2))::BIGINT)")} AS text_crc32
+      FROM documents, crc_table),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+        md5('mixture:' || coalesce(doc_id::VARCHAR, '-') || ':' || text_crc32 || ':' || size), doc_id NULLS FIRST) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos * 40 // total)::INT AS shard,
+  pos - ((pos * 40 // total) * total + 39) // 40 AS slot, NULL::INT AS grown_shard, source FROM p"""
+SQL["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike,
+    list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INT AS rank,
+  n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.alike AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 10"""
