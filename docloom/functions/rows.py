@@ -1,8 +1,8 @@
-"""Arrays to rows."""
+"""Arrays to rows, and values computed once."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,3 +21,8 @@ def each(
         F.col(place).isNotNull()
     )
     return out if at else out.drop(place)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

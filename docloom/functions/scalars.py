@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .dates import scanned
+
 
 def percent_encode(c: Column) -> Column:
     """Percent-encode with no safe characters besides letters, digits and ``_.-~``."""
@@ -123,18 +125,6 @@ STRPTIME_LETTERS = {
     "%f": "SSSSSS", "%j": "DDD",
 }
 
-# Shapes tried after the configured formats and ISO 8601.
-COMMON_SHAPES = [
-    "yyyy/MM/dd", "dd MMM yyyy", "dd MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MM/dd/yyyy",
-]
-
-# Date-like pieces that the fuzzy mode looks for inside a longer text.
-FUZZY_SHAPES = [
-    (r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"),
-    (r"(\d{4}/\d{2}/\d{2})", "yyyy/MM/dd"),
-    (r"(\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4})", "d MMM yyyy"),
-]
-
 
 def java_pattern(strptime_format: str) -> str:
     """Java date pattern for a strptime format; literal letters are quoted."""
@@ -152,15 +142,16 @@ def java_pattern(strptime_format: str) -> str:
     return re.sub(r"%.|[A-Za-z]+", piece, strptime_format)
 
 
-def lenient_timestamp(c: Column, formats: Sequence[str] = (), fuzzy: bool = True) -> Column:
-    """Configured formats in order, then ISO and common shapes, then a date inside the text."""
+def lenient_timestamp(
+    c: Column, formats: Sequence[str] = (), fuzzy: bool = True, now: Column | None = None, day_first: bool = False
+) -> Column:
+    """Configured formats in order, then ISO, then a text that is a date, then (``fuzzy``) a date inside a text.
+
+    ``now`` is what relative phrases such as "two weeks ago" count from in the fuzzy mode.
+    """
     tries = [F.try_to_timestamp(c, F.lit(java_pattern(f))) for f in formats]
     tries.append(F.try_to_timestamp(c))
-    tries += [F.try_to_timestamp(c, F.lit(p)) for p in COMMON_SHAPES]
-    if fuzzy:
-        tries += [
-            F.try_to_timestamp(F.regexp_extract(c, shape, 1), F.lit(p)) for shape, p in FUZZY_SHAPES
-        ]
+    tries.append(scanned(c, day_first, whole=not fuzzy, now=now if fuzzy else None))
     return F.coalesce(*tries)
 
 

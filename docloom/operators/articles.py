@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import text_hash
+from ..functions import summaries
+from ..functions.scalars import iso_text, lenient_timestamp, text_hash
+from ..functions.text import stop_words
 
 # the page reader travels with the UDF, so workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -229,18 +231,27 @@ def extract_articles(
     html: str = "html",
     keep_html: bool = False,
     xpaths: Sequence[str] = (),
+    stop: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Article documents from stored pages, one row per page."""
+    """Article documents from stored pages, one row per page.
+
+    ``keywords`` are the most frequent words of the content without stop words (by default Spark's English list);
+    ``summary`` is made of its heaviest sentences; ``publish_date`` is ISO text, null when the page's text is no date.
+    """
     parsed = pages.withColumn("__a", read_article(F.col(html), xpaths))
+    parsed = parsed.withColumn("__title", F.coalesce(page_title(F.col(html)), F.col(url)))
+    parsed = summarised(parsed, F.col("__a.content"), F.col("__title"), stop)
     ok = F.col("__a.error").isNull()
     out = [
         url_id(F.col(url)).alias("id"),
         F.lit("NewsArticle").alias("doc_type"),
         F.col(url).alias("url"),
-        F.coalesce(page_title(F.col(html)), F.col(url)).alias("title"),
+        F.col("__title").alias("title"),
         F.col("__a.content").alias("content"),
+        F.col("__keywords").alias("keywords"),
+        F.col("__summary").alias("summary"),
         F.col("__a.authors").alias("authors"),
-        F.col("__a.publish_date").alias("publish_date"),
+        iso_text(lenient_timestamp(F.col("__a.publish_date"))).alias("publish_date"),
         F.col("__a.top_image").alias("top_image"),
         site_of(F.col(url)).alias("source_url"),
         page_language(F.col(html)).alias("meta_lang"),
@@ -253,6 +264,17 @@ def extract_articles(
     return parsed.select(*out)
 
 
+def summarised(docs: DataFrame, content: Column, title: Column, stop: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` with ``__keywords`` and ``__summary`` of a text; each step is a projection of the one before."""
+    banned = stop_words() if stop is None else stop
+    out = docs.withColumns({"__text": content, "__sentences": summaries.sentences(content)})
+    out = out.withColumn("__keys", F.slice(summaries.counted(summaries.weighty(F.col("__text"), banned)), 1, summaries.KEYWORDS))
+    scored = summaries.sentence_scores(F.col("__sentences"), title, F.col("__keys"), banned)
+    out = out.withColumn("__scored", scored)
+    out = out.withColumns({"__keywords": F.transform("__keys", lambda k: k["term"]), "__summary": summaries.best_sentences(F.col("__scored"))})
+    return out.drop("__text", "__sentences", "__keys", "__scored")
+
+
 def override_content(content: Column, selected: Column) -> Column:
     """Selector text wins over empty content and over content much shorter than it."""
     longer = F.length(selected) > 0

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Word2Vec
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.rows import each
@@ -248,20 +248,3 @@ def save_model(model: PipelineModel, root: str, name: str, instance: str, now: C
 
 def load_model(root: str, name: str, instance: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/models/{name}/{instance}")
-
-
-def word_vectors(docs: DataFrame, token_col: str, size: int = 50, seed: int = SEED, min_count: int = 5):
-    """Word2Vec model of a token column; ``findSynonyms`` gives the nearest words."""
-    return Word2Vec(
-        inputCol=token_col, outputCol="vector", vectorSize=size, minCount=min_count, seed=seed
-    ).fit(docs)
-
-
-def text_vectors(docs: DataFrame, token_col: str, buckets: int = 1 << 14) -> PipelineModel:
-    """Hashed TF-IDF vectors for text search by similarity."""
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol=token_col, outputCol="tf", numFeatures=buckets),
-            IDF(inputCol="tf", outputCol="vector"),
-        ]
-    ).fit(docs)

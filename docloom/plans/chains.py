@@ -95,13 +95,138 @@ def normalised_dates(spark, sf):
 
 
 @register("""
-SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'bar' ELSE 'none' END AS foo, c_name FROM customer
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 13 <> 0 THEN 'bar ' || lower(c_name) ELSE 'none' END AS foo, c_name,
+       CASE WHEN c_mktsegment <> 'BUILDING' THEN 'not run' WHEN c_custkey % 13 = 0 THEN 'KeyError: ' || c_custkey ELSE 'ok' END AS outcome
+FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_custkey % 13 <> 0 AND c_custkey % 17 = 0)
 """)
 def user_step(spark, sf):
+    """A document function that drops some documents and fails for others."""
     docs = table(spark, sf, "customer").select(
         "c_custkey", "c_name", F.col("c_mktsegment").alias("doc_type"), F.lit("none").alias("foo")
     )
-    return P.user_step(docs, "BUILDING", lambda frame: frame.assign(foo="bar")).drop("doc_type")
+
+    def named(parameters, doc):
+        if doc["c_custkey"] % 13 == 0:
+            raise KeyError(doc["c_custkey"])
+        return None if doc["c_custkey"] % 17 == 0 else {"foo": f"{parameters['word']} {doc['c_name'].lower()}"}
+
+    out = P.user_step(docs, "BUILDING", P.each_document(named), ["c_custkey", "c_name"], {"foo": "string"}, parameters={"word": "bar"})
+    ran = F.get("_pipeline", F.lit(0))
+    outcome = F.when(ran.isNull(), "not run").when(ran["error"], last_line(ran["message"])).otherwise("ok")
+    return out.select("c_custkey", "foo", "c_name", outcome.alias("outcome"))
+
+
+def last_line(message):
+    """The last line of a traceback."""
+    return F.regexp_extract(message, r"([^\n]+)\s*$", 1)
+
+
+@register("""
+WITH d AS (SELECT doc_id, lang AS doc_type, CASE WHEN doc_id % 3 = 0 THEN n_chars || ' letters' WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars::VARCHAR END AS raw
+           FROM documents WHERE NOT (lang = 'en' AND doc_id % 11 = 0 AND doc_id % 7 <> 0))
+SELECT doc_id, CASE WHEN doc_type = 'en' AND doc_id % 3 <> 0 THEN raw::BIGINT END AS size,
+  CASE WHEN doc_type <> 'en' THEN NULL WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 OR raw IS NULL THEN 'unread' ELSE 'about ' || (raw::BIGINT // 100) END AS word,
+  doc_type = 'en' AS done,
+  CASE WHEN doc_type <> 'en' THEN '' ELSE
+    'Size' || CASE WHEN doc_id % 3 = 0 THEN '!cannot cast ''' || raw || ''' to bigint' ELSE '' END || ';Word' ||
+    CASE WHEN doc_id % 7 = 0 THEN '!ValueError: seventh ' || doc_id ELSE '' END || ';Done' END AS audit
+FROM d
+""")
+def chain_errors(spark, sf):
+    """A chain in which a cast fails for some documents and a Python step raises for others; the audit tells both."""
+    n, key = F.col("n_chars").cast("string"), F.col("doc_id")
+    raw = F.when(key % 3 == 0, F.concat(n, F.lit(" letters"))).when(key % 5 != 0, n)
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("doc_type"), raw.alias("raw"))
+
+    def word(frame, parameters):
+        frame["word"] = parameters["unread"]
+        bad = frame["doc_id"][frame["doc_id"] % 7 == 0]
+        if len(bad):
+            raise ValueError(f"seventh {bad.iloc[0]}")
+        known = frame["size"].notna()
+        frame.loc[known, "word"] = "about " + (frame.loc[known, "size"].astype("int64") // 100).astype(str)
+        return frame[frame["doc_id"] % 11 != 0]
+
+    steps = [
+        P.Step("Size", P.cast_field, {"source": "raw", "target": "size", "type": "bigint"}),
+        P.PythonStep("Word", word, ["doc_id", "size"], {"word": "string"}, {"unread": "unread"}),
+        P.Step("Done", P.constant_field, {"target": "done", "value": True}),
+    ]
+    out = P.run_chain(docs, {"en": steps}, audit="steps")
+    failed = lambda s: F.when(s["error"], F.concat(F.lit("!"), last_line(s["message"]))).otherwise("")
+    told = F.transform("steps", lambda s: F.concat(s["step_name"], failed(s)))
+    return out.select("doc_id", "size", "word", F.coalesce("done", F.lit(False)).alias("done"), F.array_join(told, ";").alias("audit"))
+
+
+# the month names of two languages, first in both dialects of SQL
+FRENCH = "'janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre'"
+GERMAN = "'Januar','Februar','März','April','Mai','Juni','Juli','August','September','Oktober','November','Dezember'"
+# a text with a date: for DuckDB, for Spark, and what is to be found in it
+DATE_FORMS = [
+    (
+        "'Shipped on ' || monthname(t) || ' ' || day(t) || ', ' || year(t) || ' at ' || strftime(t, '%I:%M:%S %p') || ' from Hamburg'",
+        "'Shipped on ' || date_format(t, 'MMMM') || ' ' || day(t) || ', ' || year(t) || ' at ' || date_format(t, 'hh:mm:ss a') || ' from Hamburg'",
+        "t",
+    ),
+    (
+        f"'livré le ' || day(t) || ' ' || [{FRENCH}][month(t)] || ' ' || year(t) || ' à ' || strftime(t, '%H:%M') || ' !'",
+        f"'livré le ' || day(t) || ' ' || array({FRENCH})[month(t) - 1] || ' ' || year(t) || ' à ' || date_format(t, 'HH:mm') || ' !'",
+        "date_trunc('minute', t)",
+    ),
+    (
+        "'seen at ' || strftime(t, '%Y-%m-%dT%H:%M:%S') || '+0530, then closed'",
+        "'seen at ' || date_format(t, \"yyyy-MM-dd'T'HH:mm:ss\") || '+0530, then closed'",
+        "t - INTERVAL 330 MINUTE",
+    ),
+    (
+        "day(t) || 'th of ' || monthname(t) || ' ' || year(t) || ' ' || strftime(t, '%H:%M:%S') || ' GMT'",
+        "day(t) || 'th of ' || date_format(t, 'MMMM') || ' ' || year(t) || ' ' || date_format(t, 'HH:mm:ss') || ' GMT'",
+        "t",
+    ),
+    (
+        "strftime(t, '%m/%d/%Y %I:%M:%S') || CASE WHEN hour(t) >= 12 THEN ' p.m.' ELSE ' a.m.' END",
+        "date_format(t, 'MM/dd/yyyy hh:mm:ss') || CASE WHEN hour(t) >= 12 THEN ' p.m.' ELSE ' a.m.' END",
+        "t",
+    ),
+    ("'log ' || strftime(t, '%Y%m%dT%H%M%S') || ' end'", "'log ' || date_format(t, \"yyyyMMdd'T'HHmmss\") || ' end'", "t"),
+    (
+        f"strftime(t, '%d. ') || [{GERMAN}][month(t)] || strftime(t, ' %Y, %H:%M:%S') || ' Uhr'",
+        f"date_format(t, 'dd. ') || array({GERMAN})[month(t) - 1] || date_format(t, ' yyyy, HH:mm:ss') || ' Uhr'",
+        "t",
+    ),
+    ("strftime(t, '%a %b %d %H:%M:%S %Y')", "date_format(t, 'EEE MMM dd HH:mm:ss yyyy')", "t"),
+    ("'some time ago'", "'some time ago'", "NULL"),
+    (
+        "'about ' || (1 + k % 40) || ' days ago'",
+        "'about ' || (1 + k % 40) || ' days ago'",
+        "TIMESTAMP '2024-01-10 12:30:00' - to_days((1 + k % 40)::INT)",
+    ),
+    ("'due in three weeks'", "'due in three weeks'", "TIMESTAMP '2024-01-31 12:30:00'"),
+    (
+        "'between ' || strftime(t, '%d.%m.%y') || ' and later'",
+        "'between ' || date_format(t, 'dd.MM.yy') || ' and later'",
+        "CASE WHEN day(t) > 12 THEN date_trunc('day', t) ELSE make_timestamp(year(t), day(t), month(t), 0, 0, 0) END",
+    ),
+]
+
+
+def forms_sql(which: int) -> str:
+    return f"CASE k % {len(DATE_FORMS)} {' '.join(f'WHEN {i} THEN {form[which]}' for i, form in enumerate(DATE_FORMS))} END"
+
+
+@register(f"""
+WITH o AS (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP + to_seconds((o_orderkey * 7919 % 86400)::BIGINT) AS t FROM orders)
+SELECT k AS o_orderkey, {forms_sql(0)} AS raw, coalesce(strftime(({forms_sql(2)})::TIMESTAMP, '%Y-%m-%dT%H:%M:%S'), 'none') AS day FROM o
+""")
+def fuzzy_dates(spark, sf):
+    """Dates with times of day inside sentences of four languages, zones, relative phrases and bare numbers."""
+    key = F.col("o_orderkey")
+    moment = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + key * 7919 % 86400)
+    docs = table(spark, sf, "orders").select(key.alias("k"), moment.alias("t"))
+    docs = docs.select("k", F.expr(forms_sql(1)).alias("raw"), F.lit("Order").alias("doc_type"))
+    step = P.Step("DateNormalizer", P.date_normalizer, {"source": "raw", "target": "day", "now": "2024-01-10 12:30:00"})
+    out = P.run_chain(docs, {"Order": [step]})
+    return out.select(F.col("k").alias("o_orderkey"), "raw", F.coalesce(iso_text(F.col("day")), F.lit("none")).alias("day"))
 
 
 # Labelled patterns for text references.

@@ -225,3 +225,34 @@ def schema_rules_open(spark, sf):
     docs = table(spark, sf, "events").withColumn("body", F.parse_json(F.expr(EVENT_JSON)))
     broken = F.array_sort(rules.document_violations(schema, docs, "body"))
     return docs.select("event_id", F.array_join(broken, "; ").alias("broken"))
+
+
+TREE_JSON = """
+CASE WHEN o_orderkey % 4 = 3 THEN '{"size":3,"kids":[{"size":"x"},{"size":1,"kids":[{"size":' || (o_orderkey % 5 - 2) || '}]}],"more":{"a":{"size":2},"b":{"size":-7}}}'
+ELSE repeat('{"size":1,"next":', d) || '{"size":' || (o_orderkey % 3 - 1) || ',"pair":[1,' || CASE WHEN o_orderkey % 2 = 0 THEN '"y"' ELSE '2' END || ',3]}' || repeat('}', d) END"""
+
+
+@register(f"""
+WITH o AS (SELECT o_orderkey, (o_orderkey % 7)::INT AS d FROM orders)
+SELECT o_orderkey, repeat('next.', d) || 'size: minimum' AS violation FROM o WHERE o_orderkey % 4 <> 3 AND o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, repeat('next.', d) || 'pair: items[1]' FROM o WHERE o_orderkey % 4 <> 3 AND o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, repeat('next.', d) || 'pair: additionalItems' FROM o WHERE o_orderkey % 4 <> 3
+UNION ALL SELECT o_orderkey, v FROM o, (VALUES ('kids[0].size: type'), ('more.b.size: minimum')) t(v) WHERE o_orderkey % 4 = 3
+UNION ALL SELECT o_orderkey, 'kids[1].kids[0].size: minimum' FROM o WHERE o_orderkey % 4 = 3 AND o_orderkey % 5 < 2
+""")
+def schema_cycle(spark, sf):
+    """Rules of a node that refers to itself by a field, by the elements of a list and by unnamed fields."""
+    node = {
+        "type": "object",
+        "properties": {
+            "size": {"$ref": "#/definitions/Size"},
+            "next": {"$ref": "#/definitions/Node"},
+            "kids": {"type": "array", "items": {"$ref": "#/definitions/Node"}},
+            "more": {"type": "object", "additionalProperties": {"$ref": "#/definitions/Node"}},
+            "pair": {"type": "array", "items": [{"type": "integer"}, {"type": "integer"}], "additionalItems": False},
+        },
+    }
+    schema = {"$ref": "#/definitions/Node", "definitions": {"Node": node, "Size": {"type": "integer", "minimum": 0}}}
+    docs = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("d"))
+    docs = docs.select("o_orderkey", F.parse_json(F.expr(TREE_JSON)).alias("body"))
+    return rules.recursive_violations(docs, "o_orderkey", "body", schema)

@@ -296,9 +296,3 @@ def lda_documents(spark, sf):
 def topic_coherence(spark, sf):
     topics = {0: COHERENCE_WORDS[:5], 1: COHERENCE_WORDS[5:]}
     return T.coherence(documents(spark, sf), "doc_id", "words", topics)
-
-
-@register()
-def similar_words(spark, sf):
-    model = T.word_vectors(documents(spark, sf), "words", size=16, min_count=20)
-    return model.findSynonyms("the", 10)

@@ -9,6 +9,7 @@ from ..functions.predicates import exists
 from ..operators import articles as A, search as S, words as W
 from ..session import spread
 from .registry import register, table
+from .texts import STOP, kept_sql
 
 SITE = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 
@@ -35,13 +36,18 @@ def page_articles(spark, sf):
     )
 
 
-@register(r"""
-WITH a AS (SELECT url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+# content of a page's article element, line by line
+CONTENT_SQL = r"""
+a AS (SELECT url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
 l AS (SELECT url, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
         regexp_replace(regexp_replace(body, '(?i)</?(p|h1|h2|li|br|div)(\s[^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g'),
         '&quot;?', '"', 'g'), '&copy;?', chr(169), 'g'), '&middot;', chr(183), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), chr(10)) AS lines FROM a),
 c AS (SELECT url, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[ \t\r\f\v\x{A0}]+', ' ', 'g'))),
-        lambda x: x <> ''), chr(10) || chr(10)) AS content FROM l)
+        lambda x: x <> ''), chr(10) || chr(10)) AS content FROM l)"""
+
+
+@register(rf"""
+WITH {CONTENT_SQL}
 SELECT sha256(url) AS id, true AS scrape_status, length(content) AS n_chars, sha256(content) AS digest FROM c
 """)
 def article_content(spark, sf):
@@ -53,6 +59,35 @@ def article_content(spark, sf):
     )
 
 
+@register(rf"""
+WITH {CONTENT_SQL},
+p AS (SELECT c.url, content, coalesce(nullif(regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&amp;?', '&', 'g'), ''), c.url) AS title,
+        regexp_extract(html, 'published_time" content="([^"]*)"', 1) AS stamp FROM c JOIN pages USING (url)),
+t AS (SELECT url, unnest({kept_sql('content')}) AS term FROM p),
+k AS (SELECT url, term, count(*) AS n, row_number() OVER (PARTITION BY url ORDER BY count(*) DESC, term) AS r FROM t GROUP BY url, term QUALIFY r <= 10),
+kw AS (SELECT url, list(term ORDER BY r) AS keywords, max(n) AS most FROM k GROUP BY url),
+s AS (SELECT url, title, unnest(x) AS s, unnest(range(len(x))) AS i FROM (SELECT url, title,
+        list_filter(list_transform(string_split_regex(regexp_replace(content, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '\n+'), lambda y: trim(y)), lambda y: y <> '') AS x FROM p)),
+w AS (SELECT *, {kept_sql('s')} AS words, list_distinct({kept_sql('title')}) AS named FROM s),
+h AS (SELECT w.url, w.i, sum(n) AS hits FROM (SELECT url, i, unnest(words) AS term FROM w) w JOIN k ON k.url = w.url AND k.term = w.term GROUP BY ALL),
+z AS (SELECT w.url, w.i, w.s, round(0.4::DOUBLE * CASE WHEN len(named) > 0 THEN len(list_intersect(named, words))::DOUBLE / len(named) ELSE 0 END
+        + 0.4::DOUBLE * CASE WHEN len(words) > 0 THEN coalesce(hits, 0)::DOUBLE / most / len(words) ELSE 0 END + 0.2::DOUBLE / (w.i + 1), 9) AS z
+      FROM w LEFT JOIN h ON h.url = w.url AND h.i = w.i LEFT JOIN kw ON kw.url = w.url),
+b AS (SELECT url, s, i FROM z QUALIFY row_number() OVER (PARTITION BY url ORDER BY z DESC, i) <= 5),
+g AS (SELECT url, string_agg(s, chr(10) ORDER BY i) AS summary FROM b GROUP BY url)
+SELECT sha256(p.url) AS id, coalesce(array_to_string(keywords, ' '), '') AS keywords, coalesce(summary, '') AS summary,
+       coalesce(strftime(try_cast(stamp AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S'), '') AS publish_date
+FROM p LEFT JOIN kw ON kw.url = p.url LEFT JOIN g ON g.url = p.url
+""")
+def article_summary(spark, sf):
+    found = A.extract_articles(pages(spark, sf), stop=STOP)
+    empty = F.lit("")
+    return found.select(
+        "id", F.coalesce(F.array_join("keywords", " "), empty).alias("keywords"), F.coalesce("summary", empty).alias("summary"),
+        F.coalesce("publish_date", empty).alias("publish_date"),
+    )
+
+
 @register()
 def article_by_selector(spark, sf):
     found = A.extract_articles(pages(spark, sf), xpaths=["/html/body/article", "/html/body/div[2]"])
