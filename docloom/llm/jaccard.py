@@ -31,6 +31,9 @@ SIGNATURES = (
     "prefix1 array<long>, prefix2 array<long>, prefix3 array<long>, tokens array<long>"
 )
 BITS = [f"bits{k}" for k in range(4)]
+#: Tokens before a posting that it carries, so that a pair is formed at its first shared token only. A pair that shares none of
+#: these but several later ones is formed once for each of those; it is made distinct before it is verified.
+LEAD = 64
 
 
 class ShingleSets:
@@ -204,9 +207,12 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         place = written(known.withColumn("component", F.coalesce("component", "doc")), "places")
     # whatever is left: all pairs across components that share a token
     parts = place.groupBy("token").agg(F.countDistinct("component").alias("parts")).where("parts > 1").select("token")
-    open_ = written(place.join(parts, "token"), "open")
+    # both prefixes follow one order, so a token that stands before this one in both is one where the pair forms already
+    lead = F.slice("prefix1", F.lit(1), F.least(F.col("common") - F.col("rest"), F.lit(LEAD)).cast("int"))
+    open_ = place.join(parts, "token").join(sets.select("doc", "prefix1"), "doc").withColumn("lead", lead)
+    open_ = written(open_.select("token", "doc", "component", "n", "common", "rest", "lead", *BITS), "open")
     left, right = (
-        open_.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "component", "n", "common", "rest", *BITS)))
+        open_.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "component", "n", "common", "rest", "lead", *BITS)))
         for x in "ab"
     )
     fits = (
@@ -215,6 +221,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         f" and {100 + percent} * least(a_rest, b_rest) >= {percent} * (a_n + b_n)"
         f" and {100 + percent} * ({' + '.join(f'bit_count(a_{b} ^ b_{b})' for b in BITS)})"
         f" <= {100 - percent} * (a_n + b_n)"
+        " and not arrays_overlap(a_lead, b_lead)"
     )
     rest = left.alias("a").join(right.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(fits))
     rest = rest.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
