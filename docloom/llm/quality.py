@@ -134,17 +134,26 @@ def ridge(a: np.ndarray, b: np.ndarray, penalty: float) -> np.ndarray:
     return np.linalg.solve(a + penalty * np.eye(len(b)), b)
 
 
+def pooled(rows: list[list[float]]) -> list[list[float]]:
+    """Adjacent violators pooled: rows of (sum of scores, their number, good, cases) whose share of good cases rises."""
+    out: list[list[float]] = []
+    for row in rows:
+        out.append(list(row))
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            last = out.pop()
+            out[-1] = [x + y for x, y in zip(out[-1], last)]
+    return out
+
+
 def isotonic(score: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: centres of the pools and their shares, smoothed by half a case each way."""
+    """Centres of the pools and their shares, which rise.
+
+    Pools are smoothed by half a case each way. That moves small ones more than large ones, so they are pooled once more.
+    """
     order = np.argsort(score)
-    pools: list[list[float]] = []
-    for s, g, m in zip(score[order], good[order], n[order]):
-        pools.append([s * m, g, m])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
-    sums = np.array(pools)
-    return sums[:, 0] / sums[:, 2], (sums[:, 1] + 0.5) / (sums[:, 2] + 1)
+    pools = pooled([[s * m, m, g, m] for s, g, m in zip(score[order], good[order], n[order])])
+    sums = np.array(pooled([[s, m, g + 0.5, c + 1] for s, m, g, c in pools]))
+    return sums[:, 0] / sums[:, 1], sums[:, 2] / sums[:, 3]
 
 
 def quality_scores(
@@ -156,15 +165,16 @@ def quality_scores(
     Learns from at most about ``most_rows`` labelled rows that ``trainable`` (a column expression on the
     key) admits, chosen by a hash of the key; statistics and scores cover all rows and whole texts. Null
     texts count as empty and are scored like them; null keys are scored but never learnt from; labels that
-    are null are left out and repeated labels count once each; repeated rows get equal scores. Without a
-    single label everything scores 0.5. An empty table gives no rows; other columns are not read.
+    are null are left out. A key is learnt from once, whatever its rows and labels: from one of its rows, with the mean of its
+    labels. Repeated rows get equal scores. Without a single label everything scores 0.5. An empty table gives no rows; other columns are not read.
     """
     stats = written(document_statistics(docs, key, text, carry), "statistics")
-    marks = labels.where(trainable & F.col(label).isNotNull()).select(key, F.col(label).cast("double").alias("label"))
+    marks = labels.where(trainable & F.col(label).isNotNull()).groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("label"))
     total = marks.count()
     if total > most_rows:
         marks = marks.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    train = written(stats.join(marks, key).withColumn("half", F.pmod(F.xxhash64(key), F.lit(2)).cast("int")), "training")
+    once = stats.join(marks, key).groupBy(key).agg(F.min(F.struct(*COLUMNS)).alias("s"), F.first("label").alias("label"))
+    train = written(once.select(key, "s.*", "label").withColumn("half", F.pmod(F.xxhash64(key), F.lit(2)).cast("int")), "training")
     moments = train.agg(*(F.avg(c) for c in COLUMNS), *(F.stddev_pop(c) for c in COLUMNS)).first()
     if moments[0] is None:
         return stats.select(key, *carry, F.lit(0.5).alias("score"))
