@@ -28,15 +28,20 @@ def vectors(column) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_py(), np.float64) for x in column])
 
 
-def unit_rows(table: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """One row ``label, rep, weight, vector`` for equal vectors: unit length, doubles as bytes."""
-    good = (
+def usable(key: str, vector: str, label: str):
+    return (
         F.col(label).isNotNull() & F.col(vector).isNotNull() & F.col(key).isNotNull()
         & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(vector, lambda x: x != 0)
     )
-    rows = table.where(good).select(F.col(label).cast("long").alias("label"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    same = rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+
+
+def unit_rows(rows: DataFrame) -> DataFrame:
+    """One row ``label, v, least, weight, vector, rep`` for equal vectors of ``rows(label, id, v)``.
+
+    ``vector`` has unit length, doubles as bytes; ``rep`` is a number of its own, since ids may repeat.
+    """
+    same = rows.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
 
     def normal(batches):
         for batch in batches:
@@ -45,11 +50,10 @@ def unit_rows(table: DataFrame, key: str, vector: str, label: str) -> DataFrame:
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 v = v / np.abs(v).max()
                 out.append((v / np.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_pydict(
-                {"label": batch.column("label"), "rep": batch.column("rep"), "weight": batch.column("weight"), "vector": pa.array(out, pa.binary())}
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "vector"])
 
-    return same.mapInArrow(normal, "label long, rep long, weight long, vector binary")
+    found = same.mapInArrow(normal, f"label long, v {same.schema['v'].dataType.simpleString()}, least long, weight long, vector binary")
+    return found.withColumn("rep", F.monotonically_increasing_id())
 
 
 def chosen_pivots(units: DataFrame) -> dict:
@@ -140,12 +144,14 @@ def cosine_links(table: DataFrame, threshold: float = 0.93, key: str = "vec_id",
 
     Only rows with equal labels are compared. Rows whose label, key or vector is null, or whose vector is
     all zero or holds a null or a non-finite component, link with nothing; so do vectors of different
-    lengths. Equal vectors link with each other; rows that repeat a key count as one partner each and
-    share a component. An empty table gives no rows; other columns are not read.
+    lengths. Equal vectors link with each other. Rows that repeat a key are vectors of their own: each has its links and
+    its component. An empty table gives no rows; other columns are not read.
     """
     radius = float(np.sqrt(2 - 2 * threshold))
-    units = written(unit_rows(table, key, vector, label), "units")
-    everywhere = written(placed(units, chosen_pivots(units), radius), "cells")
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
+    good = usable("id", "v", "label")
+    units = written(unit_rows(rows.where(good)), "units")
+    everywhere = written(placed(units.drop("v"), chosen_pivots(units), radius), "cells")
     sizes = everywhere.groupBy("label", "cell").agg(
         F.ceil(F.sum(F.col("own").cast("int")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights")
     )
@@ -160,14 +166,10 @@ def cosine_links(table: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     found = written(found, "links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = units.select("label", "rep", "weight", "vector").drop("vector").join(links, "rep", "left").join(joined, "rep", "left")
-
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
-    members = rows.groupBy("label", "v").agg(F.min("id").alias("rep"))
-    named = rows.join(members, rows["label"].eqNullSafe(members["label"]) & rows["v"].eqNullSafe(members["v"]), "left").select("id", "rep")
-    out = named.join(known.select("rep", "weight", "links", "component"), "rep", "left")
-    return out.select(
-        "id",
-        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("weight").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep")).alias("component"),
-    )
+    known = units.select("label", "v", "rep", "least", "weight").join(links, "rep", "left").join(joined, "rep", "left")
+    known = written(known.withColumn("component", F.coalesce("component", "rep")), "known")
+    first = known.groupBy("component").agg(F.min("least").alias("first"))
+    known = known.join(first, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first")
+    linked = rows.where(good).join(known, ["label", "v"]).select("id", F.col("n_links").cast("long"), F.col("first").alias("component"))
+    alone = rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return linked.unionByName(alone)
