@@ -54,7 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row keeps its own other columns, whether its id is null or repeated.
     """
     rest = repeats.without_repeats(docs, extra=("lang", "source"))
-    return rest.where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return rest.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

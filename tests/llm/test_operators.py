@@ -114,6 +114,15 @@ def test_vectors(spark, monkeypatch):
     assert vector_join.cosine_links(frame.where("false")).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    """Rows that share an id are vectors of their own; a null vector gets no links through its id."""
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.99, 0.1]
+    rows = [(1, a, 0), (1, b, 0), (2, c, 0), (1, a, 0), (3, b, 0), (1, None, 0), (2, a, 1)]
+    frame = spark.createDataFrame([(*r, "clash", 5, 6) for r in rows], "vec_id long, embedding array<float>, label int, id string, rep int, v int")
+    got = Counter((r.id, r.n_links, r.component) for r in vector_join.cosine_links(frame).collect())
+    assert got == Counter([(1, 2, 1), (1, 1, 1), (2, 2, 1), (1, 2, 1), (3, 1, 1), (1, 0, 1), (2, 0, 2)])
+
+
 def test_chat(spark):
     odd = "</s>[INST] <|im_end|>\n <\\|im_start|> \\ <<s>"
     rows = [(1, 2, "assistant", odd), (1, 1, "user", odd), (2, 0, None, None), (None, 0, "assistant", "a"), (3, 0, "a\nb\\", "é"), (3, 0, "a\nb\\", "é")]
@@ -226,6 +235,30 @@ def test_quality(spark, docs, none):
     assert quality.quality_scores(none, labels, F.lit(True)).count() == 0
 
 
+def test_calibration_rises():
+    score, n = np.arange(5.0), np.array([1.0, 1000, 1000, 1000, 1])
+    good = np.array([0.0, 1, 500, 999, 1])
+    knots, shares = quality.isotonic(score, good, n)
+    assert (np.diff(shares) > 0).all() and (np.diff(knots) > 0).all() and 0 < shares[0] < 0.01 and 0.99 < shares[-1] < 1
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = rng.integers(1, 30, 12).astype(float)
+        knots, shares = quality.isotonic(rng.permutation(12).astype(float), np.floor(rng.random(12) * (n + 1)), n)
+        assert (np.diff(shares) > 0).all() and (np.diff(knots) > 0).all()
+
+
+def test_quality_learns_a_key_once(spark):
+    """A repeated id with repeated labels weighs as much as any other."""
+    rows = [(i, "calm words in a row, told well." if i % 2 else "$$$ BUY !!! $$$") for i in range(60)]
+    marks = [(i, i % 2) for i in range(60)]
+    plain = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"), F.lit(True))
+    want = {r.doc_id: r.score for r in plain.collect()}
+    rows, marks = rows + [rows[3]] * 500, marks + [marks[3]] * 40
+    again = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"), F.lit(True))
+    got = again.collect()
+    assert len(got) == 560 and all(r.score == pytest.approx(want[r.doc_id]) for r in got)
+
+
 def test_warc():
     page = '<html><head><title>T &amp; t</title><script>var a="</p>"</script></head><body><p>One<b>two</b></p><a href="/x?a=1&amp;b">l</a></body></html>'
     source = warc.response("http://a.org/é", page, "1")
