@@ -25,4 +25,4 @@ def each(
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once a row, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))

@@ -1,92 +1,79 @@
-"""Language identification by character n-grams and naive Bayes."""
+"""Language identification by character n-grams and naive Bayes, for any number of languages."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rows import each
 from ..session import written
-from .joins import fits, lookup_join
-
-# Fixed value: a language set larger than this is a mistake in the label column.
-MAX_LANGUAGES = 500
+from .joins import lookup_join
+from .words import bag_of_words
 
 
 def grams(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """``keys, gram``: character n-grams of each text, lower case, white space squeezed.
+    """``keys, grams``: character n-grams of each text, lower case, white space squeezed.
 
     The look-ahead yields overlapping grams in one regex pass over the text.
     """
     squeezed = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
     flat = F.concat(F.lit(" "), squeezed, F.lit(" "))
-    found = F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
-    return each(df, keys, found, "gram")
+    return df.select(*keys, F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)).alias("grams"))
+
+
+@dataclass
+class Profile:
+    """A model: ``gram, languages`` with an array of (label, gain, base), and the label of the greatest base.
+
+    ``base`` is the log-probability of a gram that the label's texts do not hold; ``gain`` is what a gram that they hold
+    adds to it. Only held grams are rows, so the table grows with the texts and not with labels times grams.
+    """
 
+    table: DataFrame
+    floor: tuple[str, float] | None
+    n: int
 
-def train(df: DataFrame, label: str, text: str, n: int = 3) -> tuple[DataFrame, list[str]]:
-    """Profile table ``gram, p_<language>...`` of log-probabilities with add-one smoothing.
 
-    The profile is a model: it is written once and read back for every scoring job.
+def train(df: DataFrame, label: str, text: str, n: int = 3) -> Profile:
+    """Log-probabilities with add-one smoothing from the rows that have a label and a text.
+
+    Grams are counted in their row first; the counts are written and read back for totals and profile.
     """
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = written(
-        grams(labelled, [label], text, n).groupBy(label, "gram").agg(F.count("*").alias("n")),
-        "gram-counts",
-    )
-    names = counts.select(label).distinct()
-    if not fits(names, MAX_LANGUAGES):
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in {label}")
-    languages = sorted(r[0] for r in names.collect())
-    totals = counts.groupBy().agg(
-        F.count_distinct("gram").alias("__v"),
-        *[F.sum(F.when(F.col(label) == x, F.col("n"))).alias(f"__t_{x}") for x in languages],
-    )
-    wide = counts.groupBy("gram").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col(label) == x, F.col("n"))), F.lit(0)).alias(f"c_{x}")
-            for x in languages
-        ]
-    )
-    known = totals.first()
-    profile = wide.select(
-        "gram",
-        *[
-            F.log((F.col(f"c_{x}") + 1) / F.lit(known[f"__t_{x}"] + known["__v"])).alias(f"p_{x}")
-            for x in languages
-        ],
-    )
-    return written(profile, "language-profile"), languages
+    bags = bag_of_words(grams(labelled, [label], text, n), label, "grams")
+    counts = written(bags.groupBy(F.col(label).alias("label"), F.col("token").alias("gram")).agg(F.sum("n").alias("n")), "gram-counts")
+    size = F.lit(counts.select("gram").distinct().count())
+    bases = written(counts.groupBy("label").agg((-F.log(F.sum("n") + size)).alias("base")), "gram-totals")
+    floor = bases.orderBy(F.desc("base"), "label").first()
+    gains = lookup_join(counts, bases, ["label"]).select("gram", F.struct("label", F.log(F.col("n") + 1).alias("gain"), "base").alias("l"))
+    table = gains.groupBy("gram").agg(F.collect_list("l").alias("languages"))
+    return Profile(written(table, "language-profile"), tuple(floor) if floor else None, n)
 
 
-def detect(
-    df: DataFrame, key: str, text: str, profile: DataFrame, languages: list[str], n: int = 3
-) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, profile: Profile) -> DataFrame:
     """``key, language, probability, scores map`` with softmax over the language scores.
 
-    Documents without a single known gram are skipped. A document's grams meet the profile in
-    the task that read it, so its scores are summed there before one row per document moves.
+    Scored are the languages that share a gram with the document, and the one likeliest among those that share
+    none. Documents without a single known gram are skipped. Distinct grams are counted in the document's row; its hits
+    are summed where they are found before one row per language moves.
     """
-    hits = lookup_join(grams(df.filter(F.col(text).isNotNull()), [key], text, n), profile, ["gram"])
-    sums = hits.groupBy(key).agg(*[F.sum(f"p_{x}").alias(f"s_{x}") for x in languages])
-    ranked = F.array_sort(
-        F.array(
-            *[F.struct((-F.col(f"s_{x}")).alias("cost"), F.lit(x).alias("lang")) for x in languages]
-        )
-    )
-    best = sums.withColumn("__ranked", ranked).withColumn("__low", F.col("__ranked")[0]["cost"])
-    weights = F.transform("__ranked", lambda r: F.exp(F.col("__low") - r["cost"]))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    scores = F.map_from_entries(
-        F.transform(
-            "__ranked",
-            lambda r: F.struct(
-                r["lang"].alias("key"), (F.exp(F.col("__low") - r["cost"]) / total).alias("value")
-            ),
-        )
+    bags = bag_of_words(grams(df.filter(F.col(text).isNotNull()), [key], text, profile.n), key, "grams").withColumnRenamed("token", "gram")
+    met = lookup_join(bags, profile.table, ["gram"]).select(key, "n", F.posexplode("languages").alias("at", "l"))
+    # each known gram counts once, with the first of its languages
+    sums = met.groupBy(key, F.col("l.label").alias("label"), F.col("l.base").alias("base")).agg(
+        F.sum(F.col("n") * F.col("l.gain")).alias("gain"), F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("known")
     )
+    whole = sums.groupBy(key).agg(F.sum("known").alias("known"), F.collect_list(F.struct("label", "gain", "base")).alias("found"))
+    costs = F.transform("found", lambda f: F.struct((-(f["gain"] + F.col("known") * f["base"])).alias("cost"), f["label"].alias("lang")))
+    if profile.floor is not None:
+        label, base = profile.floor
+        rest = F.struct((-F.col("known") * F.lit(base)).alias("cost"), F.lit(label).alias("lang"))
+        costs = F.when(F.exists("found", lambda f: f["label"] == label), costs).otherwise(F.concat(costs, F.array(rest)))
+    best = whole.withColumn("__ranked", F.sort_array(costs)).withColumn("__low", F.get("__ranked", F.lit(0))["cost"])
+    weights: Column = F.transform("__ranked", lambda r: F.exp(F.col("__low") - r["cost"]))
+    best = best.withColumn("__total", F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x))
+    share = lambda r: F.struct(r["lang"].alias("key"), (F.exp(F.col("__low") - r["cost"]) / F.col("__total")).alias("value"))
     return best.select(
-        key,
-        F.col("__ranked")[0]["lang"].alias("language"),
-        (F.lit(1.0) / total).alias("probability"),
-        scores.alias("scores"),
+        key, F.get("__ranked", F.lit(0))["lang"].alias("language"), (F.lit(1.0) / F.col("__total")).alias("probability"),
+        F.map_from_entries(F.transform("__ranked", share)).alias("scores"),
     )

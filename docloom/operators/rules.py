@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.rows import let
 from ..session import written
 
 
@@ -216,7 +217,7 @@ def _json_texts(values: list) -> list[str]:
 
 
 def _rules(schema: Mapping, value, path: str) -> Iterator[Column]:
-    """Columns that hold a message where a rule is broken and null elsewhere.
+    """Columns of arrays: the messages of broken rules, null or empty elsewhere.
 
     A reference that leads back to itself is left to :func:`recursive_violations`.
     """
@@ -225,7 +226,7 @@ def _rules(schema: Mapping, value, path: str) -> Iterator[Column]:
         raise InvalidSchema(f"{path or '$'}: cannot check {', '.join(sorted(unknown_words))}")
 
     def broken(condition: Column, rule: str) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), F.lit(f"{path or '$'}: {rule}"))
+        return F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(f"{path or '$'}: {rule}")))
 
     def guarded(test: Column) -> Column:
         return value.present() & ~value.is_null() & test
@@ -307,10 +308,15 @@ def _rules(schema: Mapping, value, path: str) -> Iterator[Column]:
         missing = ~value.child(name).present()
         yield F.when(
             F.coalesce(guarded(missing), F.lit(False)),
-            F.lit(f"{path + '.' if path else ''}{name}: required"),
+            F.array(F.lit(f"{path + '.' if path else ''}{name}: required")),
         )
     for name, sub in schema.get("properties", {}).items():
-        yield from _rules(sub, value.child(name), f"{path}.{name}" if path else name)
+        child, below = value.child(name), f"{path}.{name}" if path else name
+        if isinstance(child, VariantValue) and sub:
+            # taken out of the document once, however many rules look at it
+            yield let(child.column, lambda c, sub=sub, below=below: violations(sub, VariantValue(c), below))
+        else:
+            yield from _rules(sub, child, below)
     for word in ("allOf", "anyOf", "oneOf"):
         if word in schema:
             hits = F.lit(0)
@@ -335,11 +341,11 @@ def is_extra(schema: Mapping, key: Column) -> Column:
     return extra
 
 
-def violations(schema: Mapping, value) -> Column:
-    rules = list(_rules(schema, value, ""))
+def violations(schema: Mapping, value, path: str = "") -> Column:
+    rules = list(_rules(schema, value, path))
     if not rules:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*rules))
+    return F.flatten(F.array_compact(F.array(*rules)))
 
 
 def is_valid(schema: Mapping, value) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import variants as V
 from ..functions.rows import each
 from ..session import written
+from .rules import merge_schemas
 
 
 def infer_schema(df: DataFrame, body: str = "body") -> DataFrame:
@@ -23,24 +25,37 @@ JSON_TYPES = {
 }
 
 
-def json_schema_of(dtype: T.DataType) -> dict:
-    """JSON schema of a typed DataFrame schema; metadata only."""
-    if isinstance(dtype, T.StructType):
-        return {
-            "type": "object",
-            "properties": {f.name: json_schema_of(f.dataType) for f in dtype.fields},
-        }
-    if isinstance(dtype, T.ArrayType):
-        return {"type": "array", "items": json_schema_of(dtype.elementType)}
-    if isinstance(dtype, T.MapType):
-        return {"type": "object"}
-    if isinstance(dtype, T.IntegralType):
-        return {"type": "integer"}
-    if isinstance(dtype, T.NumericType):
-        return {"type": "number"}
-    if isinstance(dtype, T.BooleanType):
-        return {"type": "boolean"}
-    return {"type": "string"}
+TYPE_WORD = re.compile(r"\s*(OBJECT|ARRAY|[A-Z_]+(?:\(\d+,\s*\d+\))?)\s*")
+FIELD_NAME = re.compile(r"\s*(`(?:[^`]|``)*`|[^:,<>\s]+)\s*:")
+
+
+def json_schema(inferred: str, base: Mapping | None = None) -> dict:
+    """JSON schema of an inferred type text, on top of a ``base`` schema if given; what varies by document is open."""
+
+    def read(at: int) -> tuple[dict, int]:
+        word = TYPE_WORD.match(inferred, at)
+        if word is None:
+            raise ValueError(f"cannot read type {inferred!r} at {at}")
+        name, at = word.group(1).partition("(")[0], word.end()
+        if name == "ARRAY":
+            items, at = read(at + 1)
+            return {"type": "array", "items": items}, at + 1
+        if name != "OBJECT":
+            return ({"type": JSON_TYPES[name]} if name in JSON_TYPES else {}), at
+        fields, at = {}, at + 1
+        while inferred[at] != ">":
+            field = FIELD_NAME.match(inferred, at)
+            fields[field.group(1).strip("`").replace("``", "`")], at = read(field.end())
+            at += inferred[at] == ","
+        return {"type": "object", "properties": fields}, at + 1
+
+    found, _ = read(0)
+    return found if base is None else merge_schemas(base, found)
+
+
+def json_schemas(df: DataFrame, body: str = "body", base: Mapping | None = None) -> dict[str, dict]:
+    """JSON schema of every document type; one inferred text per type reaches the driver."""
+    return {r["doc_type"]: json_schema(r["inferred"], base) for r in infer_schema(df, body).collect()}
 
 
 def field_profile(df: DataFrame, body: str = "body", name_pattern: str | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.predicates import Clause, match_all
+from ..session import fresh_dir
 from .schemas import wildcard_regex
 
 
@@ -92,3 +93,45 @@ def page(
     """One page in key order, each row carrying the exact total number of hits."""
     hits = df.filter((clause or match_all())(df))
     return hits.orderBy(order).offset(start).limit(size).withColumn("total", F.lit(hits.count()))
+
+
+def page_after(df: DataFrame, clause: Clause | None, after, size: int, order: str = "id") -> DataFrame:
+    """The page that follows the key ``after`` (None: the first page); its cost does not grow with the depth.
+
+    Keys must be unique and not null, or rows that share one may be left out between pages.
+    """
+    hits = df.filter((clause or match_all())(df))
+    if after is not None:
+        hits = hits.filter(F.col(order) > F.lit(after))
+    return hits.orderBy(order).limit(size)
+
+
+class PageIndex:
+    """Hits in key order, cut into ranges with known offsets, so that any page reads only the ranges it lies in.
+
+    The hits are written once, one folder per range; the list of ranges is as long as the write had tasks.
+    """
+
+    def __init__(self, df: DataFrame, clause: Clause | None = None, order: Sequence[str] = ("id",)):
+        self.spark, self.order = df.sparkSession, list(order)
+        hits = df.filter((clause or match_all())(df))
+        self.path, self.schema = fresh_dir(self.spark, "pages"), hits.schema
+        dealt = hits.repartitionByRange(*self.order).sortWithinPartitions(*self.order)
+        dealt.withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(self.path)
+        counts = self._rows().groupBy("__range").count().orderBy("__range").collect()
+        self.first, total = [], 0
+        for r in counts:
+            self.first.append((r["__range"], total, r["count"]))
+            total += r["count"]
+        self.total = total
+
+    def _rows(self) -> DataFrame:
+        full = T.StructType([*self.schema, T.StructField("__range", T.IntegerType())])
+        return self.spark.read.schema(full).parquet(self.path)
+
+    def page(self, start: int, size: int) -> DataFrame:
+        """Rows ``start`` to ``start + size``, each with the total number of hits."""
+        held = [(r, first) for r, first, n in self.first if first < start + size and first + n > start]
+        before = min((first for _, first in held), default=0)
+        near = self._rows().where(F.col("__range").isin([r for r, _ in held])) if held else self._rows().where(F.lit(False))
+        return near.drop("__range").orderBy(*self.order).offset(start - before if held else 0).limit(size).withColumn("total", F.lit(self.total).cast("long"))

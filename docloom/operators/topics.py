@@ -48,25 +48,26 @@ def train(
     seed: int = SEED,
     passes: int = PASSES,
     chunk: int = CHUNK,
-    vocabulary: int = 50_000,
+    vocabulary: int | None = None,
 ) -> PipelineModel:
-    """Online LDA with learnt document concentration.
+    """Online LDA over the whole dictionary with learnt document concentration.
 
-    ``passes`` over the corpus in chunks of ``chunk`` documents become a sampling rate and an
-    iteration count, capped so that large corpora use larger mini-batches, not more rounds.
+    ``passes`` over the corpus in chunks of ``chunk`` documents become a sampling rate and a number of rounds;
+    both follow from these two alone. Each round scans the corpus, so a large one wants a large ``chunk``. The model is
+    ``num_topics`` times the vocabulary and lives on the driver; only an explicit ``vocabulary`` keeps just the words of most documents.
     """
     n_docs = max(1, words.count())
-    rate = min(1.0, max(chunk / n_docs, 0.05))
-    rounds = max(1, round(passes / rate)) if rate >= 1.0 else min(200, round(passes / rate))
+    size = vocabulary or max(1, each(words, [], F.array_distinct("words"), "word").distinct().count())
+    rate = min(1.0, chunk / n_docs)
     return Pipeline(
         stages=[
-            CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary),
+            CountVectorizer(inputCol="words", outputCol="features", vocabSize=size),
             LDA(
                 k=num_topics,
                 seed=seed,
                 optimizer="online",
                 optimizeDocConcentration=True,
-                maxIter=rounds,
+                maxIter=max(1, round(passes / rate)),
                 subsamplingRate=rate,
             ),
         ]
@@ -74,24 +75,15 @@ def train(
 
 
 def topic_words(model: PipelineModel, top: int = TOP_WORDS) -> DataFrame:
-    """``topic, rank, term, weight`` of the heaviest words per topic."""
+    """``topic, rank, term, weight`` of the heaviest words per topic; as many rows as topics times ``top``."""
     vectorizer, lda = model.stages
-    names = F.array(*[F.lit(w) for w in vectorizer.vocabulary]) if len(
-        vectorizer.vocabulary
-    ) <= 5_000 else None
-    described = lda.describeTopics(top).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")
-    )
-    if names is not None:
-        term = F.get(names, F.col("t.termIndices"))
-        return described.select("topic", "rank", term.alias("term"), F.col("t.termWeights").alias("weight"))
-    spark = described.sparkSession
-    table = spark.createDataFrame(
-        list(enumerate(vectorizer.vocabulary)), "termIndices int, term string"
-    )
-    return described.select("topic", "rank", "t.*").join(table, "termIndices").select(
-        "topic", "rank", "term", F.col("termWeights").alias("weight")
-    )
+    names = vectorizer.vocabulary
+    rows = [
+        (r["topic"], rank, names[at], float(weight))
+        for r in lda.describeTopics(top).collect()
+        for rank, (at, weight) in enumerate(zip(r["termIndices"], r["termWeights"]))
+    ]
+    return SparkSession.getActiveSession().createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def perplexity_bound(model: PipelineModel, words: DataFrame) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import term
 from ..operators import aggregates as G, articles as A, runs as R
+from ..session import fresh_dir
 from .registry import register, table
 
 
@@ -160,6 +161,21 @@ def delete_runs(spark, sf):
     return R.run_counts(R.without_runs(current_runs(spark, sf), "job-3"))
 
 
+@register(
+    RUNS_SQL
+    + """, one AS (SELECT min(analytic_session_id) AS s FROM r WHERE analytic_name = 'job-3')
+SELECT 'one run' AS form, count(*) AS n_runs FROM r, one WHERE NOT (analytic_name = 'job-3' AND analytic_session_id = s)
+UNION ALL SELECT 'one session of any analytic', count(*) FROM r, one WHERE analytic_session_id <> s
+UNION ALL SELECT 'all runs', 0"""
+)
+def delete_run_forms(spark, sf):
+    runs = current_runs(spark, sf)
+    session = runs.where("analytic_name = 'job-3'").agg(F.min("analytic_session_id")).first()[0]
+    forms = {"one run": ("job-3", session), "one session of any analytic": (None, session), "all runs": (None, None)}
+    left = [R.without_runs(runs, *chosen).agg(F.lit(form).alias("form"), F.count("*").alias("n_runs")) for form, chosen in forms.items()]
+    return left[0].unionByName(left[1]).unionByName(left[2])
+
+
 @register(r"""
 SELECT regexp_extract(html, '(?i)<html[^>]*\slang=["'']?([A-Za-z]{2})', 1) AS meta_lang,
        count(*) AS n, max(length(html)) AS longest
@@ -171,3 +187,39 @@ def page_languages(spark, sf):
         .groupBy(F.coalesce(A.page_language(F.col("html")), F.lit("")).alias("meta_lang"))
         .agg(F.count("*").alias("n"), F.max(F.length("html")).alias("longest"))
     )
+
+
+@register("""
+WITH n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('de', 'en') GROUP BY lang)
+SELECT 'by_language' AS analytic_name, lang AS session, false AS error, n AS n_out, 'all' AS parent, '' AS message FROM n
+UNION ALL SELECT 'by_language', 'bad', true, NULL, 'all', 'lang: type'
+UNION ALL SELECT 'broken', 'broken', true, NULL, '', 'no ' || (SELECT count(*) FROM documents)
+UNION ALL SELECT 'all', 'all', false, sum(n)::BIGINT, '', '' FROM n
+""")
+def job_runs(spark, sf):
+    """Jobs with checked parameters, run by a parent job, as their run log tells them: finished, refused and broken ones."""
+    log, out = fresh_dir(spark, "run-log"), fresh_dir(spark, "run-out")
+    schema = {"properties": {"lang": {"type": "string"}}, "required": ["lang"]}
+
+    def one(session, lang):
+        job = lambda spark, p: table(spark, sf, "documents").where(F.col("lang") == p["lang"])
+        return R.run_job(spark, log, "by_language", session, job, {"lang": lang}, schema, f"{out}/{session}", parent="all")
+
+    def every(spark, parameters):
+        return one("de", "de").unionByName(one("en", "en"))
+
+    def broken(spark, parameters):
+        raise RuntimeError(f"no {table(spark, sf, 'documents').count()}")
+
+    R.run_job(spark, log, "all", "all", every, {}, out_path=f"{out}/all")
+    for attempt in (lambda: one("bad", 3), lambda: R.run_job(spark, log, "broken", "broken", broken, {})):
+        try:
+            attempt()
+        except (ValueError, RuntimeError):
+            continue
+        raise AssertionError("a wrong run has passed")
+    rows = spark.read.parquet(log).where("finished")
+    return rows.select(
+        "analytic_name", F.col("analytic_session_id").alias("session"), "error", "n_out", F.coalesce("parent", F.lit("")).alias("parent"),
+        F.coalesce("message", F.lit("")).alias("message"),
+    )

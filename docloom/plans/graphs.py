@@ -133,12 +133,13 @@ WITH m AS (
   SELECT 'Customer' AS label, CASE WHEN c_custkey = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS id, c_name AS name, '' AS level FROM customer
   UNION SELECT 'Customer', CAST(o_custkey AS VARCHAR), NULL, NULL FROM orders WHERE o_custkey <> 0
   UNION SELECT 'Place', 'N' || c_nationkey, '', 'nation' FROM customer
-  UNION SELECT 'Place', c_mktsegment, '', 'segment' FROM customer)
+  UNION SELECT 'Place', c_mktsegment, '', 'segment' FROM customer
+  UNION SELECT 'Priority', o_orderpriority, '', '' FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT label, id, coalesce(max(name), '') AS name, coalesce(max(level), '') AS level FROM m GROUP BY label, id
 """)
 def merged_vertices(spark, sf):
     customers = G.vertices(customer_documents(spark, sf), CONFIG, "Customer")
-    stubs = G.target_stubs(all_edges(spark, sf).filter(F.col("dst_label") != "Priority"))
+    stubs = G.target_stubs(all_edges(spark, sf))
     rows = stubs.withColumn("seq", F.lit(0)).unionAll(customers.withColumn("seq", F.lit(1)))
     return G.merge_vertices(rows, F.col("seq")).select(
         "label", "id", prop("name").alias("name"), prop("level").alias("level")
@@ -196,6 +197,14 @@ def subgraph_nodes(spark, sf):
     return nodes.select("node", "display")
 
 
+@register(f"""
+WITH {EDGES_SQL} SELECT src_label || '/' || src_id AS source, dst_label || '/' || dst_id AS target, edge AS type FROM e
+""")
+def subgraph_edges(spark, sf):
+    _, links = G.export_subgraph(all_vertices(spark, sf), all_edges(spark, sf))
+    return links
+
+
 @register(r"""
 SELECT CAST(p.page_id AS VARCHAR) AS src_id, 'LINKS_TO' AS edge, 'Path' AS dst_label, p.href AS dst_id
 FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"#]+)', 1))) AS href FROM pages) p

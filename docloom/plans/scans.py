@@ -175,6 +175,28 @@ def paged(spark, sf):
     ).select("o_orderkey", "o_totalprice", "total")
 
 
+@register("""
+WITH h AS (SELECT o_orderkey, o_totalprice, count(*) OVER () AS total, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i,
+                  row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_orderstatus = 'F')
+SELECT 'offset' AS way, o_orderkey, o_totalprice, total FROM h WHERE i BETWEEN 0 AND 9 OR i BETWEEN total // 2 AND total // 2 + 29 OR i >= total - 5
+UNION ALL SELECT 'key', o_orderkey, o_totalprice, total FROM h WHERE k < 60
+""")
+def deep_pages(spark, sf):
+    """Pages far down a result: by offset through known ranges, and by the last key of the page before."""
+    orders, found = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), term("o_orderstatus", "F")
+    index = S.PageIndex(orders, found, ["o_totalprice", "o_orderkey"])
+    pages = [index.page(0, 10), index.page(index.total // 2, 30), index.page(max(0, index.total - 5), 30), index.page(index.total + 100, 10)]
+    out, after = [p.select(F.lit("offset").alias("way"), "o_orderkey", "o_totalprice", "total") for p in pages], None
+    for _ in range(3):
+        page = S.page_after(orders, found, after, 20, "o_orderkey")
+        after = page.agg(F.max("o_orderkey")).first()[0]
+        out.append(page.select(F.lit("key").alias("way"), "o_orderkey", "o_totalprice", F.lit(index.total).alias("total")))
+    both = out[0]
+    for more in out[1:]:
+        both = both.unionByName(more)
+    return both
+
+
 @register("""
 SELECT source, count(*) AS n FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import rules, schemas as C
@@ -39,6 +41,20 @@ def inferred_schema(spark, sf):
     return C.infer_schema(event_bodies(spark, sf))
 
 
+@register("""
+SELECT event_type AS doc_type, '{"properties":{"_id":{"type":"string"},"doc_type":{"type":"string"},"id":{"type":"string"},"level":' ||
+  CASE WHEN bool_or(value > 50) AND bool_or(value <= 50) THEN '{}' WHEN bool_or(value > 50) THEN '{"type":"string"}' ELSE '{"type":"boolean"}' END ||
+  ',"props":{"properties":{"k":{"type":"integer"}},"type":"object"},"tags":{"items":{"type":"string"},"type":"array"},' ||
+  '"user":{"properties":{"id":{"type":"integer"}},"type":"object"}},"required":["doc_type"],"type":"object"}' AS "schema"
+FROM events GROUP BY event_type
+""")
+def json_schema_by_type(spark, sf):
+    """JSON schema of every document type, seeded with what all documents have."""
+    found = C.json_schemas(event_bodies(spark, sf), base=rules.BASE_SCHEMA)
+    rows = [(kind, json.dumps(schema, sort_keys=True, separators=(",", ":"))) for kind, schema in sorted(found.items())]
+    return spark.createDataFrame(rows, "doc_type string, schema string")
+
+
 def linked_documents(spark, sf):
     """Orders link to one customer, customers to a list of places."""
 

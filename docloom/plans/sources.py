@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
-from ..sources import artifacts as files, files as S
+from ..sources import artifacts as files, collections as D, files as S, trees
 from .registry import register, table
 
 
@@ -67,7 +67,7 @@ def archive_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("lang").alias("doc_type"), F.col("doc_id").cast("string").alias("id"), "text"
     )
-    S.write_archive(docs, path, files_per_type=4)
+    S.write_archive(docs, path)
     back = S.read_archive(spark, path, docs.schema)
     return back.select("doc_type", "archive_name", F.sha2("text", 256).alias("digest"))
 
@@ -125,3 +125,84 @@ def artifact_lookup(spark, sf):
     held = files.attach(docs, files.registry(stored, "default"))
     one = files.find(F.col("artifacts"), "raw", F.lit("purchase"))
     return held.select(F.col("id").alias("user_id"), one.isNotNull().alias("found")).filter("found")
+
+
+@register("""
+SELECT lower(event_type) AS type_key, strftime(ts, '%Y%m%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE (event_type LIKE 'c%' AND strftime(ts, '%Y%m%d') LIKE '2024010%')
+   OR (event_type = 'view' AND strftime(ts, '%Y%m%d') BETWEEN '20240110' AND '20240114') GROUP BY ALL
+""")
+def day_collections(spark, sf):
+    """Collections by type and day: a wildcard over both, and one type over a range of days."""
+    path, schema = fresh_dir(spark, "collections"), "event_id bigint, value double"
+    docs = table(spark, sf, "events").withColumn("doc_type", F.initcap("event_type"))
+    D.write_collections(docs.select("doc_type", "event_id", "value", "ts"), path, F.col("ts"))
+    wild = D.read_collections(spark, path, schema, doc_type="C*", day="2024010*")
+    span = D.read_collections(spark, path, schema, doc_type="View", first="20240110", last="20240114")
+    both = wild.unionByName(span)
+    return both.groupBy("type_key", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def page_files(spark, sf):
+    """One or two files of every page."""
+    pages = table(spark, sf, "pages").select(F.lit("Web Page").alias("doc_type"), F.col("page_id").cast("string").alias("id"), "url", "html")
+    names = F.when(F.col("id").cast("int") % 2 == 0, F.array(F.lit("page one.html"), F.lit("address.txt"))).otherwise(F.array(F.lit("page one.html")))
+    stored = pages.select("doc_type", "id", F.lit("raw").alias("artifact_type"), F.explode(names).alias("filename"), "url", "html")
+    text = F.when(F.col("filename") == "address.txt", F.col("url")).otherwise(F.col("html"))
+    return pages, stored.select("doc_type", "id", "artifact_type", "filename", F.encode(text, "UTF-8").alias("content"))
+
+
+@register("""
+WITH f AS (SELECT page_id, unnest(['doc.json', 'page one.html', 'address.txt']) AS filename, html, url FROM pages)
+SELECT page_id::VARCHAR AS id, filename, CASE filename WHEN 'doc.json' THEN sha256(url) WHEN 'page one.html' THEN sha256(html) ELSE sha256(url) END AS digest
+FROM f WHERE filename <> 'address.txt' OR page_id % 2 = 0
+""")
+def archive_tree(spark, sf):
+    """Documents with their files as a tree of folders, read back; each file's digest equals its manifest row."""
+    root = fresh_dir(spark, "tree")
+    pages, stored = page_files(spark, sf)
+    manifest = trees.write_document_tree(pages.select("doc_type", "id", "url"), root, stored)
+    tree = trees.read_document_tree(spark, root)
+    docs = tree.select("id", F.lit("doc.json").alias("filename"), F.sha2(F.try_variant_get("body", "$.url", "string"), 256).alias("digest"))
+    beside = trees.attach_files(tree, spark, root, content=True).withColumn("sha256", F.sha2("content", 256))
+    key = F.concat_ws("/", F.regexp_extract("folder", "([^/]+/[^/]+)$", 1), "artifact_type", "filename")
+    proven = beside.withColumn("path", key).join(manifest, ["path", "sha256", "length"], "left_semi")
+    return docs.unionByName(proven.select("id", "filename", F.col("sha256").alias("digest")))
+
+
+@register("""
+SELECT 'page-' || page_id || '.html' AS filename, strlen(html)::BIGINT AS file_size FROM pages WHERE page_id % 10 <> 1 AND page_id % 3 <> 0
+""")
+def artifact_folder(spark, sf):
+    """Every plain file of a folder but those whose name matches a skip pattern."""
+    root, number = fresh_dir(spark, "folder"), F.col("page_id").cast("string")
+    suffix = F.when(F.col("page_id") % 3 == 0, ".tmp").otherwise(".html")
+    trees.write_tree(table(spark, sf, "pages").select(F.concat(F.lit("page-"), number, suffix).alias("path"), F.encode("html", "UTF-8").alias("content")), root)
+    found = files.scan_folder(spark, f"{root}/page-*", skip=[r".*\.tmp$", r"page-\d*1\."])
+    return found.select("filename", "file_size")
+
+
+@register("""
+WITH b AS (SELECT doc_id, source, 'old ' || doc_id AS old, text FROM documents)
+SELECT doc_id,
+  CASE source WHEN 'src1' THEN 'a.txt=' || sha256(text) || ';b.txt=' || sha256(old) WHEN 'src2' THEN 'picture.png=none;notes.md=' || sha256(text)
+    WHEN 'src3' THEN 'none' ELSE 'Body.TXT=' || sha256(CASE WHEN doc_id % 2 = 0 THEN old ELSE text END) END AS blobs,
+  CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'none' WHEN doc_id % 2 = 0 THEN sha256(old) ELSE sha256(text) END AS content
+FROM b
+""")
+def artifact_contents(spark, sf):
+    """Texts of several files a document, some of them extracted before; one file fills the document's own field."""
+    docs = table(spark, sf, "documents").select(F.lit("Doc").alias("doc_type"), F.col("doc_id").cast("string").alias("id"), "doc_id", "source", "text")
+    source = F.col("source")
+    names = (
+        F.when(source == "src1", F.array(F.lit("a.txt"), F.lit("b.txt"))).when(source == "src2", F.array(F.lit("picture.png"), F.lit("notes.md")))
+        .when(source != "src3", F.array(F.lit("Body.TXT")))
+    )
+    stored = docs.select("doc_type", "id", "doc_id", F.explode(names).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    before = (F.col("filename") == "b.txt") | ((F.col("filename") == "Body.TXT") & (F.col("doc_id") % 2 == 0))
+    stored = stored.withColumn("text", F.when(before, F.concat(F.lit("old "), "doc_id")))
+    out = files.with_contents(docs.select("doc_type", "id", "doc_id"), stored, "content", extensions=[".txt"], patterns=[r"notes\.\w+$"])
+    shown = F.transform("blobs", lambda b: F.concat(b["filename"], F.lit("="), F.coalesce(F.sha2(b["content"], 256), F.lit("none"))))
+    # names in the order of the table above
+    shown = F.when(F.size("blobs") == 2, F.array_join(F.when(F.get("blobs", F.lit(0))["filename"] == "notes.md", F.reverse(shown)).otherwise(shown), ";")).otherwise(F.get(shown, F.lit(0)))
+    return out.select("doc_id", F.coalesce(shown, F.lit("none")).alias("blobs"), F.coalesce(F.sha2("content", 256), F.lit("none")).alias("content"))

@@ -146,3 +146,25 @@ def status_by_stream(spark, sf):
     return latest.groupBy("analytic_name").agg(
         F.count_if(done).alias("settled"), F.count("*").alias("n")
     )
+
+
+@register("""
+SELECT 'Customer' AS doc_type, c_mktsegment AS segment, count(*) AS n, 1::BIGINT AS n_days FROM customer WHERE c_acctbal >= 0 GROUP BY c_mktsegment
+""")
+def stream_daily_log(spark, sf):
+    """Documents that a stream has stored, as its log by day has them; rejected ones are not logged."""
+    inbox, log = fresh_dir(spark, "inbox"), fresh_dir(spark, "log")
+    docs = table(spark, sf, "customer").select(
+        F.lit("Customer").alias("doc_type"), F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("balance")
+    )
+    docs.repartition(4).write.json(inbox)
+    store = DocumentStore(spark, fresh_dir(spark, "stream-store"))
+    J.ingest_stream(
+        J.document_lines(spark, inbox), store, fresh_dir(spark, "checkpoint"), schemas={"Customer": {"properties": {"balance": {"type": "number", "minimum": 0}}}},
+        daily_log=log, available_now=True,
+    ).awaitTermination()
+    logged = spark.read.parquet(f"{log}/batch=*")
+    segment = F.try_variant_get(F.parse_json("body"), "$.segment", "string").alias("segment")
+    # a run across midnight writes two days
+    days = F.when(F.count_distinct("day") <= 2, F.lit(1)).cast("long").alias("n_days")
+    return logged.groupBy("doc_type", segment).agg(F.count("*").alias("n"), days)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import language as L, phrases as H, sentiment as N, topics as T, words as W
-from ..session import spread
+from ..session import fresh_dir, spread
+from ..store import DocumentStore
 from .registry import register, table
 
 # Stop words used by the queries below, the same on both sides.
@@ -218,27 +219,37 @@ def batch_sentiment(spark, sf):
 GRAM = 3
 
 
-@register(f"""
+def language_sql(learnt: str, scored: str) -> str:
+    return f"""
 WITH flat AS (SELECT doc_id, lang, ' ' || lower(regexp_replace(text, '\\s+', ' ', 'g')) || ' ' AS t FROM documents),
 g AS (SELECT doc_id, lang, t[i:i + {GRAM - 1}] AS gram FROM (SELECT *, unnest(range(1, length(t) - {GRAM - 2})) AS i FROM flat)),
-c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE {learnt} GROUP BY ALL),
 v AS (SELECT count(DISTINCT gram) AS v FROM c),
 tot AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
 vocab AS (SELECT DISTINCT gram FROM c),
 p AS (SELECT tot.lang, vocab.gram, ln((coalesce(c.n, 0) + 1) / (total + v)) AS lp
       FROM tot CROSS JOIN vocab CROSS JOIN v LEFT JOIN c ON c.lang = tot.lang AND c.gram = vocab.gram),
-dg AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL),
+dg AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE {scored} GROUP BY ALL),
 s AS (SELECT doc_id, p.lang, sum(n * lp) AS s FROM dg JOIN p USING (gram) GROUP BY doc_id, p.lang),
 b AS (SELECT doc_id, arg_max(lang, ROW(s, lang)) AS language, max(s) AS top FROM s GROUP BY doc_id)
 SELECT b.doc_id, b.language, round(1 / sum(exp(s.s - b.top)), 4) AS probability
-FROM b JOIN s ON s.doc_id = b.doc_id GROUP BY b.doc_id, b.language
-""")
+FROM b JOIN s ON s.doc_id = b.doc_id GROUP BY b.doc_id, b.language"""
+
+
+@register(language_sql("true", "true"))
 def language_id(spark, sf):
     docs = texts(spark, sf, "lang")
-    profile, languages = L.train(docs, "lang", "text", GRAM)
-    return L.detect(docs, "doc_id", "text", profile, languages, GRAM).select(
-        "doc_id", "language", F.round("probability", 4).alias("probability")
-    )
+    found = L.detect(docs, "doc_id", "text", L.train(docs, "lang", "text", GRAM))
+    return found.select("doc_id", "language", F.round("probability", 4).alias("probability"))
+
+
+@register(language_sql("doc_id % 2 = 1", "doc_id % 2 = 0"))
+def language_held_out(spark, sf):
+    """Languages of the documents with an even id, learnt from those with an odd one."""
+    docs = texts(spark, sf, "lang")
+    profile = L.train(docs.where("doc_id % 2 = 1"), "lang", "text", GRAM)
+    found = L.detect(docs.where("doc_id % 2 = 0"), "doc_id", "text", profile)
+    return found.select("doc_id", "language", F.round("probability", 4).alias("probability"))
 
 
 @register(f"""
@@ -254,8 +265,8 @@ def document_keywords(spark, sf):
 COHERENCE_WORDS = ["the", "ereat", "les", "eaux", "und", "ich", "por", "con", "thand", "tion"]
 
 
-@register(f"""
-WITH {DOCS_SQL}, w AS (SELECT unnest([{", ".join(f"'{x}'" for x in COHERENCE_WORDS)}]) AS w),
+COVER_SQL = f"""
+{DOCS_SQL}, w AS (SELECT unnest([{", ".join(f"'{x}'" for x in COHERENCE_WORDS)}]) AS w),
 t AS (SELECT doc_id, len(words) AS n, greatest(len(words) - {T.WINDOW}, 0) AS last,
              unnest(range(len(words))) AS i, unnest(words) AS w FROM docs),
 hit AS (SELECT t.* FROM t JOIN w USING (w)),
@@ -264,12 +275,14 @@ pair AS (
   FROM w x JOIN w y ON x.w <= y.w JOIN hit h ON h.w IN (x.w, y.w)),
 cover AS (SELECT doc_id, a, b, greatest(least(i, last) - greatest(i - {T.WINDOW - 1},
             least(coalesce(lag(i) OVER (PARTITION BY doc_id, a, b ORDER BY i) + 1, 0), last + 1), 0) + 1, 0) AS k FROM pair),
-u AS (SELECT doc_id, a, b, sum(k) AS k FROM cover GROUP BY ALL)
-SELECT x.a, y.b, CAST(sum(x.k + y.k - xy.k) AS BIGINT) AS n_windows
+u AS (SELECT doc_id, a, b, sum(k) AS k FROM cover GROUP BY ALL),
+windows AS (SELECT x.a, y.b, CAST(sum(x.k + y.k - xy.k) AS BIGINT) AS n_windows
 FROM u xy JOIN u x ON x.doc_id = xy.doc_id AND x.a = xy.a AND x.b = xy.a
           JOIN u y ON y.doc_id = xy.doc_id AND y.a = xy.b AND y.b = xy.b
-GROUP BY x.a, y.b HAVING sum(x.k + y.k - xy.k) > 0
-""")
+GROUP BY x.a, y.b HAVING sum(x.k + y.k - xy.k) > 0)"""
+
+
+@register(f"WITH {COVER_SQL} SELECT * FROM windows")
 def coherence_counts(spark, sf):
     return T.window_counts(documents(spark, sf), "doc_id", "words", COHERENCE_WORDS)
 
@@ -281,18 +294,60 @@ def topic_input(spark, sf):
 
 @register()
 def lda_topics(spark, sf):
-    model = T.train(topic_input(spark, sf), num_topics=4, passes=2, chunk=1000, vocabulary=2000)
+    model = T.train(topic_input(spark, sf), num_topics=4, passes=2, chunk=1000)
     return T.topic_words(model, 10)
 
 
 @register()
 def lda_documents(spark, sf):
     words = topic_input(spark, sf)
-    model = T.train(words, num_topics=4, passes=2, chunk=1000, vocabulary=2000)
+    model = T.train(words, num_topics=4, passes=2, chunk=1000)
     return T.topics_for(model, words, "doc_id", 0.05)
 
 
-@register()
+@register(f"""
+WITH {COVER_SQL},
+total AS (SELECT sum(greatest(len(words) - {T.WINDOW}, 0) + 1)::DOUBLE AS t FROM docs WHERE len(words) > 0),
+pairs AS (SELECT a, b, n_windows AS n FROM windows UNION ALL SELECT b, a, n_windows FROM windows WHERE a <> b),
+topic AS (SELECT unnest([{", ".join(f"'{x}'" for x in COHERENCE_WORDS)}]) AS w, unnest(range({len(COHERENCE_WORDS)})) // 5 AS topic),
+grid AS (SELECT x.topic, x.w AS a, y.w AS b, coalesce(ab.n, 0) / t + 1e-12 AS p_ab, coalesce(a.n, 0) / t + 1e-12 AS p_a, coalesce(b.n, 0) / t + 1e-12 AS p_b
+  FROM topic x JOIN topic y USING (topic) CROSS JOIN total LEFT JOIN pairs ab ON ab.a = x.w AND ab.b = y.w
+    LEFT JOIN pairs a ON a.a = x.w AND a.b = x.w LEFT JOIN pairs b ON b.a = y.w AND b.b = y.w),
+m AS (SELECT topic, a, b, ln(p_ab / (p_a * p_b)) / -ln(p_ab) AS m FROM grid),
+s AS (SELECT topic, b, sum(m) AS s FROM m GROUP BY ALL),
+c AS (SELECT topic, a, sum(m * s) / (sqrt(sum(m * m)) * sqrt(sum(s * s))) AS c FROM m JOIN s USING (topic, b) GROUP BY ALL)
+SELECT topic::INT AS topic, round(avg(c), 6) AS coherence FROM c GROUP BY topic
+""")
 def topic_coherence(spark, sf):
     topics = {0: COHERENCE_WORDS[:5], 1: COHERENCE_WORDS[5:]}
-    return T.coherence(documents(spark, sf), "doc_id", "words", topics)
+    found = T.coherence(documents(spark, sf), "doc_id", "words", topics)
+    return found.withColumn("coherence", F.round("coherence", 6))
+
+
+@register()
+def lda_perplexity(spark, sf):
+    """Likelihood bound per word of a model on the documents that it was not learnt from."""
+    words = topic_input(spark, sf)
+    model = T.train(words.where("doc_id % 10 <> 0"), num_topics=4, passes=1, chunk=1000)
+    bound = T.perplexity_bound(model, words.where("doc_id % 10 = 0"))
+    return spark.createDataFrame([("held out", bound)], "part string, bound double")
+
+
+@register("""
+SELECT 'Model' AS doc_type, 'topics' AS model_name, 'first' AS model_instance_id, sha256('topics/first') AS id, 4::BIGINT AS same_topics, count(*) AS same_documents
+FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '\\p{L}{2,}'), lambda w: true)) > 0
+""")
+def model_registry(spark, sf):
+    """A model is saved, its registry document upserted, found again and loaded; it gives the same topics."""
+    root, words = fresh_dir(spark, "models"), topic_input(spark, sf)
+    model = T.train(words, num_topics=4, passes=1, chunk=1000)
+    store = DocumentStore(spark, fresh_dir(spark, "model-store"))
+    entry = T.save_model(model, root, "topics", "first", F.current_timestamp())
+    body = F.to_variant_object(F.struct("model_name", "model_instance_id", "path"))
+    store.put(entry.select("doc_type", "id", body.alias("body")), F.current_timestamp())
+    found = store.view("Model", {"model_name": "string", "model_instance_id": "string"})
+    loaded = T.load_model(root, "topics", "first")
+    keys = ["doc_id", "topic"]
+    here, there = (T.topics_for(m, words, "doc_id", 0.0).select(*keys, F.round("weight", 9).alias("weight")) for m in (model, loaded))
+    same = here.join(there, [*keys, "weight"], "left_semi").agg(F.count_distinct("topic").alias("same_topics"), F.count_distinct("doc_id").alias("same_documents")).first()
+    return found.select("doc_type", "model_name", "model_instance_id", "id", *[F.lit(v).cast("long").alias(k) for k, v in same.asDict().items()])

@@ -88,7 +88,12 @@ def article_summary(spark, sf):
     )
 
 
-@register()
+@register(rf"""
+WITH {CONTENT_SQL},
+d AS (SELECT url, length(trim(regexp_replace(regexp_extract(html, '(?s)<body>\s*<nav>.*?</nav>(?:<!--.*?-->)*<div[^>]*>(.*?)</div>', 1), '<[^>]*>', '', 'g'))) AS second FROM pages)
+SELECT sha256(c.url) AS id, CASE WHEN length(content) <= 0.75 * second THEN second ELSE length(content) END::INT AS n_chars
+FROM c JOIN d ON d.url = c.url
+""")
 def article_by_selector(spark, sf):
     found = A.extract_articles(pages(spark, sf), xpaths=["/html/body/article", "/html/body/div[2]"])
     return found.select("id", F.length("content").alias("n_chars"))

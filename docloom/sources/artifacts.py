@@ -121,3 +121,32 @@ def extract_text(
     else:
         value = F.col("__text")
     return joined.withColumn(target, value).drop("__text")
+
+
+def with_contents(
+    docs: DataFrame,
+    files: DataFrame,
+    target: str | None = None,
+    extensions: Sequence[str] = (),
+    patterns: Sequence[str] = (),
+    encoding: str | None = None,
+    recompute: bool = False,
+) -> DataFrame:
+    """``docs`` with ``blobs``: every file of a document with its text, in name order.
+
+    ``files`` has ``doc_type, id, filename, content`` (bytes) and may have ``text``, what an earlier run has extracted: it is
+    kept unless ``recompute``, file by file. Files of other names have no text. A document with exactly one file gets its
+    text as ``target`` as well; one without files has null ``blobs``.
+    """
+    fresh = F.when(accepted(F.col("filename"), extensions, patterns), decode_text(F.col("content"), encoding))
+    if "text" in files.columns:
+        fresh = F.coalesce(fresh, F.col("text")) if recompute else F.coalesce(F.col("text"), fresh)
+    blobs = files.select("doc_type", "id", F.struct("filename", fresh.alias("content")).alias("blob"))
+    blobs = blobs.groupBy("doc_type", "id").agg(F.array_sort(F.collect_list("blob")).alias("blobs"))
+    out = docs.join(blobs, ["doc_type", "id"], "left")
+    if target is None:
+        return out
+    only = F.when(F.size("blobs") == 1, F.get("blobs", F.lit(0))["content"])
+    if target not in docs.columns:
+        return out.withColumn(target, only)
+    return out.withColumn(target, F.coalesce(only, F.col(target)) if recompute else F.coalesce(F.col(target), only))

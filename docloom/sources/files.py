@@ -73,14 +73,15 @@ def read_csv(
     integers: list[str] = (),
     id_from: str | None = "url",
     encoding: str = "UTF-8",
+    multiline: bool = True,
 ) -> DataFrame:
     """CSV with normalised headers, empty texts as null, chosen integer columns and a hash id.
 
-    Rows may span lines inside quotes, so a file is one task; large tables come as many files. Columns
-    are read as text, nothing is inferred and the table is scanned once.
+    With ``multiline`` rows may span lines inside quotes, which makes each file one task; without it large files
+    are split. Columns are read as text, nothing is inferred and the table is scanned once.
     """
     raw = spark.read.options(
-        header=True, multiLine=True, escape='"', encoding=encoding, enforceSchema=False
+        header=True, multiLine=multiline, escape='"', encoding=encoding, enforceSchema=False
     ).csv(path)
     out = raw.toDF(*[header_name(c) for c in raw.columns])
     cols = []
@@ -114,17 +115,15 @@ def archive_name(ident: Column, by: str = "hash") -> Column:
     return F.sha2(ident, 256) if by == "hash" else percent_encode(ident)
 
 
-def write_archive(df: DataFrame, path: str, by: str = "hash", files_per_type: int = 64) -> None:
+def write_archive(df: DataFrame, path: str, by: str = "hash") -> None:
     """Archive as JSON partitioned by type, the document's folder name kept as a column.
 
     One directory per document does not scale to billions of documents on object stores; the
-    folder name stays addressable as ``archive_name``. ``files_per_type`` spreads a type that
-    holds most documents over several writers.
+    folder name stays addressable as ``archive_name``. Rows are gathered by type and cut by bytes, so
+    a type that holds most documents gets many files and a small one gets one.
     """
     named = df.withColumn("archive_name", archive_name(F.col("id").cast("string"), by))
-    named.repartition(
-        F.col("doc_type"), F.pmod(F.xxhash64("archive_name"), F.lit(files_per_type))
-    ).write.partitionBy("doc_type").option("ignoreNullFields", "false").json(path)
+    named.hint("rebalance", "doc_type").write.partitionBy("doc_type").option("ignoreNullFields", "false").json(path)
 
 
 def read_archive(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -137,37 +136,3 @@ def read_archive(spark: SparkSession, path: str, schema: str | T.StructType) ->
         ]
     )
     return spark.read.schema(full).json(path)
-
-
-def read_document_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Archives with one ``doc.json`` per folder: ``folder, doc_type, id, body``."""
-    lines = spark.read.text(
-        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="doc.json"
-    ).select("value", F.col("_metadata.file_path").alias("file"))
-    body = F.try_parse_json("value")
-    return lines.select(
-        F.regexp_replace("file", "/doc\\.json$", "").alias("folder"), body.alias("body")
-    ).select(
-        "folder",
-        F.try_variant_get("body", "$.doc_type", "string").alias("doc_type"),
-        F.try_variant_get("body", "$.id", "string").alias("id"),
-        "body",
-    )
-
-
-def attach_files(tree: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Files found beside a document: ``folder, doc_type, id, artifact_type, filename, length``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length")
-        .filter(~F.col("path").endswith("/doc.json"))
-    )
-    parts = files.select(
-        F.regexp_extract("path", r"^(.*)/artifacts/[^/]+/[^/]+$", 1).alias("folder"),
-        F.regexp_extract("path", r"/artifacts/([^/]+)/[^/]+$", 1).alias("artifact_type"),
-        F.regexp_extract("path", r"/([^/]+)$", 1).alias("filename"),
-        "length",
-    )
-    return tree.select("folder", "doc_type", "id").join(parts, "folder")

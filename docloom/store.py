@@ -2,12 +2,13 @@
 
 Layout below ``root/tenant``::
 
-    log/batch=<n>/outcome=<stored|error kind>/type_key=<lower-case type>/*.parquet
-    families/batch=<n>/*.parquet      field families first seen in batch n
+    log/batch=<n>/run=<r>/outcome=<stored|error kind>/type_key=<lower-case type>/*.parquet
+    families/batch=<n>/run=<r>/*.parquet      field families first seen in batch n
     snapshots/<n>/type_key=.../       folded state up to batch n
     commits/*.parquet                 one row per finished batch, drop or snapshot
 
-A batch is written by one Spark job and becomes visible with its commit row, so a failed or
+A batch is numbered after the newest one, and its folder also bears a random number of its run: two writers
+that draw the same number both keep their rows. It is written by one Spark job and becomes visible with its commit row, so a failed or
 replayed job leaves nothing behind that readers see. Readers open only the directories of live
 batches after the newest snapshot; types and outcomes prune by partition. Types that differ only
 in case share a collection.
@@ -15,6 +16,7 @@ in case share a collection.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -23,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .functions.predicates import Clause
 from .operators import ingest, rules
 from .operators.merge import fold_documents
+from .session import written
 
 LOG = (
-    "doc_type string, id string, seq struct<batch:bigint,pos:bigint>, op string, ts timestamp, "
-    "body variant, message string, batch long, outcome string, type_key string"
+    "doc_type string, id string, seq struct<batch:bigint,run:bigint,pos:bigint>, op string, ts timestamp, "
+    "body variant, message string, batch long, run long, outcome string, type_key string"
 )
-COMMITS = "batch long, kind string, type_key string, writer string, epoch long"
-FAMILIES = "doc_type string, path string, family string, batch long"
+COMMITS = "batch long, run long, kind string, type_key string, writer string, epoch long"
+FAMILIES = "doc_type string, path string, family string, batch long, run long"
 
 
 class DocumentStore:
@@ -55,10 +58,11 @@ class DocumentStore:
             return None
 
     def _commit(
-        self, batch: int, kind: str, type_key: str | None = None, source: tuple[str, int] | None = None
+        self, batch: int, kind: str, type_key: str | None = None, source: tuple[str, int] | None = None, run: int = 0
     ) -> None:
         row = self.spark.range(1).select(
             F.lit(batch).cast("long").alias("batch"),
+            F.lit(run).cast("long").alias("run"),
             F.lit(kind).alias("kind"),
             F.lit(type_key).cast("string").alias("type_key"),
             F.lit(source[0] if source else None).cast("string").alias("writer"),
@@ -75,6 +79,10 @@ class DocumentStore:
                 newest[c["type_key"]] = max(c["batch"], newest.get(c["type_key"], 0))
         return newest
 
+    @staticmethod
+    def _new_run() -> int:
+        return uuid.uuid4().int >> 65
+
     def _next_batch(self) -> int:
         return max((c["batch"] for c in self._commits()), default=0) + 1
 
@@ -82,8 +90,8 @@ class DocumentStore:
 
     def changes(self, after: int = 0) -> DataFrame:
         """Rows of all finished batches newer than ``after``, stored and rejected."""
-        live = sorted({c["batch"] for c in self._commits() if c["kind"] == "log"} - {0})
-        paths = [f"{self.root}/log/batch={b}" for b in live if b > after]
+        live = sorted({(c["batch"], c["run"]) for c in self._commits() if c["kind"] == "log"})
+        paths = [f"{self.root}/log/batch={b}/run={r}" for b, r in live if b > after]
         if not paths:
             return self.spark.createDataFrame([], LOG)
         reader = self.spark.read.schema(LOG).option("basePath", f"{self.root}/log")
@@ -132,12 +140,12 @@ class DocumentStore:
     # -- writing ---------------------------------------------------------------------------
 
     def _write_log(
-        self, rows: DataFrame, batch: int, source: tuple[str, int] | None = None
+        self, rows: DataFrame, batch: int, run: int, source: tuple[str, int] | None = None
     ) -> None:
         rows.withColumn("type_key", F.lower(F.coalesce("doc_type", F.lit("")))).write.mode(
             "overwrite"
-        ).partitionBy("outcome", "type_key").parquet(f"{self.root}/log/batch={batch}")
-        self._commit(batch, "log", source=source)
+        ).partitionBy("outcome", "type_key").parquet(f"{self.root}/log/batch={batch}/run={run}")
+        self._commit(batch, "log", source=source, run=run)
 
     def put(
         self,
@@ -156,11 +164,11 @@ class DocumentStore:
         """Ingest open documents (``doc_type, id, body``) and return the batch number.
 
         The chain runs first, then the schema check, the identity check and the field-family
-        check. One write carries stored and rejected rows into their outcome partitions, so the
-        documents are computed once for all outcomes. ``strict`` raises on the first rejection
+        check. The documents with their place and what is wrong with them are written once; field families and
+        the log, which takes stored and rejected rows into their outcome partitions, are made of that. ``strict`` raises on the first rejection
         before the batch becomes visible. ``source`` names the stream and micro-batch of the rows.
         """
-        number = self._next_batch()
+        number, run = self._next_batch(), self._new_run()
         rows = chain(docs) if chain is not None else docs
         position = F.col(order) if order else F.monotonically_increasing_id()
         none = F.array().cast("array<string>")
@@ -176,8 +184,9 @@ class DocumentStore:
                 "__missing": ingest.missing_identity(),
             }
         )
+        checked = written(checked, "checked")
         passed = checked.filter((F.col("__rules") == "") & (F.col("__missing") == ""))
-        flagged = ingest.flag_conflicts(checked, self._families(passed, number))
+        flagged = ingest.flag_conflicts(checked, self._families(passed, number, run))
         clash = F.array_join("__bad", "; ")
         outcome = (
             F.when(F.col("__rules") != "", "jsonschema")
@@ -189,9 +198,7 @@ class DocumentStore:
         out = flagged.withColumn("outcome", outcome).select(
             "doc_type",
             "id",
-            F.struct(
-                F.lit(number).cast("long").alias("batch"), F.col("__pos").alias("pos")
-            ).alias("seq"),
+            self._place(number, run, F.col("__pos")),
             F.lit("update" if upsert else "index").alias("op"),
             now.cast("timestamp").alias("ts"),
             F.when(stored, self._sealed(analytic, session, now, archive))
@@ -204,17 +211,22 @@ class DocumentStore:
             ingest.strictly(
                 out.filter(~stored).select(F.col("outcome").alias("error_type"), "id", "message")
             )
-        self._write_log(out, number, source)
+        self._write_log(out, number, run, source)
         return number
 
-    def _families(self, batch: DataFrame, number: int) -> DataFrame:
+    @staticmethod
+    def _place(batch: int, run: int, pos: Column) -> Column:
+        """What orders changes: batch, then run, then the place in the batch."""
+        return F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(run).cast("long").alias("run"), pos.cast("long").alias("pos")).alias("seq")
+
+    def _families(self, batch: DataFrame, number: int, run: int) -> DataFrame:
         """Field families: those of earlier batches first, completed by this batch.
 
         Only the batch is scanned; what older batches decided is kept in a small table.
         """
         folder = f"{self.root}/families"
         ingest.field_families(batch, seq="__pos").write.mode("overwrite").parquet(
-            f"{folder}/batch={number}"
+            f"{folder}/batch={number}/run={run}"
         )
         seen = self.spark.read.schema(FAMILIES).parquet(folder)
         for key, dropped in self._dropped(self._commits()).items():
@@ -245,21 +257,18 @@ class DocumentStore:
 
     def delete(self, ids: DataFrame, now: Column) -> int:
         """Tombstones for ``doc_type, id`` rows (delete by id)."""
-        number = self._next_batch()
+        number, run = self._next_batch(), self._new_run()
         rows = ids.select(
             "doc_type",
             "id",
-            F.struct(
-                F.lit(number).cast("long").alias("batch"),
-                F.monotonically_increasing_id().alias("pos"),
-            ).alias("seq"),
+            self._place(number, run, F.monotonically_increasing_id()),
             F.lit("delete").alias("op"),
             now.cast("timestamp").alias("ts"),
             F.lit(None).cast("variant").alias("body"),
             F.lit(None).cast("string").alias("message"),
             F.lit("stored").alias("outcome"),
         )
-        self._write_log(rows, number)
+        self._write_log(rows, number, run)
         return number
 
     def delete_by_query(
@@ -283,14 +292,13 @@ class DocumentStore:
         state = self.current().select(
             "doc_type",
             "id",
-            F.struct(
-                F.lit(newest).cast("long").alias("batch"), F.lit(0).cast("long").alias("pos")
-            ).alias("seq"),
+            self._place(newest, 0, F.lit(0)),
             F.lit("index").alias("op"),
             now.cast("timestamp").alias("ts"),
             "body",
             F.lit(None).cast("string").alias("message"),
             F.lit(newest).cast("long").alias("batch"),
+            F.lit(0).cast("long").alias("run"),
             F.lit("stored").alias("outcome"),
             F.lower("doc_type").alias("type_key"),
         )

@@ -13,7 +13,7 @@ from docloom.operators import (
     spans, topics, vectors, words,
 )
 from docloom.session import fresh_dir, written
-from docloom.sources import artifacts, files
+from docloom.sources import artifacts, trees
 from docloom.store import DocumentStore
 from docloom.streaming import topics as streaming_topics
 
@@ -285,9 +285,9 @@ def test_bags_and_dense_ids(spark):
 def test_language_detection(spark):
     rows = [(1, "en", "the cat and the dog"), (2, "de", "der hund und die katze"), (3, None, "the dog")]
     docs = spark.createDataFrame(rows, "id int, lang string, t string")
-    profile, langs = language.train(docs, "lang", "t", 3)
-    found = {r["id"]: r for r in language.detect(docs, "id", "t", profile, langs, 3).collect()}
-    assert langs == ["de", "en"] and [found[i]["language"] for i in (1, 2, 3)] == ["en", "de", "en"]
+    profile = language.train(docs, "lang", "t", 3)
+    found = {r["id"]: r for r in language.detect(docs, "id", "t", profile).collect()}
+    assert profile.floor[0] == "en" and [found[i]["language"] for i in (1, 2, 3)] == ["en", "de", "en"]
     assert math.isclose(sum(found[3]["scores"].values()), 1.0)
 
 
@@ -424,8 +424,8 @@ def test_document_tree_with_files(spark, tmp_path):
     (folder / "doc.json").write_text('{"doc_type": "T",\n "id": "1"}')
     (folder / "artifacts" / "file" / "a.txt").write_bytes("né".encode("latin-1"))
     (folder / "artifacts" / "file" / ".b.swp").write_text("x")
-    tree = files.read_document_tree(spark, str(tmp_path))
-    with_files = files.attach_files(tree, spark, str(tmp_path)).collect()
+    tree = trees.read_document_tree(spark, str(tmp_path))
+    with_files = trees.attach_files(tree, spark, str(tmp_path)).collect()
     assert [(r["id"], r["artifact_type"], r["filename"]) for r in with_files] == [("1", "file", "a.txt")]
     scan = artifacts.scan_folder(spark, str(folder / "artifacts" / "file"), skip=["b"], with_content=True)
     assert scan.select(artifacts.decode_text(F.col("content"))).first()[0] == "né"
