@@ -7,16 +7,20 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+#: Elements whose content is not shown, and comments; each is left by its own end.
+HIDING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+ENDS = {None: re.compile("-->"), **{x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")}}
 BLOCKS = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|br|blockquote|pre|title|head|body)\b[^>]*>", re.I)
-TAG, TITLE = re.compile(r"<[^>]*>"), re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+TAG, TITLE, TITLE_END = re.compile(r"<[^>]*>"), re.compile(r"<title[^>]*>", re.I), re.compile(r"</title", re.I)
+ANCHOR, HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"""\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+|["'][^\s>]*))""")
 BLANK = re.compile(r"[ \t\r\f\v]+")
 #: Source headers that a derivative carries on.
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type")
@@ -38,14 +42,64 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record; header names keep their case."""
+class Headers(dict):
+    """Header fields with their names as written; they are found whatever their case."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__((name.strip(), value.strip()) for name, _, value in (line.partition(":") for line in lines) if name.strip())
+        self.names = {name.lower(): name for name in reversed(list(self))}
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(self.names.get(name.lower(), name))
+
+    def __contains__(self, name) -> bool:
+        return name.lower() in self.names
+
+    def get(self, name: str, default=None):
+        return self[name] if name in self else default
+
+
+def parsed(data: bytes) -> tuple[Headers, bytes]:
+    """Headers and block of one record. Bytes that are none raise ValueError."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    headers = Headers(lines[1:])
+    size = headers.get("Content-Length", "")
+    if not size.isdigit():
+        raise ValueError("a record without a length")
+    return headers, rest[: int(size)]
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked body, as far as it is whole."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        digits = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits) or not (size := int(digits, 16)):
+            break
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(parts)
+
+
+def content(http: Headers, body: bytes, most: int = 1 << 28) -> bytes:
+    """A body without transfer and content encoding; what cannot be unpacked stays as it is, what grows beyond ``most`` is refused."""
+    if "chunked" in http.get("Transfer-Encoding", "").lower():
+        body = unchunked(body)
+    kind = http.get("Content-Encoding", "").strip().lower()
+    if kind in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # with a header of gzip or zlib, or bare
+            unpack = zlib.decompressobj(bits)
+            try:
+                plain = unpack.decompress(body, most)
+            except zlib.error:
+                continue
+            if unpack.unconsumed_tail:
+                raise ValueError("a packed body is too large")
+            return plain
+    return body
 
 
 def response(url: str, page: str, key: str) -> bytes:
@@ -58,31 +112,81 @@ def response(url: str, page: str, key: str) -> bytes:
     return record(headers, block)
 
 
+def shown(page: str) -> str:
+    """The page with a blank for each hidden element and comment; one that does not end hides the rest.
+
+    The scan goes from a beginning to its end and on from there, so every character is looked at a fixed number of times.
+    """
+    parts, at = [], 0
+    while (found := HIDING.search(page, at)) is not None:
+        parts.append(page[at : found.start()])
+        end = ENDS[found[1] and found[1].lower()].search(page, found.end())
+        if end is None:
+            return " ".join([*parts, ""])
+        at = end.end()
+    return " ".join([*parts, page[at:]])
+
+
+def tagged(page: str) -> tuple[str, str]:
+    """The page up to its last ``>`` and the rest: before it every ``<`` finds an end, after it none does."""
+    cut = page.rfind(">") + 1
+    return page[:cut], page[cut:]
+
+
 def plain_text(page: str) -> str:
     """Visible text, one line for each block; entities are decoded after tags have gone."""
-    text = TAG.sub("", BLOCKS.sub("\n", HIDDEN.sub(" ", page)))
+    inside, rest = tagged(shown(page))
+    text = TAG.sub("", BLOCKS.sub("\n", inside)) + rest
     lines = (BLANK.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def page_title(page: str) -> str | None:
+    """Content of the first title element that ends."""
+    begin = TITLE.search(tagged(page)[0])
+    end = begin and TITLE_END.search(page, begin.end())
+    return page[begin.end() : end.start()] if end else None
+
+
+def page_links(page: str) -> list[str]:
+    """The first address of every link, in text order."""
+    found, at = [], 0
+    while (anchor := ANCHOR.search(page, at)) is not None:
+        at = anchor.end()
+        stop = page.find(">", at)
+        stop = len(page) if stop < 0 else stop
+        value = None
+        while value is None and (href := HREF.search(page, at, stop)) is not None:
+            at, value = href.end(), VALUE.match(page, href.end())
+        if value is None:
+            at = stop
+        else:
+            found.append(next(x for x in value.groups() if x is not None))
+            at = value.end()
+    return found
+
+
 def derived(data: bytes) -> dict:
     """Both derivatives of a response record and what links them to it."""
     source, block = parsed(data)
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *http = head.decode("latin-1").split("\r\n")
+    if "WARC-Record-ID" not in source:
+        raise ValueError("a record without an id")
     found = re.search(r"charset=[\"']?([\w.-]+)", " ".join(http), re.I)
     charset = found[1] if found else "utf-8"
+    body = content(Headers(http), payload)
     try:
-        page = payload.decode(charset, "replace")
+        page = body.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     origin, uri = source["WARC-Record-ID"], source.get("WARC-Target-URI", "")
     digest = source.get("WARC-Payload-Digest") or sha1(payload)
-    title, text = TITLE.search(page), plain_text(page)
-    links = [html.unescape(a or b or c) for a, b, c in LINK.findall(page)]
+    title, text = page_title(page), plain_text(page)
+    links = [html.unescape(x) for x in page_links(page)]
     clean = lambda s: BLANK.sub(" ", s.replace("\n", " ")).strip()
     fields = [("http-status", status), *(("http-header", h) for h in http if h), ("charset", charset), ("payload-digest", digest)]
-    fields += [("title", clean(html.unescape(TAG.sub("", title[1]))))] if title else []
+    fields += [("title", clean(html.unescape("".join((TAG.sub("", tagged(title)[0]), tagged(title)[1])))))] if title is not None else []
     fields += [("outlink", clean(x)) for x in links]
     carried = {k: source[k] for k in CARRIED if k in source}
     meta_id, text_id = record_id("metadata", origin), record_id("conversion", origin)
@@ -113,7 +217,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
 DERIVED = (
     "page_id long, response_id string, target_uri string, source_digest string, metadata_id string, "
-    "conversion_id string, n_links long, metadata binary, conversion binary"
+    "conversion_id string, n_links long, metadata binary, conversion binary, error string"
 )
 
 
@@ -122,13 +226,20 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Both refer to the response, carry its target, date and payload digest, and have ids and digests of
     their own. Empty pages give an empty text; repeated rows give equal records; an empty table gives no
-    rows; other columns are not read. Bytes that are no WARC record fail, a null record is skipped.
+    rows; other columns are not read. Bytes that are no WARC record, or whose packed body is too large, give a row with
+    ``error`` and nothing else; a null record is skipped. A page that leaves a script or a comment open shows nothing from there on.
     """
 
+    def attempt(data: bytes) -> dict:
+        try:
+            return derived(data)
+        except ValueError as ex:
+            return {"error": str(ex)}
+
     def make(batches):
         for batch in batches:
-            rows = [{"page_id": k} | derived(w) for k, w in zip(batch.column("page_id").to_pylist(), batch.column("warc").to_pylist())]
-            kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.binary()]
+            rows = [{"page_id": k} | attempt(w) for k, w in zip(batch.column("page_id").to_pylist(), batch.column("warc").to_pylist())]
+            kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.binary(), pa.string()]
             names = [c.split()[0] for c in DERIVED.split(", ")]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, kinds))))
 
@@ -157,7 +268,7 @@ def warc_digest(pages: DataFrame) -> DataFrame:
             kinds = [long, text, text, text, text, flag, text, long, text, flag, long]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip([c.split()[0] for c in DIGEST.split(", ")], kinds))))
 
-    return derivatives(responses(pages)).mapInArrow(read, DIGEST)
+    return derivatives(responses(pages)).where("error is null").drop("error").mapInArrow(read, DIGEST)
 
 
 DIGEST = (

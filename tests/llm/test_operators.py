@@ -272,6 +272,46 @@ def test_warc():
     assert "outlink: /x?a=1&b\r\n" in warc.parsed(made["metadata"])[1].decode() and warc.derived(source) == made
 
 
+OLD_HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+OLD_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+
+
+def test_warc_scan_against_patterns(spark):
+    """On pages whose hidden parts end, the scans find what plain patterns find."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    pages += ["<a href=x>1</a><A class='b' href = 'y>z'>2<a>3<a name=href href=\"\">", "a<b c<d", "<!-- x --><p>y<style>z</style >w", "<a <a href=q>", ""]
+    for page in pages:
+        assert warc.shown(page) == OLD_HIDDEN.sub(" ", page)
+        assert warc.page_links(page) == [a or b or c for a, b, c in OLD_LINK.findall(page)]
+
+
+def test_warc_hostile_pages():
+    import time
+
+    begun, n = time.process_time(), 300_000
+    for piece in ("<!--", "<script>", "<title>", "<title", "<a ", "<a href", "<p", "<", "<a href= ", "<style></script>"):
+        warc.derived(warc.response("u", piece * n, "1"))
+    assert time.process_time() - begun < 60
+    assert warc.plain_text("a<script>var x = 1") == "a" and warc.plain_text("a<!-- b") == "a"
+
+
+def test_warc_encodings_and_bad_records(spark):
+    import gzip
+
+    def made(http: bytes, body: bytes) -> bytes:
+        return warc.record({"warc-type": "response", "warc-record-id": "<urn:x>", "WARC-Target-URI": "u"}, b"HTTP/1.1 200 OK\r\n" + http + b"\r\n\r\n" + body)
+
+    def text(data: bytes) -> str:
+        return warc.parsed(warc.derived(data)["conversion"])[1].decode()
+
+    assert text(made(b"transfer-encoding: chunked", b"5\r\n<p>he\r\n3;x=1\r\nllo\r\n0\r\n\r\n")) == "hello"
+    assert text(made(b"Content-Encoding: gzip", gzip.compress(b"<p>packed"))) == "packed"
+    assert text(made(b"Content-Encoding: gzip", b"<p>not packed")) == "not packed"
+    bad = [(1, b"no record"), (2, b"WARC/1.1\r\nContent-Length: x\r\n\r\nabc"), (3, b""), (4, None), (5, made(b"", b"<p>fine"))]
+    got = {r.page_id: r.error for r in warc.derivatives(spark.createDataFrame(bad, "page_id long, warc binary")).collect()}
+    assert set(got) == {1, 2, 3, 5} and got[5] is None and all(got[k] for k in (1, 2, 3))
+
+
 def test_warc_rows(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, None), (2, "u", "")], "page_id long, url string, html string")
     rows = warc.warc_digest(frame).collect()
