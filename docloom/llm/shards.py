@@ -18,8 +18,10 @@ from .ranks import group_text, ranked
 HEADER = 16
 
 
-def interleaved(docs: DataFrame, shards: int = 40, seed: str = "mixture", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``id, source, size, text_crc32, shard, slot`` of every row of ``docs``.
+def interleaved(
+    docs: DataFrame, shards: int = 40, seed: str = "mixture", key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id, source, size, text_crc32, shard, slot`` of every row of ``docs``, and the columns ``carry``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16. The numbers of rows of two shards differ by at most one, and those
     of one source in two shards by little more; slots count from 0 without gaps. Rows whose source is null are a
@@ -30,18 +32,32 @@ def interleaved(docs: DataFrame, shards: int = 40, seed: str = "mixture", key: s
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"),
-        (F.octet_length(raw) + HEADER).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
+        (F.octet_length(raw) + HEADER).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *carry,
     )
     drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
     rows = written(rows.select("*", group_text("source").alias("stratum"), drawn.alias("drawn")), "sizes")
     within = ranked(rows, "stratum", ["drawn", "id"], rank="r", size="n")
     fraction = (F.col("r") * 2 + 1) / (F.col("n") * 2)
-    spot = written(within.select("id", "source", "size", "text_crc32", "stratum", fraction.alias("fraction"), F.lit("").alias("whole")), "fractions")
+    spot = written(within.select("id", "source", "size", "text_crc32", *carry, "stratum", fraction.alias("fraction"), F.lit("").alias("whole")), "fractions")
     placed = ranked(spot, "whole", ["fraction", "stratum"], rank="pos", size="total")
     shard = F.expr(f"pos * {shards} div total")
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     out = placed.withColumn("shard", shard)
-    return out.select("id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("pos") - first).alias("slot"))
+    return out.select("id", "source", "size", "text_crc32", *carry, F.col("shard").cast("int").alias("shard"), (F.col("pos") - first).alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, **names: str) -> DataFrame:
+    """Write all columns of ``docs`` below ``path/__shard=<n>`` in slot order, and return what was written.
+
+    The rows are written once with a number of their own; only their slim forms are ranked, and the texts move once to
+    meet their place and once into their shard. A shard larger than a partition has several files, in order of their names.
+    """
+    spark = docs.sparkSession
+    whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    place = interleaved(whole, shards, carry=("__row",), **names).select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    out = whole.join(place, "__row").drop("__row")
+    out.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shards_digest(docs: DataFrame, shards: int = 40) -> DataFrame:

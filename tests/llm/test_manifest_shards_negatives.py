@@ -122,6 +122,16 @@ def test_shards(spark, n):
         assert places[key] > 1 or again[key] == (r.shard, r.slot)
 
 
+def test_written_shards(spark, tmp_path):
+    rows = rows_of(200)
+    docs = frame(spark, rows)
+    back = shards.write_shards(docs, str(tmp_path / "shards"), 7).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars, r.leaf, r.shard) for r in back) == Counter((*r, "clash", 4) for r in rows)
+    sizes = Counter(r["__shard"] for r in back)
+    assert set(sizes) == set(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["__slot"] for r in back if r["__shard"] == s) == list(range(n)) for s, n in sizes.items())
+
+
 def negatives_by_hand(rows):
     good = []
     for k, v, label in rows:
