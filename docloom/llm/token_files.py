@@ -5,8 +5,8 @@ blocks, each by its own Re-Pair grammar: frequent pairs of neighbouring symbols
 symbols, round after round, until no pair stands twice. A block keeps its rules, their expansion lengths, and the expanded place
 of every 1024th symbol, so a range of ids is decoded without the rest of the block.
 
-Block layout (little-endian): ``RPG1``, counts of documents, ids, rules, symbols and marks as 32-bit
-integers; document ids (64 bit) and a flag for null ids; ids per document; rules as two arrays of
+Block layout (little-endian): ``RPG2``, counts of documents, ids, rules, symbols and marks and the first rule's number (one
+above all ids of the tokenizer) as 32-bit integers; document ids (64 bit) and a flag for null ids; ids per document; rules as two arrays of
 symbols; expansion lengths; symbols and marks. Symbols are stored by byte planes, 3 bytes each.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_dir
 from .arrays import SPACE, Spans, from_planes, gathered, planes, text_bytes
 
-MAGIC, FIRST_RULE, MARK_EVERY = b"RPG1", 50_257, 1024
+MAGIC, MARK_EVERY = b"RPG2", 1024
 #: Text bytes of a shard on average, text bytes encoded at once, and ids of a block.
 SHARD_BYTES, BATCH_BYTES, BLOCK_IDS = 16 << 20, 4 << 20, 1 << 21
 BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
@@ -73,7 +73,10 @@ class Encoder:
         vocabulary, added = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
             raise ValueError("added tokens that depend on the text around them are not built")
-        self.size = np.zeros(max(*vocabulary.values(), *added) + 1, np.int64)
+        self.size = np.zeros(max(*vocabulary.values(), *added, end_id) + 1, np.int64)
+        if len(self.size) > 1 << 23:  # half of what 3 bytes name is left for rules
+            raise ValueError("a tokenizer with so many ids is not built")
+        self.kind = np.uint16 if len(self.size) <= 1 << 16 else np.uint32
         for piece, n in vocabulary.items():
             self.size[n] = len(piece)  # one letter for each byte
         for n, token in added.items():
@@ -84,7 +87,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.values, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.known, self.values, self.at = np.zeros(0, np.uint64), np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def borders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces begin: at safe borders, and around added tokens but not inside them."""
@@ -114,14 +117,14 @@ class Encoder:
             cuts = sorted({0, *joint, len(own)})
             texts = [b"".join(own[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:])]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            found = np.array([i for ids in made for i in ids], np.uint16)
+            found = np.array([i for ids in made for i in ids], self.kind)
             ends = np.cumsum(self.size[found])
             borders = np.cumsum([len(p) for p in own])
             last = np.searchsorted(ends, borders)
             if (ends[last] != borders).any():
                 raise ValueError("a token crosses a border between words")
             out.append(found), sizes.append(np.diff(last, prepend=-1))
-        return np.concatenate(out or [np.zeros(0, np.uint16)]), np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, np.int64)
+        return np.concatenate(out or [np.zeros(0, self.kind)]), np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, np.int64)
 
     def learn(self, spans: Spans, distinct: np.ndarray, first: np.ndarray) -> None:
         place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
@@ -161,10 +164,10 @@ def shared_encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def compressed(ids: np.ndarray, rounds: int | None = None, least: int = 2):
+def compressed(ids: np.ndarray, first: int, rounds: int | None = None, least: int = 2):
     """Symbols and rules ``left, right, length`` after replacing pairs until none is seen ``least`` times.
 
-    ``rounds`` ends it earlier. Of overlapping pairs the more frequent is replaced, of equally frequent
+    Rules are numbered from ``first``, which is above all ids. ``rounds`` ends it earlier. Of overlapping pairs the more frequent is replaced, of equally frequent
     ones the same in every copy; in a run of one symbol every other place counts. Pairs are counted in a
     table of hash slots, each for the pair that wrote to it last, so a round takes a few passes and no
     sort; a pair that another has driven out of its slot is left for the next round, whose slots differ.
@@ -172,8 +175,7 @@ def compressed(ids: np.ndarray, rounds: int | None = None, least: int = 2):
     """
     symbols = ids.astype(np.uint32)
     left, right, length = [], [], []
-    size = [np.ones(FIRST_RULE, np.int64)]
-    first = FIRST_RULE
+    size = [np.ones(first, np.int64)]
     live = np.ones(max(0, len(symbols) - 1), bool)  # pairs that may be frequent
     k = 0
     while (rounds is None or k < rounds) and len(at := np.flatnonzero(live)):
@@ -231,12 +233,12 @@ def compressed(ids: np.ndarray, rounds: int | None = None, least: int = 2):
     return symbols, *joined
 
 
-def packed_block(docs, counts: np.ndarray, ids: np.ndarray, rounds: int | None = None, least: int = 2) -> bytes:
-    symbols, left, right, length = compressed(ids, rounds, least)
-    width = np.r_[np.ones(FIRST_RULE, np.int64), length][symbols]
+def packed_block(docs, counts: np.ndarray, ids: np.ndarray, first: int, rounds: int | None = None, least: int = 2) -> bytes:
+    symbols, left, right, length = compressed(ids, first, rounds, least)
+    width = np.r_[np.ones(first, np.int64), length][symbols]
     marks = np.r_[0, np.cumsum(width)][:-1:MARK_EVERY]
     known = np.array([d is not None for d in docs], np.uint8)
-    head = np.array([len(docs), len(ids), len(left), len(symbols), len(marks)], "<u4").tobytes()
+    head = np.array([len(docs), len(ids), len(left), len(symbols), len(marks), first], "<u4").tobytes()
     parts = [np.array([d or 0 for d in docs], "<i8").tobytes(), known.tobytes(), counts.astype("<u4").tobytes()]
     parts += [planes(x.astype(np.uint64), 3) for x in (left, right)]
     return b"".join([MAGIC, head, *parts, length.astype("<u4").tobytes(), planes(symbols.astype(np.uint64), 3), marks.astype("<u4").tobytes()])
@@ -248,18 +250,18 @@ class Block:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token block")
-        docs, self.size, rules, symbols, marks = (int(x) for x in np.frombuffer(data, "<u4", 5, 4))
-        at = 24
+        docs, self.size, rules, symbols, marks, self.first = (int(x) for x in np.frombuffer(data, "<u4", 6, 4))
+        at = 28
         ids = np.frombuffer(data, "<i8", docs, at)
         known = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
         self.docs = [int(d) if k else None for d, k in zip(ids, known)]
         at += 9 * docs
         self.counts = np.frombuffer(data, "<u4", docs, at).astype(np.int64)
         at += 4 * docs
-        self.left = np.r_[np.zeros(FIRST_RULE, np.int64), from_planes(data, 3, at, rules).astype(np.int64)]
-        self.right = np.r_[np.zeros(FIRST_RULE, np.int64), from_planes(data, 3, at + 3 * rules, rules).astype(np.int64)]
+        self.left = np.r_[np.zeros(self.first, np.int64), from_planes(data, 3, at, rules).astype(np.int64)]
+        self.right = np.r_[np.zeros(self.first, np.int64), from_planes(data, 3, at + 3 * rules, rules).astype(np.int64)]
         at += 6 * rules
-        self.length = np.r_[np.ones(FIRST_RULE, np.int64), np.frombuffer(data, "<u4", rules, at).astype(np.int64)]
+        self.length = np.r_[np.ones(self.first, np.int64), np.frombuffer(data, "<u4", rules, at).astype(np.int64)]
         at += 4 * rules
         self.symbols = from_planes(data, 3, at, symbols).astype(np.int64)
         self.marks = np.frombuffer(data, "<u4", marks, at + 3 * symbols).astype(np.int64)
@@ -276,7 +278,7 @@ class Block:
         while len(symbols):
             inside = (at < stop) & (at + self.length[symbols] > start)
             symbols, at = symbols[inside], at[inside]
-            single = symbols < FIRST_RULE
+            single = symbols < self.first
             out[at[single] - start] = symbols[single]
             symbols, at = symbols[~single], at[~single]
             halves = self.left[symbols], self.right[symbols]
@@ -301,7 +303,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
         def flush():
             ids, n = np.concatenate(held), np.concatenate(counts)
-            row = {"shard": [shard], "block": [block], "n_docs": [len(docs_held)], "n_ids": [len(ids)], "data": [packed_block(docs_held, n, ids, rounds, least)]}
+            row = {"shard": [shard], "block": [block], "n_docs": [len(docs_held)], "n_ids": [len(ids)], "data": [packed_block(docs_held, n, ids, len(encoder.size), rounds, least)]}
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
 
