@@ -1,7 +1,8 @@
 """Chat formatting by columnar byte assembly.
 
-Lengths of all segments of a batch (marks, roles, texts) give cumulative offsets, and one scatter of
-bytes into a preallocated buffer writes all of them; the buffer becomes an Arrow column as it is.
+Lengths of all segments of some rows (marks, roles, texts) give cumulative offsets, and one scatter of
+bytes into a preallocated buffer writes all of them. The buffer is the data of an Arrow column as it is; the offsets
+at which conversations begin are the column's offsets.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ ESCAPE = re.compile(rf"([<\[])(\\*)({RESTS})")
 UNESCAPE = re.compile(rf"([<\[])\\(\\*)({RESTS})")
 TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 FORMATTED = "conv_id long, part int, formatted binary, loss_starts array<long>, loss_ends array<long>"
-#: A conversation goes on in a next part after so many bytes.
-PART_BYTES = 32 << 20
+#: A conversation goes on in a next part after so many bytes; rows and text bytes assembled at once.
+PART_BYTES, ROWS, ROWS_BYTES = 32 << 20, 4096, 64 << 20
 
 
 def escaped(text: str) -> str:
@@ -83,47 +84,66 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(column)
 
 
+def formatted(rows: pa.RecordBatch, loss_role: str, first_part: int) -> pa.RecordBatch:
+    """One row per conversation of ``rows``, in their order; the first one is its part ``first_part``."""
+    n, ids = rows.num_rows, rows.column("conv_id").to_pylist()
+    said = rows.column("role").to_pylist()
+    roles = pa.array([role_name(r or "") for r in said], pa.string())
+    segments = [constant(OPEN, n), bytes_of(roles), constant(b"\n", n), bytes_of(safe_texts(rows.column("text"))), constant(CLOSE, n)]
+    buffer, offsets = assembled(segments)
+    begin = np.array([0, *(k for k in range(1, n) if ids[k] != ids[k - 1])])
+    own = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, n]))
+    at = offsets[5 * np.r_[begin, n]]
+    learnt = np.flatnonzero(np.array([r == loss_role for r in said], bool))
+    masks = np.r_[0, np.cumsum(np.bincount(own[learnt], minlength=len(begin)))].astype(np.int32)
+    spans = [pa.ListArray.from_arrays(pa.array(masks), pa.array(offsets[k::5][learnt] - at[own[learnt]])) for k in (3, 4)]
+    text = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(buffer)])
+    part = np.zeros(len(begin), np.int32)
+    part[0] = first_part
+    return pa.RecordBatch.from_arrays([rows.column("conv_id").take(pa.array(begin)), pa.array(part), text, *spans], [c.split()[0] for c in FORMATTED.split(", ")])
+
+
+def weight(rows: pa.RecordBatch) -> np.ndarray:
+    """About the formatted bytes of each row."""
+    length = lambda c: pc.fill_null(pc.binary_length(rows.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return length("text") + length("role") + len(OPEN) + 1 + len(CLOSE)
+
+
 def format_sorted(batches, loss_role: str):
-    """Batches of turns sorted by conversation and turn; a conversation may span batches."""
-    held: list = [None, 0, [], 0, [], []]  # conversation, part, pieces, size, mask starts, mask ends
+    """Batches of turns sorted by conversation and turn; a conversation may span batches.
 
-    def flush():
-        row = {"conv_id": held[0], "part": held[1], "formatted": b"".join(held[2]), "loss_starts": held[4], "loss_ends": held[5]}
-        held[2], held[3], held[4], held[5] = [], 0, [], []
-        return row
+    The rows of the last conversation wait for those of the next batch, until they weigh a part.
+    """
+    held, going, name, part = None, False, None, 0  # waiting rows; whether a conversation was cut, which and in which part
+
+    def emit(rows: pa.RecordBatch, cut: bool):
+        nonlocal going, name, part
+        ids = rows.column("conv_id")
+        out = formatted(rows, loss_role, part + 1 if going and ids[0].as_py() == name else 0)
+        going, name, part = cut, ids[-1].as_py(), out.column("part")[-1].as_py()
+        return out
 
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.binary()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
-    open_ = False
     for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
-            n = batch.num_rows
-            roles = pa.array([role_name(r or "") for r in batch.column("role").to_pylist()], pa.string())
-            segments = [constant(OPEN, n), bytes_of(roles), constant(b"\n", n), bytes_of(safe_texts(batch.column("text"))), constant(CLOSE, n)]
-            buffer, offsets = assembled(segments)
-            row_at, text_at, text_end = offsets[:-1:5], offsets[3::5], offsets[4::5]
-            learnt = np.array([r == loss_role for r in batch.column("role").to_pylist()], bool)
-            ids = batch.column("conv_id").to_pylist()
-            cut = [0, *(k for k in range(1, n) if ids[k] != ids[k - 1]), n]
-            done = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                if open_ and ids[a] != held[0]:
-                    done.append(flush())
-                if not open_ or ids[a] != held[0]:
-                    held[0], held[1], open_ = ids[a], 0, True
-                elif held[3] > PART_BYTES:
-                    done.append(flush())
-                    held[1] += 1
-                lo, hi = int(row_at[a]), int(offsets[5 * b])
-                chosen = np.flatnonzero(learnt[a:b]) + a
-                held[4] += (text_at[chosen] - lo + held[3]).tolist()
-                held[5] += (text_end[chosen] - lo + held[3]).tolist()
-                held[2].append(buffer[lo:hi].tobytes())
-                held[3] += hi - lo
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema)
-    if open_:
-        yield pa.RecordBatch.from_pylist([flush()], schema)
+        sizes, at = np.cumsum(weight(whole)), 0
+        while at < whole.num_rows:
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ROWS_BYTES, "right"))
+            to = min(max(at + 1, to), at + ROWS, whole.num_rows)
+            rows = whole.slice(at, to - at)
+            at = to
+            rows = rows if held is None else pa.concat_batches([held, rows])
+            ids = rows.column("conv_id").to_pylist()
+            last = rows.num_rows - 1
+            while last and ids[last - 1] == ids[-1]:
+                last -= 1
+            if weight(rows.slice(last)).sum() > PART_BYTES:
+                held = None
+                yield emit(rows, cut=True)
+                continue
+            held = rows.slice(last)
+            if last:
+                yield emit(rows.slice(0, last), cut=False)
+    if held is not None:
+        yield emit(held, cut=False)
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:

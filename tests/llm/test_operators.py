@@ -146,6 +146,24 @@ def test_long_conversations_come_in_parts(monkeypatch):
     assert (rows[0]["n_turns"], rows[0]["loss_chars"]) == (5, 400)
 
 
+def test_chat_columns(monkeypatch):
+    """Whatever the batches, conversations stay whole unless they are long, and spans point at the texts."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k), str(r), "é[INST]" * int(n)) for k in range(40) for r, n in zip(rng.choice(["user", "assistant"], 9), rng.integers(0, 6, 9))]
+    whole = pa.RecordBatch.from_pylist([{"conv_id": k or None, "role": r, "text": t} for k, r, t in rows], pa.schema([("conv_id", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    want = [r for b in chat.format_sorted([whole], "assistant") for r in b.to_pylist()]
+    assert [r["conv_id"] for r in want] == [k or None for k in range(40)] and not any(r["part"] for r in want)
+    for r in want:
+        mine = [t for k, role, t in rows if (k or None) == r["conv_id"] and role == "assistant"]
+        assert [chat.unescaped(r["formatted"][a:b].decode()) for a, b in zip(r["loss_starts"], r["loss_ends"])] == mine
+    for step in (1, 2, 7, 100):
+        cut = [whole.slice(a, step) for a in range(0, whole.num_rows, step)]
+        assert [r for b in chat.format_sorted(cut, "assistant") for r in b.to_pylist()] == want
+    monkeypatch.setattr(chat, "PART_BYTES", 200)
+    parts = [r for b in chat.format_sorted(cut, "assistant") for r in b.to_pylist()]
+    assert len(parts) >= 40 and b"".join(r["formatted"] for r in parts) == b"".join(r["formatted"] for r in want)
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
 
@@ -187,11 +205,34 @@ def test_added_tokens_have_their_own_ids(spark):
         at += len(ids)
 
 
+def test_tokenizer_with_many_ids(spark, tmp_path):
+    """Ids that two bytes do not hold, from a tokenizer with more entries; rules start above them."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        made = json.load(f)
+    made["model"]["vocab"] |= {f"unused{i}": 50_257 + i for i in range(20_000)}
+    made["added_tokens"].append({**made["added_tokens"][0], "id": 70_257, "content": "<|far|>"})
+    path = str(tmp_path / "many.json")
+    with open(path, "w") as f:
+        json.dump(made, f)
+    texts = ["a <|far|> b", "<|far|>" * 50, "plain words", "", "x <|endoftext|> y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert max(map(max, want)) == 70_257
+    got = token_files.token_digest(docs, path).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in want]
+    block = token_files.Block(bytes(token_files.shards(docs, path).first().data))
+    assert block.first == 70_258 and block.ids().tolist() == sum(want, [])
+
+
 def test_grammar_blocks_are_read_from_anywhere():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 30, 20000).astype(np.uint32)
     ids[5000:9000] = 7
-    block = token_files.Block(token_files.packed_block([1, None], np.array([15000, 5000]), ids, 4, 8))
+    block = token_files.Block(token_files.packed_block([1, None], np.array([15000, 5000]), ids, 50_257, 4, 8))
     assert len(block.symbols) < len(ids) and block.docs == [1, None]
     for a, b in ((0, None), (0, 1), (4999, 9001), (1024, 2048), (19999, 20000), (7, 7)):
         assert (block.ids(a, b) == ids[a:b]).all()
