@@ -31,11 +31,11 @@ def document_lines(
         .select("value", kept.alias("body"))
         .select(
             F.try_variant_get("body", "$.doc_type", "string").alias("doc_type"),
-            F.coalesce(
-                F.try_variant_get("body", "$.id", "string"),
-                F.try_variant_get("body", "$._id", "string"),
-                F.sha2("value", 256),
-            ).alias("id"),
+            # an id that is there but null stays null and fails the identity check
+            F.when(F.try_variant_get("body", "$.id", "variant").isNotNull(), F.try_variant_get("body", "$.id", "string"))
+            .when(F.try_variant_get("body", "$._id", "variant").isNotNull(), F.try_variant_get("body", "$._id", "string"))
+            .otherwise(F.sha2("value", 256))
+            .alias("id"),
             "body",
         )
     )

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docloom.functions import dates, predicates as Q, summaries
 from docloom.operators import articles, chain as P, nearest as K, rules, textindex, wordspace
 from docloom.session import written
+from docloom.store import DocumentStore
+from docloom.streaming import ingest
 
 
 @pytest.mark.parametrize("clause", [None, Q.term("tag", "a")])
@@ -183,3 +185,28 @@ def test_circular_references(spark):
     for wrong in ({"$ref": "#/definitions/none"}, {"$ref": "http://x/y"}, {"not": {"$ref": "#"}}):
         with pytest.raises(rules.InvalidSchema):
             rules.recursive_violations(frame, "k", "v", wrong)
+
+
+def test_stream_ids(spark, tmp_path):
+    """``id`` wins, then ``_id``, then a hash; one that is there but null is rejected."""
+    (tmp_path / "in").mkdir()
+    lines = ['{"doc_type":"T","id":"a","_id":"z"}', '{"doc_type":"T","_id":"b"}', '{"doc_type":"T","x":1}', '{"doc_type":"T","id":null,"_id":"c"}', '{"doc_type":"T","id":5}']
+    (tmp_path / "in" / "docs.json").write_text("\n".join(lines))
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    stream = ingest.ingest_stream(ingest.document_lines(spark, str(tmp_path / "in")), store, str(tmp_path / "check"), available_now=True)
+    stream.awaitTermination()
+    ids = {r.id for r in store.current().collect()}
+    assert {"a", "b", "5"} <= ids and len(ids) == 4 and any(len(i) == 64 for i in ids)
+    assert [r.error_type for r in store.errors().collect()] == ["missing_fields"]
+
+
+def test_two_writers_with_one_number(spark, tmp_path, monkeypatch):
+    """Batches that drew the same number are both kept, and a later one still wins."""
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    docs = lambda i, v: spark.createDataFrame([("T", i, v)], "doc_type string, id string, v int").select("doc_type", "id", F.to_variant_object(F.struct("v")).alias("body"))
+    monkeypatch.setattr(store, "_next_batch", lambda: 1)
+    store.put(docs("a", 1), F.current_timestamp())
+    store.put(docs("b", 2), F.current_timestamp())
+    monkeypatch.undo()
+    store.put(docs("a", 3), F.current_timestamp())
+    assert {(r.id, r.v) for r in store.view("T", {"v": "int"}).collect()} == {("a", 3), ("b", 2)}
