@@ -53,9 +53,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, **names: str) ->
     meet their place and once into their shard. A shard larger than a partition has several files, in order of their names.
     """
     spark = docs.sparkSession
-    whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    place = interleaved(whole, shards, carry=("__row",), **names).select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    out = whole.join(place, "__row").drop("__row")
+    whole = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    place = interleaved(whole, shards, carry=("__number",), **names).select("__number", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    out = whole.join(place, "__number").drop("__number")
     out.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
     return spark.read.parquet(path)
 
