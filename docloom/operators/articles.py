@@ -183,16 +183,16 @@ def _squeezed(parts: Sequence[str]) -> str:
 
 
 ARTICLE = (
-    "struct<content:string,authors:array<string>,publish_date:string,top_image:string,"
+    "struct<content:string,selected:string,authors:array<string>,publish_date:string,top_image:string,"
     "description:string,error:string>"
 )
 
 
 def read_article(html: Column, xpaths: Sequence[str] = ()) -> Column:
-    """Content and metadata of a whole page; needs a real parser, hence an Arrow-batched UDF."""
+    """Content and metadata of a whole page, and the longest text below one of the paths; needs a real parser, hence an Arrow-batched UDF."""
     wanted = [_steps(x) for x in xpaths]
     nothing = dict.fromkeys(
-        ["content", "authors", "publish_date", "top_image", "description", "error"]
+        ["content", "selected", "authors", "publish_date", "top_image", "description", "error"]
     )
 
     def one(page: str | None) -> dict:
@@ -205,12 +205,10 @@ def read_article(html: Column, xpaths: Sequence[str] = ()) -> Column:
         except (AssertionError, ValueError, IndexError) as ex:
             return {**nothing, "error": f"{type(ex).__name__}: {ex}"}
         content = _squeezed(reader.parts[True]) or _squeezed(reader.parts[False])
-        picked = max((_squeezed(p) for p in reader.picked), key=len, default="")
-        if picked and (not content or len(content) / len(picked) <= SELECTOR_SHARE):
-            content = picked
         author = reader.meta.get("author") or reader.meta.get("article:author")
         return {
             "content": content,
+            "selected": max((_squeezed(p) for p in reader.picked), key=len, default=""),
             "authors": [author] if author else [],
             "publish_date": reader.meta.get("article:published_time") or reader.meta.get("date"),
             "top_image": reader.meta.get("og:image"),
@@ -240,14 +238,15 @@ def extract_articles(
     """
     parsed = pages.withColumn("__a", read_article(F.col(html), xpaths))
     parsed = parsed.withColumn("__title", F.coalesce(page_title(F.col(html)), F.col(url)))
-    parsed = summarised(parsed, F.col("__a.content"), F.col("__title"), stop)
+    parsed = parsed.withColumn("__content", override_content(F.col("__a.content"), F.col("__a.selected")))
+    parsed = summarised(parsed, F.col("__content"), F.col("__title"), stop)
     ok = F.col("__a.error").isNull()
     out = [
         url_id(F.col(url)).alias("id"),
         F.lit("NewsArticle").alias("doc_type"),
         F.col(url).alias("url"),
         F.col("__title").alias("title"),
-        F.col("__a.content").alias("content"),
+        F.col("__content").alias("content"),
         F.col("__keywords").alias("keywords"),
         F.col("__summary").alias("summary"),
         F.col("__a.authors").alias("authors"),

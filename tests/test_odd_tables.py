@@ -2,6 +2,7 @@
 
 import compare
 import duckdb
+import pytest
 
 from docloom.plans import CATALOG
 
@@ -18,6 +19,13 @@ def same_as_sql(spark, folder, name, **tables):
     assert compare.differences(query(spark, str(folder)), con, sql) == []
 
 
+@pytest.mark.parametrize("name", ["article_by_selector"])
+def test_addresses_stored_twice(spark, tmp_path, name):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
+    again = pages.where("page_id % 3 = 0").selectExpr("page_id + 100000 AS page_id", "url", "replace(html, '<p>', '<p>Again ') AS html")
+    same_as_sql(spark, tmp_path, name, pages=pages.unionByName(again))
+
+
 def test_model_of_all_words(spark, tmp_path):
     """Texts of stop words alone, of very long words and without words."""
     texts = ["the and of", "x" * 40, "1 2 3", "", None, "some other text of words", "a_b c", "d'une voix"]
