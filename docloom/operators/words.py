@@ -43,14 +43,15 @@ def bag_of_words(docs: DataFrame, key: str, token_col: str) -> DataFrame:
     return each(bags, [key], F.col("bag"), "b").select(key, "b.*")
 
 
-def dense_ids(values: DataFrame, column: str, name: str = "token_id") -> DataFrame:
+def dense_ids(values: DataFrame, column: str, name: str = "token_id", keep: Sequence[str] = ()) -> DataFrame:
     """Consecutive ids from 0 in value order, without a single-task window.
 
     The distinct values are written, range-partitioned and written again with their partition
     number; then each partition ranks its own rows and adds the number of rows in lower
     partitions. Range partitioning samples its input, which therefore must be cheap to read.
+    With columns to ``keep`` the values must be distinct already.
     """
-    distinct = written(values.select(column).distinct(), "distinct")
+    distinct = written(values.select(column, *keep) if keep else values.select(column).distinct(), "distinct")
     ranged = written(
         distinct.repartitionByRange(F.col(column)).withColumn("__part", F.spark_partition_id()),
         "dense-ids",
@@ -67,7 +68,7 @@ def dense_ids(values: DataFrame, column: str, name: str = "token_id") -> DataFra
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(column))
     return (
         ranged.join(F.broadcast(lower), "__part")
-        .select(column, (rank + F.col("__offset") - 1).alias(name))
+        .select(column, *keep, (rank + F.col("__offset") - 1).alias(name))
     )
 
 
@@ -82,6 +83,16 @@ def dictionary_bags(docs: DataFrame, key: str, token_col: str) -> tuple[DataFram
     return ids, corpus.select(key, "token_id", "n")
 
 
+def dictionary_counts(docs: DataFrame, key: str, token_col: str) -> DataFrame:
+    """Dictionary with its totals: ``token, n_docs, n, token_id``.
+
+    Tokens are counted before they are numbered, so nothing but one row per token and task is shuffled and nothing is looked up.
+    """
+    bags = bag_of_words(docs, key, token_col)
+    totals = bags.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    return dense_ids(totals, "token", keep=["n_docs", "n"])
+
+
 def lemmatize(
     docs: DataFrame,
     key: str,

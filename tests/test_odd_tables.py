@@ -4,6 +4,7 @@ import compare
 import duckdb
 import pytest
 
+from docloom.operators import joins, words as W
 from docloom.plans import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,17 @@ def test_model_of_all_words(spark, tmp_path):
     texts = ["the and of", "x" * 40, "1 2 3", "", None, "some other text of words", "a_b c", "d'une voix"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     same_as_sql(spark, tmp_path, "model_registry", documents=docs)
+
+
+def test_large_lookups_stay_off_the_driver(spark):
+    """A broadcast passes through the driver: a vocabulary of 60,000 words is shuffled, a small table is not."""
+    facts = spark.range(10).withColumnRenamed("id", "k")
+    plan = lambda n: joins.lookup_join(facts, spark.range(n).withColumnRenamed("id", "k"), ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in plan(60_000)
+    assert "strategy=broadcast" in plan(1000)
+
+
+def test_dictionary_counts(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a", "c"]), (3, ["a"])], "k long, words array<string>")
+    got = sorted(tuple(r) for r in W.dictionary_counts(docs, "k", "words").select("token_id", "token", "n_docs", "n").collect())
+    assert got == [(0, "a", 3, 3), (1, "b", 1, 2), (2, "c", 1, 1)]
