@@ -14,7 +14,7 @@ from .chain import Outcome
 from .joins import lookup_join
 
 SPAN = "struct<label:string,start_char:int,end_char:int,text:string,source:string,source_path:string>"
-BLOCK = 1000
+BLOCK = 64
 
 
 def _running(values: Column, start: Column) -> Column:
