@@ -101,9 +101,7 @@ FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_custkey % 13 <> 0 AND c
 """)
 def user_step(spark, sf):
     """A document function that drops some documents and fails for others."""
-    docs = table(spark, sf, "customer").select(
-        "c_custkey", "c_name", F.col("c_mktsegment").alias("doc_type"), F.lit("none").alias("foo")
-    )
+    docs = spread(table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("doc_type"))).withColumn("foo", F.lit("none"))
 
     def named(parameters, doc):
         if doc["c_custkey"] % 13 == 0:
