@@ -135,24 +135,15 @@ def window_counts(
     both-present counts follow from the sizes of unions of position ranges.
     """
     chosen = sorted(set(words))
+    # the whole text is gone through once; each word then looks at the places of chosen words alone
+    marked = F.array_compact(F.transform(F.col(token_col), lambda t, i: F.when(t.isin(chosen), F.struct(t.alias("w"), i.alias("i")))))
+    found = docs.select(key, F.size(token_col).alias("n"), marked.alias("__hits")).filter(F.size("__hits") > 0)
     spots = F.transform(
-        F.array(*[F.lit(w) for w in chosen]),
-        lambda w: F.struct(
-            w.alias("w"),
-            F.array_compact(
-                F.transform(
-                    F.col(token_col),
-                    lambda t, i: F.when(t == w, i),
-                )
-            ).alias("at"),
-        ),
+        F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["w"]))),
+        lambda w: F.struct(w.alias("w"), F.transform(F.filter("__hits", lambda h: h["w"] == w), lambda h: h["i"]).alias("at")),
     )
     # only the words that occur in the document take part
-    held = docs.select(
-        key,
-        F.size(token_col).alias("n"),
-        F.filter(spots, lambda s: F.size(s["at"]) > 0).alias("held"),
-    )
+    held = found.select(key, "n", spots.alias("held"))
     pairs = F.flatten(
         F.transform(
             "held",
