@@ -4,7 +4,7 @@ import compare
 import duckdb
 import pytest
 
-from docloom.operators import joins, words as W
+from docloom.operators import joins, nearest as K, words as W
 from docloom.plans import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,14 @@ def test_dictionary_counts(spark):
     docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a", "c"]), (3, ["a"])], "k long, words array<string>")
     got = sorted(tuple(r) for r in W.dictionary_counts(docs, "k", "words").select("token_id", "token", "n_docs", "n").collect())
     assert got == [(0, "a", 3, 3), (1, "b", 1, 2), (2, "c", 1, 1)]
+
+
+def test_questions_of_a_cell_are_cut_into_lots(spark, monkeypatch):
+    """No group holds more questions than a lot, give or take the hash; answers stay the same."""
+    rows = spark.createDataFrame([(i, [float(i % 37), float(i % 11)]) for i in range(300)], "k long, v array<double>")
+    asked = rows.selectExpr("k AS q", "v AS w")
+    whole = {tuple(r) for r in K.nearest_many(rows, "v", "k", asked, "q", "w", 5).collect()}
+    monkeypatch.setattr(K, "ASKED", 20)
+    cut = K.nearest_many(rows, "v", "k", asked, "q", "w", 5)
+    assert "lot" in cut._jdf.queryExecution().analyzed().toString()
+    assert {tuple(r) for r in cut.collect()} == whole
