@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.rows import each
 from ..functions.text import clean_text, tokens, without_words
+from ..session import written
 from .phrases import apply_phrases, scored_pairs
 
 # Training defaults.
@@ -56,6 +57,8 @@ def train(
     both follow from these two alone. Each round scans the corpus, so a large one wants a large ``chunk``. The model is
     ``num_topics`` times the vocabulary and lives on the driver; only an explicit ``vocabulary`` keeps just the words of most documents.
     """
+    # every round reads the corpus again: texts are cut into words once
+    words = written(words.select("words"), "lda-words")
     n_docs = max(1, words.count())
     size = vocabulary or max(1, each(words, [], F.array_distinct("words"), "word").distinct().count())
     rate = min(1.0, chunk / n_docs)
