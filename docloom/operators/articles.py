@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import summaries
 from ..functions.scalars import iso_text, lenient_timestamp, text_hash
@@ -223,6 +223,12 @@ def read_article(html: Column, xpaths: Sequence[str] = ()) -> Column:
     return parse(html)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Pages reach Python in batches of a few MB; Spark's default of 10,000 rows takes GB of long pages. A value set by the caller stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def extract_articles(
     pages: DataFrame,
     url: str = "url",
@@ -236,6 +242,7 @@ def extract_articles(
     ``keywords`` are the most frequent words of the content without stop words (by default Spark's English list);
     ``summary`` is made of its heaviest sentences; ``publish_date`` is ISO text, null when the page's text is no date.
     """
+    small_batches(pages.sparkSession)
     parsed = pages.withColumn("__a", read_article(F.col(html), xpaths))
     parsed = parsed.withColumn("__title", F.coalesce(page_title(F.col(html)), F.col(url)))
     parsed = parsed.withColumn("__content", override_content(F.col("__a.content"), F.col("__a.selected")))
