@@ -9,9 +9,10 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import summaries
+from ..functions.rows import each
 from ..functions.scalars import iso_text, lenient_timestamp, text_hash
 from ..functions.text import stop_words
 
@@ -281,6 +282,43 @@ def summarised(docs: DataFrame, content: Column, title: Column, stop: Sequence[s
     return out.drop("__text", "__sentences", "__keys", "__scored")
 
 
+def shared_summaries(articles: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
+    """``url, keywords, summary, pages`` of addresses with several pages; ``articles`` has ``url, title, content``.
+
+    Every content of an address meets every title of it. Equal contents and equal titles stand once, with their number. A
+    keyword of a sentence counts as often as any page of the address has it at that place.
+    """
+    banned = stop_words() if stop is None else stop
+    contents = articles.groupBy("url", "content").agg(F.count("*").alias("copies"))
+    titles = articles.groupBy("url", "title").agg(F.count("*").alias("alike"))
+    pages = articles.groupBy("url").agg(F.count("*").alias("pages"))
+    terms = each(contents, ["url", "copies"], summaries.weighty(F.col("content"), banned), "term")
+    first = Window.partitionBy("url").orderBy(F.desc("n"), "term")
+    keys = terms.groupBy("url", "term").agg(F.sum("copies").alias("n")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= summaries.KEYWORDS)
+    tops = keys.groupBy("url").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda k: k["term"]).alias("keywords"), F.max("n").alias("top")
+    )
+    lines = each(contents, ["url", "copies"], summaries.sentences(F.col("content")), "text", at="at")
+    lines = lines.groupBy("url", "at", "text").agg(F.sum("copies").alias("copies")).withColumn("words", summaries.weighty(F.col("text"), banned))
+    met = each(lines, ["url", "at", "copies"], F.col("words"), "term").join(keys, ["url", "term"])
+    hits = met.groupBy("url", "at").agg(F.sum(F.col("copies") * F.col("n")).alias("hits"))
+    named = titles.withColumn("named", F.array_distinct(summaries.weighty(F.col("title"), banned)))
+    held = lines.join(named, "url").join(pages, "url").join(tops, "url", "left").join(hits, ["url", "at"], "left")
+    told = F.when(F.size("named") > 0, F.size(F.array_intersect("named", "words")) / F.size("named")).otherwise(0.0)
+    keyed = F.when(F.size("words") > 0, F.coalesce(F.col("hits") * F.col("pages"), F.lit(0)) / F.col("top") / F.size("words")).otherwise(0.0)
+    weight = F.round(summaries.TITLE_SHARE * told + summaries.KEYWORD_SHARE * keyed + summaries.PLACE_SHARE / (F.col("at") + 1), 9)
+    scored = held.select("url", "at", "text", (-weight).alias("less"), (F.col("copies") * F.col("alike")).alias("times"))
+    scored = scored.groupBy("url", "at", "text", "less").agg(F.sum("times").alias("times"))
+    order = Window.partitionBy("url").orderBy("less", "at", "text")
+    chosen = scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= summaries.SENTENCES)
+    before = F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = chosen.withColumn("times", F.least("times", summaries.SENTENCES - before)).filter("times > 0")
+    # in the order of the text; of one place the heavier sentence first
+    placed = F.array_sort(F.collect_list(F.struct("at", "less", "text", F.col("times").cast("int").alias("times"))))
+    best = chosen.groupBy("url").agg(F.array_join(F.flatten(F.transform(placed, lambda s: F.array_repeat(s["text"], s["times"]))), "\n").alias("summary"))
+    return pages.join(tops, "url", "left").join(best, "url", "left").select("url", "keywords", "summary", "pages")
+
+
 def override_content(content: Column, selected: Column) -> Column:
     """Selector text wins over empty content and over content much shorter than it."""
     longer = F.length(selected) > 0

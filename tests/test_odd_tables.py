@@ -27,6 +27,15 @@ def test_addresses_stored_twice(spark, tmp_path, name):
     same_as_sql(spark, tmp_path, name, pages=pages.unionByName(again))
 
 
+def test_summaries_of_addresses_stored_twice(spark, tmp_path):
+    """Other contents, other titles, equal copies and pages without html of one address."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
+    more = lambda n, at, html: pages.where(f"page_id % {n} = 0").selectExpr(f"page_id + {at} AS page_id", "url", f"{html} AS html")
+    again = more(3, 100000, "replace(html, '<p>', '<p>Again ')").unionByName(more(4, 200000, "html"))
+    again = again.unionByName(more(5, 300000, "replace(html, '<title>', '<title>Other ')")).unionByName(more(7, 400000, "CAST(NULL AS STRING)"))
+    same_as_sql(spark, tmp_path, "article_summary", pages=pages.unionByName(again))
+
+
 def test_model_of_all_words(spark, tmp_path):
     """Texts of stop words alone, of very long words and without words."""
     texts = ["the and of", "x" * 40, "1 2 3", "", None, "some other text of words", "a_b c", "d'une voix"]
