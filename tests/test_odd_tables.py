@@ -1,10 +1,13 @@
 """Catalog queries on tables with repeated addresses and odd texts agree with their SQL."""
 
+import re
+from collections import Counter
+
 import compare
 import duckdb
 import pytest
 
-from docloom.operators import joins, nearest as K, words as W
+from docloom.operators import joins, language as L, nearest as K, words as W
 from docloom.plans import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +69,13 @@ def test_questions_of_a_cell_are_cut_into_lots(spark, monkeypatch):
     cut = K.nearest_many(rows, "v", "k", asked, "q", "w", 5)
     assert "lot" in cut._jdf.queryExecution().analyzed().toString()
     assert {tuple(r) for r in cut.collect()} == whole
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_gram_counts(spark, n):
+    """Grams never cross texts, also when their numbers outgrow 62 bits; short texts and wide characters count as they should."""
+    texts = ["", "a", "Ab  ab\nAB", "\U0001d518ß\U0001d518ß\U0001d518ß", " ".join(f"w{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    got = {(r["k"], r["gram"]): r["n"] for r in L.gram_counts(docs, ["k"], "t", n).collect()}
+    flat = [f" {' '.join(re.split(r'[ \n]+', t)).lower()} " for t in texts]
+    assert got == Counter((k, t[i : i + n]) for k, t in enumerate(flat) for i in range(len(t) - n + 1))
