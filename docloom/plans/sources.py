@@ -162,9 +162,9 @@ def archive_tree(spark, sf):
     root = fresh_dir(spark, "tree")
     pages, stored = page_files(spark, sf)
     manifest = trees.write_document_tree(pages.select("doc_type", "id", "url"), root, stored)
-    tree = trees.read_document_tree(spark, root)
+    tree = trees.read_document_tree(spark, root, manifest)
     docs = tree.select("id", F.lit("doc.json").alias("filename"), F.sha2(F.try_variant_get("body", "$.url", "string"), 256).alias("digest"))
-    beside = trees.attach_files(tree, spark, root, content=True).withColumn("sha256", F.sha2("content", 256))
+    beside = trees.attach_files(tree, spark, root, content=True, listed=manifest).withColumn("sha256", F.sha2("content", 256))
     key = F.concat_ws("/", F.regexp_extract("folder", "([^/]+/[^/]+)$", 1), "artifact_type", "filename")
     proven = beside.withColumn("path", key).join(manifest, ["path", "sha256", "length"], "left_semi")
     return docs.unionByName(proven.select("id", "filename", F.col("sha256").alias("digest")))

@@ -9,6 +9,7 @@ import pytest
 
 from docloom.operators import joins, language as L, nearest as K, words as W
 from docloom.plans import CATALOG
+from docloom.sources import trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +80,17 @@ def test_gram_counts(spark, n):
     got = {(r["k"], r["gram"]): r["n"] for r in L.gram_counts(docs, ["k"], "t", n).collect()}
     flat = [f" {' '.join(re.split(r'[ \n]+', t)).lower()} " for t in texts]
     assert got == Counter((k, t[i : i + n]) for k, t in enumerate(flat) for i in range(len(t) - n + 1))
+
+
+def test_tree_is_read_by_its_manifest(spark, tmp_path):
+    """The manifest stands for a listing: same documents and files, and Spark's own lister, which runs on the driver, is not asked."""
+    docs = spark.createDataFrame([("Web Page", "1", "x"), ("Web Page", "ü/2", None)], "doc_type string, id string, t string")
+    files = spark.createDataFrame([("Web Page", "1", "raw", "a b.txt", b"one"), ("Web Page", "ü/2", "raw", "c.bin", b"")], "doc_type string, id string, artifact_type string, filename string, content binary")
+    root = str(tmp_path / "tree")
+    manifest = trees.write_document_tree(docs, root, files)
+    tree = trees.read_document_tree(spark, root, manifest)
+    beside = trees.attach_files(tree, spark, root, content=True, listed=manifest)
+    assert "binaryFile" not in beside._jdf.queryExecution().analyzed().toString()
+    got = sorted((r["id"], r["artifact_type"], r["filename"], r["length"], bytes(r["content"])) for r in beside.collect())
+    assert got == [("1", "raw", "a b.txt", 3, b"one"), ("ü/2", "raw", "c.bin", 0, b"")]
+    assert sorted(r["id"] for r in tree.collect()) == [r["id"] for r in trees.read_document_tree(spark, root).orderBy("id").collect()]
