@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import variants as V
 from ..functions.rows import each
+from ..session import even
 
 RESETS = ("index", "delete")
+# Fixed value: parts that may share the changes of one key.
+SALTS = 16
 
 
 def fold_columns(
@@ -58,8 +61,10 @@ def fold_documents(
 
     Objects merge deeply; arrays and scalars are replaced; explicit nulls overwrite. First the
     latest value per (key, path) is taken, which drops all history before documents are put
-    together again, so the second shuffle carries one row per live path.
+    together again, so the second shuffle carries one row per live path. That aggregate holds texts and so sorts the paths of its
+    task, hence a task gets a bounded number of changes, those of a key in a few of them.
     """
+    log = even(log, *keys, F.pmod(F.xxhash64(seq), F.lit(SALTS)), least=log.sparkSession.sparkContext.defaultParallelism)
     marker = F.array(
         F.struct(
             F.array().cast("array<string>").alias("path"),

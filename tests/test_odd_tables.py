@@ -7,7 +7,8 @@ import compare
 import duckdb
 import pytest
 
-from docloom.operators import joins, language as L, nearest as K, words as W
+from docloom import session
+from docloom.operators import joins, language as L, merge, nearest as K, words as W
 from docloom.plans import CATALOG
 from docloom.sources import trees
 
@@ -94,3 +95,17 @@ def test_tree_is_read_by_its_manifest(spark, tmp_path):
     got = sorted((r["id"], r["artifact_type"], r["filename"], r["length"], bytes(r["content"])) for r in beside.collect())
     assert got == [("1", "raw", "a b.txt", 3, b"one"), ("ü/2", "raw", "c.bin", 0, b"")]
     assert sorted(r["id"] for r in tree.collect()) == [r["id"] for r in trees.read_document_tree(spark, root).orderBy("id").collect()]
+
+
+def test_folds_hold_a_bounded_number_of_changes_a_task(spark, monkeypatch):
+    """A log in few parts is dealt into many, also one that is all of one key; the state stays the same."""
+    log = spark.range(4000).coalesce(1).selectExpr(
+        "'T' AS doc_type", "if(id % 3 = 0, 0, id % 50) AS id", "id AS seq", "'update' AS op",
+        "parse_json(concat('{\"a\":', id, ',\"b\":{\"c', id % 2, '\":', id % 7, '}}')) AS body")
+    state = lambda: sorted((r["id"], r["j"]) for r in merge.fold_documents(log).selectExpr("id", "to_json(body) AS j").collect())
+    whole = state()
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    dealt = session.even(log, "id", "seq")
+    assert dealt.rdd.getNumPartitions() == 40 and max(map(len, dealt.rdd.glom().collect())) < 200
+    assert "RepartitionByExpression" in merge.fold_documents(log)._jdf.queryExecution().analyzed().toString()
+    assert state() == whole
