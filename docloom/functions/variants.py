@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# what a field can be, see family_of_type
+FAMILIES = ("object", "boolean", "mixed", "number", "text")
+
 # a variant type text names fields only when the object has some: ``OBJECT<a: ...>``
 _OPEN = "schema_of_variant({0}) like 'OBJECT<%:%'"
 

@@ -128,13 +128,16 @@ def strictly(bad: DataFrame) -> None:
 def field_families(df: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
     """First storage family of every field: ``doc_type, path, family``.
 
-    One partial aggregate; the result is as long as the field lists, not as the documents.
+    One partial aggregate; the result is as long as the field lists, not as the documents. Families are
+    numbers in it, so with a number as ``seq`` nothing is sorted.
     """
+    names = F.array(*map(F.lit, V.FAMILIES))
     return (
         each(df, ["doc_type", seq], _family_entries(V.leaves(body)), "e")
         .filter(F.col("e.family").isNotNull())
         .groupBy("doc_type", F.col("e.path").alias("path"))
-        .agg(F.min_by("e.family", seq).alias("family"))
+        .agg(F.min_by(F.array_position(names, F.col("e.family")).cast("int"), seq).alias("family"))
+        .withColumn("family", F.element_at(names, F.col("family")))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
-from ..session import fresh_dir
+from ..session import TASK_ROWS, fresh_dir
 from ..sources import files as S
 from ..store import DocumentStore
 from ..streaming import ingest as J, topics as T
@@ -102,8 +102,8 @@ def stream_ingest(spark, sf):
     docs = table(spark, sf, "events").select(
         kind.alias("doc_type"), F.col("user_id").cast("string").alias("id"), "value", "event_id"
     )
-    # files arrive in event order, as a producer would write them
-    docs.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.json(inbox)
+    # files arrive in event order, as a producer would write them, none longer than a task's rows
+    docs.repartitionByRange(max(8, -(-docs.count() // TASK_ROWS)), "event_id").sortWithinPartitions("event_id").write.json(inbox)
     store = DocumentStore(spark, fresh_dir(spark, "stream-store"))
     schema = {"properties": {"value": {"type": "number", "maximum": 90}}, "required": ["value"]}
 

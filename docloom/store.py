@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .functions.predicates import Clause
 from .operators import ingest, rules
 from .operators.merge import fold_documents
-from .session import written
+from .session import even, written
 
 LOG = (
     "doc_type string, id string, seq struct<batch:bigint,run:bigint,pos:bigint>, op string, ts timestamp, "
@@ -186,7 +186,8 @@ class DocumentStore:
         )
         checked = written(checked, "checked")
         passed = checked.filter((F.col("__rules") == "") & (F.col("__missing") == ""))
-        flagged = ingest.flag_conflicts(checked, self._families(passed, number, run))
+        # the log is sorted into its partitions, so a task gets a bounded number of documents
+        flagged = ingest.flag_conflicts(even(checked, "__pos"), self._families(passed, number, run))
         clash = F.array_join("__bad", "; ")
         outcome = (
             F.when(F.col("__rules") != "", "jsonschema")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from docloom import session
-from docloom.operators import joins, language as L, merge, nearest as K, words as W
+from docloom.operators import ingest, joins, language as L, merge, nearest as K, words as W
 from docloom.plans import CATALOG
 from docloom.sources import trees
 
@@ -109,3 +109,11 @@ def test_folds_hold_a_bounded_number_of_changes_a_task(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 40 and max(map(len, dealt.rdd.glom().collect())) < 200
     assert "RepartitionByExpression" in merge.fold_documents(log)._jdf.queryExecution().analyzed().toString()
     assert state() == whole
+
+
+def test_field_families_are_hashed(spark):
+    """Families are numbers while they are aggregated, so no task sorts all its leaves."""
+    docs = spark.sql("SELECT 'T' AS doc_type, id AS seq, parse_json(if(id = 0, '{\"a\":\"x\",\"o\":{\"p\":true}}', '{\"a\":1,\"z\":[2]}')) AS body FROM range(5)")
+    found = ingest.field_families(docs)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["family"]) for r in found.collect()} == {("a", "text"), ("o", "object"), ("o.p", "boolean"), ("z", "number")}
