@@ -10,9 +10,13 @@ from functools import cache
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
+from .rows import let
+
 # Token length bounds and the letter class of a token.
 MIN_TOKEN, MAX_TOKEN = 2, 15
 TOKEN_PATTERN = r"[\p{L}\p{Nl}\p{No}_]+"
+# what parts tokens: the complement, which asks the commonest range first
+TOKEN_BREAK = r"[^a-z\p{L}\p{Nl}\p{No}_]+"
 
 
 # Fixed value: members of the Unicode white-space class; Java's \\s alone is ASCII only.
@@ -27,12 +31,16 @@ def clean_text(c: Column) -> Column:
     The patterns start only at a token's begin and leave lone blanks alone, which keeps both
     passes linear and cheap on ordinary text. Printable ASCII is told by one range before the long class is asked.
     """
-    mail = rf"(?<![!-~])(?<![^{WS}])(?:[!-?A-~]++|[^{WS}@])*+@(?:[!-~]++|[^{WS}])*+[{WS}]?"
-    out = F.when(c.contains("@"), F.regexp_replace(c, mail, "")).otherwise(c)
-    out = F.regexp_replace(out, rf"(?![!-~])(?:[{WS}]{{2,}}|[{WS}&&[^ ]])", " ")
+    out = F.regexp_replace(without_mail(c), rf"(?![!-~])(?:[{WS}]{{2,}}|[{WS}&&[^ ]])", " ")
     return F.replace(out, F.lit("'"), F.lit(""))
 
 
+def without_mail(c: Column) -> Column:
+    """Drop e-mail-like tokens with one white space behind."""
+    mail = rf"(?<![!-~])(?<![^{WS}])(?:[!-?A-~]++|[^{WS}@])*+@(?:[!-~]++|[^{WS}])*+[{WS}]?"
+    return F.when(c.contains("@"), F.regexp_replace(c, mail, "")).otherwise(c)
+
+
 @cache
 def accent_table() -> tuple[str, str]:
     """Equal-length strings for ``translate``: each accented letter and its base letter."""
@@ -52,8 +60,14 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold_accents(c: Column) -> Column:
+    """Base letters; ASCII texts, told by their byte count, are left as they are."""
     found, base = accent_table()
-    return F.regexp_replace(F.translate(c, found, base), r"\p{Mn}", "")
+    return let(
+        c,
+        lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(
+            F.regexp_replace(F.translate(v, found, base), r"\p{Mn}", "")
+        ),
+    )
 
 
 def raw_tokens(c: Column) -> Column:
@@ -62,13 +76,21 @@ def raw_tokens(c: Column) -> Column:
 
 
 def tokens(c: Column, shortest: int = MIN_TOKEN, longest: int = MAX_TOKEN) -> Column:
-    """Tokens within the length bounds that do not start with an underscore."""
+    """Tokens within the length bounds that do not start with an underscore.
+
+    The text is split at what parts tokens, cheaper than extracting each; empty ends are no tokens.
+    """
     return F.filter(
-        raw_tokens(c),
-        lambda t: F.length(t).between(shortest, longest) & ~t.startswith("_"),
+        F.split(fold_accents(F.lower(c)), TOKEN_BREAK),
+        lambda t: F.length(t).between(max(1, shortest), longest) & ~t.startswith("_"),
     )
 
 
+def clean_tokens(c: Column) -> Column:
+    """``tokens(clean_text(c))``; white space only parts tokens, so it is not squeezed first."""
+    return tokens(F.replace(without_mail(c), F.lit("'"), F.lit("")))
+
+
 def stop_words(extra: Iterable[str] = ()) -> list[str]:
     """Spark's English list plus the caller's own words."""
     return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *extra})

@@ -11,7 +11,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.rows import each
-from ..functions.text import clean_text, tokens, without_words
+from ..functions.text import clean_tokens, without_words
 from ..session import written
 from .phrases import apply_phrases, scored_pairs
 
@@ -30,7 +30,7 @@ def prepared(
 ) -> DataFrame:
     """``key, words``: cleaned tokens without stop words, optionally with phrases merged."""
     out = docs.filter(F.length(text) > 0).select(
-        key, without_words(tokens(clean_text(F.col(text))), stop).alias("words")
+        key, without_words(clean_tokens(F.col(text)), stop).alias("words")
     )
     if phrases is not None:
         out = apply_phrases(out, key, "words", phrases)
@@ -39,7 +39,7 @@ def prepared(
 
 def learn_phrases(docs: DataFrame, text: str, **limits) -> DataFrame:
     """Phrases are learnt from tokens that still contain stop words."""
-    raw = docs.filter(F.length(text) > 0).select(tokens(clean_text(F.col(text))).alias("words"))
+    raw = docs.filter(F.length(text) > 0).select(clean_tokens(F.col(text)).alias("words"))
     return scored_pairs(raw, "words", **limits)
 
 

@@ -106,12 +106,50 @@ def lemmatize(
     ``lexicon`` has ``word, lemma, pos``; words it does not know are kept as they are.
     """
     spots = each(docs, [key], F.col(token_col), "word", at="position")
-    tagged = lookup_join(spots, lexicon.select("word", "lemma", "pos"), ["word"], "left")
-    lemma = F.coalesce("lemma", "word")
-    kept = tagged.filter(F.col("pos").isNull() | F.col("pos").isin(list(keep_pos)))
-    if stop:
-        kept = kept.filter(~lemma.isin(sorted(set(stop))))
-    return kept.select(key, "position", lemma.alias("lemma"))
+    return _tagged(spots, lexicon, keep_pos, stop).select(key, "position", "lemma")
+
+
+def _tagged(rows: DataFrame, lexicon: DataFrame, keep_pos: Sequence[str], stop: Sequence[str]) -> DataFrame:
+    """Rows of a ``word`` with the ``lemma`` of every lexicon entry that is kept, its own word without one."""
+    tagged = lookup_join(rows, lexicon.select("word", "lemma", "pos"), ["word"], "left")
+    tagged = tagged.filter(F.col("pos").isNull() | F.col("pos").isin(list(keep_pos)))
+    tagged = tagged.withColumn("lemma", F.coalesce("lemma", "word")).drop("pos")
+    return tagged.filter(~F.col("lemma").isin(sorted(set(stop)))) if stop else tagged
+
+
+def lemma_totals(
+    docs: DataFrame,
+    key: str,
+    token_col: str,
+    lexicon: DataFrame,
+    keep_pos: Sequence[str] = ("NOUN", "ADJ", "VERB", "ADV"),
+    stop: Sequence[str] = (),
+) -> DataFrame:
+    """Totals of ``lemmatize``: ``lemma, n, n_docs, places`` (``places`` sums the positions).
+
+    Words are counted before they are looked up, so one row per word and task is shuffled. Only
+    lemmas that several words or lexicon entries can give need the keys of their documents told apart; for all
+    others the documents of the word are counted. ``docs`` is read several times.
+    """
+    lexicon = written(lexicon.select("word", "lemma", "pos"), "lexicon")
+    spots = each(docs, [], F.col(token_col), "word", at="position")
+    places = spots.groupBy("word").agg(F.count("*").alias("n"), F.sum(F.col("position").cast("long")).alias("places"))
+    moved = lexicon.filter(F.col("lemma") != F.col("word"))
+    several = lexicon.groupBy("word").count().filter("count > 1")
+    shared = written(
+        moved.select("word").union(moved.select("lemma")).union(several.select("word")).distinct(), "shared-words"
+    )
+    keys = docs.agg(F.count(key), F.count_distinct(key)).first()
+    holders = each(docs, [key], F.array_distinct(token_col), "word")
+    n_docs = (F.count if keys[0] == keys[1] else F.count_distinct)(key).alias("n_docs")
+    alone = lookup_join(holders.groupBy("word").agg(n_docs), shared, ["word"], "left_anti")
+    none = F.lit(0).cast("long")
+    counts = places.withColumn("n_docs", none).unionByName(alone.withColumns({"n": none, "places": none}))
+    lemmas = _tagged(shared, lexicon, keep_pos, stop).select("word", "lemma").distinct()
+    joint = lookup_join(holders, lemmas, ["word"]).groupBy("lemma").agg(F.count_distinct(key).alias("n_docs"))
+    columns = ["lemma", "n", "n_docs", "places"]
+    every = _tagged(counts, lexicon, keep_pos, stop).select(columns).union(joint.select("lemma", none, "n_docs", none))
+    return every.groupBy("lemma").agg(*[F.sum(c).alias(c) for c in columns[1:]])
 
 
 def top_terms(docs: DataFrame, key: str, token_col: str, k: int) -> DataFrame:

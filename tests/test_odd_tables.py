@@ -6,8 +6,10 @@ from collections import Counter
 import compare
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docloom import session
+from docloom.functions import text as X
 from docloom.operators import ingest, joins, language as L, merge, nearest as K, words as W
 from docloom.plans import CATALOG
 from docloom.sources import trees
@@ -117,3 +119,34 @@ def test_field_families_are_hashed(spark):
     found = ingest.field_families(docs)
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["path"], r["family"]) for r in found.collect()} == {("a", "text"), ("o", "object"), ("o.p", "boolean"), ("z", "number")}
+
+
+def test_tokens_of_cleaned_texts(spark):
+    """Splitting the unsqueezed text gives the tokens of the cleaned one."""
+    texts = ["", None, "  ", "a@b.c", "mail me@x.org\tnow", "don't  'do' it", "É́té   Straße_x", "_a __ b_", "ΟΔΟΣ ΣΑΣ\u0085Σ",
+             "x" * 16 + " " + "y" * 15 + " z", "İstanbul K ½ Ⅷ 12ab", "tab\there\n\nthere\x1cend", "日本 ガ ガ", "me@x you 're"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cleaned = X.clean_text(F.col("t"))
+    plain = F.filter(
+        F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(cleaned), *X.accent_table()), r"\p{Mn}", ""), F.lit(X.TOKEN_PATTERN), F.lit(0)),
+        lambda t: F.length(t).between(2, 15) & ~t.startswith("_"),
+    )
+    for fast, slow in df.select(X.clean_tokens(F.col("t")), plain).collect():
+        assert fast == slow
+
+
+@pytest.mark.parametrize("bound", [joins.BROADCAST_ROWS, 1])
+def test_lemma_totals(spark, monkeypatch, bound):
+    """Repeated and null keys, words of one lemma, words with several entries, dropped parts of speech and stop words."""
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", bound, joins.SALTS))
+    entries = [("cats", "cat", "NOUN"), ("dog", "dog", "NOUN"), ("dogs", "dog", "NOUN"), ("ran", "run", "VERB"), ("ran", "run", "NOUN"),
+               ("ran", "ran", "NOUN"), ("the", "the", "DET"), ("is", "be", "VERB"), ("red", None, "ADJ"), ("hot", "hot", None)]
+    rows = [(1, "cat cats dog dogs dogs".split()), (1, "cat new new".split()), (None, "cat ran red".split()), (2, "ran run the is be hot".split()),
+            (3, []), (4, None), (5, "new dogs red red hot".split())]
+    lexicon = spark.createDataFrame(entries, "word string, lemma string, pos string")
+    for part in (rows, rows[1:]):  # with and without a repeated key
+        docs = spark.createDataFrame(part, "k long, words array<string>")
+        spots = W.lemmatize(docs, "k", "words", lexicon, stop=["be"])
+        plain = spots.groupBy("lemma").agg(F.count("*"), F.count_distinct("k"), F.sum("position"))
+        found = W.lemma_totals(docs, "k", "words", lexicon, stop=["be"]).select("lemma", "n", "n_docs", "places")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
