@@ -34,20 +34,21 @@ def scored_pairs(
     distinct words and distinct pairs. Only pairs above the support can score above zero, so
     rare pairs are dropped before the joins.
     """
-    single = F.transform(
-        F.col(token_col), lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b"))
+    # every token once, with its follower; behind the last token that is null
+    follower = F.slice(token_col, F.lit(2), F.greatest(F.size(token_col), F.lit(1)))
+    spots = each(docs, [], F.arrays_zip(F.col(token_col).alias("a"), follower.alias("b")), "p")
+    # words and pairs are counted in one pass and one shuffle
+    counts = written(spots.groupBy("p.a", "p.b").agg(F.count("*").alias("n")), "pair-counts")
+    words = written(
+        counts.groupBy("a").agg(F.sum("n").alias("n"), F.count("b").alias("pairs")), "word-counts"
     )
-    none = F.array().cast("array<struct<a:string,b:string>>")
-    both = F.concat(single, F.coalesce(neighbour_pairs(F.col(token_col)), none))
-    # words (b is null) and pairs are counted in one pass and one shuffle
-    counts = written(
-        each(docs, [], both, "p").groupBy("p.a", "p.b").agg(F.count("*").alias("n")), "pair-counts"
-    )
-    words = counts.filter(F.col("b").isNull())
-    vocabulary = counts.count()  # row counts of the files just written
+    sizes = words.agg(F.count("*"), F.sum("pairs")).first()
+    vocabulary = sizes[0] + (sizes[1] or 0)
     frequent = counts.filter(F.col("b").isNotNull() & (F.col("n") > min_count)).select(
         "a", "b", F.col("n").alias("n_ab")
     )
+    # a word is at least as frequent as its pairs
+    words = words.filter(F.col("n") > min_count)
     first = words.select("a", F.col("n").alias("n_a"))
     second = words.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
     joined = lookup_join(lookup_join(frequent, first, ["a"]), second, ["b"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import session
 from docloom.functions import text as X
-from docloom.operators import ingest, joins, language as L, merge, nearest as K, words as W
+from docloom.operators import ingest, joins, language as L, merge, nearest as K, phrases as H, words as W
 from docloom.plans import CATALOG
 from docloom.sources import trees
 
@@ -150,3 +150,14 @@ def test_lemma_totals(spark, monkeypatch, bound):
         plain = spots.groupBy("lemma").agg(F.count("*"), F.count_distinct("k"), F.sum("position"))
         found = W.lemma_totals(docs, "k", "words", lexicon, stop=["be"]).select("lemma", "n", "n_docs", "places")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_each_token_is_counted_once_for_phrases(spark, monkeypatch):
+    """Words are summed from the pairs they begin, the last token has none."""
+    kept = {}
+    monkeypatch.setattr(H, "written", lambda df, label: kept.setdefault(label, df))
+    rows = [(["a", "b", "a", "b"],), (["c"],), ([],), (None,), (["a", "b", "c"],)]
+    found = H.scored_pairs(spark.createDataFrame(rows, "w array<string>"), "w", 1, 0.0).collect()
+    assert kept["pair-counts"].agg(F.sum("n")).first()[0] == 8
+    # 3 words and the pairs ab, ba, bc
+    assert [tuple(r) for r in found] == [("a", "b", 3, 3, 3, (3 - 1) * 6 / 9)]
