@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ class Encoder:
             cuts = sorted({0, *joint, len(own)})
             texts = [b"".join(own[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:])]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            found = np.array([i for ids in made for i in ids], self.kind)
+            found = np.fromiter(chain.from_iterable(made), self.kind)
             ends = np.cumsum(self.size[found])
             borders = np.cumsum([len(p) for p in own])
             last = np.searchsorted(ends, borders)
@@ -191,33 +192,34 @@ def compressed(ids: np.ndarray, first: int, rounds: int | None = None, least: in
         bits = min(20, max(10, (2 * len(at)).bit_length()))
         slot = a * np.uint32((0x9E3779B1 + 0x3C6EF372 * k) & 0xFFFFFFFF | 1) ^ b * np.uint32((0x85EBCA6B + 0x27D4EB2E * k) & 0xFFFFFFFF | 1)
         slot ^= slot >> np.uint32(15)
-        slot = (slot * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
-        holder = np.zeros(1 << bits, np.int32)
-        holder[slot] = np.arange(len(slot), dtype=np.int32)
-        mine = holder[slot]
-        own = (a[mine] == a) & (b[mine] == b)
+        slot = ((slot * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.intp)
+        pair = a.astype(np.uint64) << np.uint64(32) | b
+        holder = np.zeros(1 << bits, np.uint64)
+        holder[slot] = pair
+        own = holder[slot] == pair
         counts = np.bincount(slot[own], minlength=1 << bits)
-        often = own & (counts[slot] >= least)
+        often = own & (counts >= least)[slot]  # a table of bytes stays in the cache
         live[at[own & ~often]] = False
         k += 1
         if not often.any():
             continue
         spots, held = at[often], slot[often]
         rank = counts[held] << 20 | held
-        less = (spots[1:] - spots[:-1] > 1) | (rank[:-1] < rank[1:])
-        more = (spots[1:] - spots[:-1] > 1) | (rank[:-1] > rank[1:])
+        apart = np.diff(spots) > 1
+        less, more = apart | (rank[:-1] < rank[1:]), apart | (rank[:-1] > rank[1:])
         taken = np.r_[True, less] & np.r_[more, True]
         where, held = spots[taken], held[taken]
         uses = np.bincount(held, minlength=1 << bits)
-        several = uses[held] >= least
+        enough = uses >= least
+        several = enough[held]
         where, held = where[several], held[several]
-        used = np.flatnonzero(uses >= least)
+        used = np.flatnonzero(enough)
         if first + len(used) > 1 << 24:  # no more rules than 3 bytes can name
             break
         rule = np.zeros(1 << bits, np.uint32)
         rule[used] = np.arange(first, first + len(used), dtype=np.uint32)
         first += len(used)
-        left.append(a[holder[used]].astype(np.int64)), right.append(b[holder[used]].astype(np.int64))
+        left.append((holder[used] >> np.uint64(32)).astype(np.int64)), right.append((holder[used] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         known = np.concatenate(size)
         length.append(known[left[-1]] + known[right[-1]])
         size = [known, length[-1]]
