@@ -88,20 +88,25 @@ class DocumentStore:
 
     # -- reading ---------------------------------------------------------------------------
 
-    def changes(self, after: int = 0) -> DataFrame:
+    def changes(self, after: int = 0, commits: list | None = None) -> DataFrame:
         """Rows of all finished batches newer than ``after``, stored and rejected."""
-        live = sorted({(c["batch"], c["run"]) for c in self._commits() if c["kind"] == "log"})
+        commits = self._commits() if commits is None else commits
+        live = sorted({(c["batch"], c["run"]) for c in commits if c["kind"] == "log"})
         paths = [f"{self.root}/log/batch={b}/run={r}" for b, r in live if b > after]
         if not paths:
             return self.spark.createDataFrame([], LOG)
         reader = self.spark.read.schema(LOG).option("basePath", f"{self.root}/log")
         return reader.parquet(*paths)
 
-    def log(self, doc_type: str = "*") -> DataFrame:
+    @staticmethod
+    def _snapshot(commits: list) -> int:
+        return max((c["batch"] for c in commits if c["kind"] == "snapshot"), default=0)
+
+    def log(self, doc_type: str = "*", commits: list | None = None) -> DataFrame:
         """Stored changes on top of the newest snapshot, without those of dropped collections."""
-        commits = self._commits()
-        snapshot = max((c["batch"] for c in commits if c["kind"] == "snapshot"), default=0)
-        rows = self.changes(after=snapshot).filter("outcome = 'stored'")
+        commits = self._commits() if commits is None else commits
+        snapshot = self._snapshot(commits)
+        rows = self.changes(snapshot, commits).filter("outcome = 'stored'")
         if snapshot:
             base = self.spark.read.schema(LOG).parquet(f"{self.root}/snapshots/{snapshot}")
             rows = base.unionByName(rows)
@@ -112,8 +117,12 @@ class DocumentStore:
         return rows
 
     def current(self, doc_type: str = "*") -> DataFrame:
-        """Live documents: ``doc_type, id, body VARIANT``."""
-        return fold_documents(self.log(doc_type), keys=("doc_type", "id"))
+        """Live documents: ``doc_type, id, body VARIANT``; a snapshot without newer batches is folded already."""
+        commits = self._commits()
+        log, snapshot = self.log(doc_type, commits), self._snapshot(commits)
+        if snapshot and not any(c["kind"] == "log" and c["batch"] > snapshot for c in commits):
+            return log.select("doc_type", "id", "body")
+        return fold_documents(log, keys=("doc_type", "id"))
 
     def view(self, doc_type: str, fields: Mapping[str, str]) -> DataFrame:
         """Typed view: ``doc_type, id`` plus the named body fields."""

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import session
+from docloom import session, store
 from docloom.functions import text as X
 from docloom.operators import ingest, joins, language as L, merge, nearest as K, phrases as H, words as W
 from docloom.plans import CATALOG
@@ -161,3 +161,23 @@ def test_each_token_is_counted_once_for_phrases(spark, monkeypatch):
     assert kept["pair-counts"].agg(F.sum("n")).first()[0] == 8
     # 3 words and the pairs ab, ba, bc
     assert [tuple(r) for r in found] == [("a", "b", 3, 3, 3, (3 - 1) * 6 / 9)]
+
+
+def test_snapshots_are_not_folded_again(spark, tmp_path):
+    """Right behind a snapshot its rows are the state, also after a drop; a newer batch is folded on top."""
+    held = store.DocumentStore(spark, str(tmp_path / "store"))
+    now = F.to_timestamp(F.lit("2024-06-01 12:00:00"))
+    rows = lambda sql: spark.sql(f"SELECT t AS doc_type, i AS id, parse_json(b) AS body FROM VALUES {sql} AS v(t, i, b)")
+    state = lambda: sorted((r["doc_type"], r["id"], r["j"]) for r in held.current().selectExpr("doc_type", "id", "to_json(body) AS j").collect())
+    folds = lambda: held.current()._jdf.queryExecution().analyzed().toString().count("Aggregate [")
+    held.put(rows("""('A', '1', '{"x":1,"o":{},"n":null}'), ('A', '1', '{"o":{"p":[1,{}]}}'), ('a', '2', '{}'), ('B', '1', '{"x":1.50}')"""), now)
+    held.delete(rows("('a', '2', 'null')"), now)
+    before = state()
+    assert folds() > 0 and [r[:2] for r in before] == [("A", "1"), ("B", "1")]
+    held.compact(now)
+    assert folds() == 0 and state() == before
+    held.drop("b")
+    assert folds() == 0 and state() == before[:1]
+    held.put(rows("""('A', '1', '{"x":2}'), ('B', '3', '{}')"""), now)
+    after = state()
+    assert folds() > 0 and [r[:2] for r in after] == [("A", "1"), ("B", "3")] and '"x":2' in after[0][2] and '"p":[1,{}]' in after[0][2]
