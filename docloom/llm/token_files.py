@@ -12,6 +12,7 @@ symbols; expansion lengths; symbols and marks. Symbols are stored by byte planes
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -24,11 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir
-from .arrays import SPACE, Spans, from_planes, gathered, planes, text_bytes
+from .arrays import SPACE, Spans, from_planes, gathered, give_back, in_small_batches, planes, text_bytes
 
 MAGIC, MARK_EVERY = b"RPG2", 1024
 #: Text bytes of a shard on average, text bytes encoded at once, and ids of a block.
 SHARD_BYTES, BATCH_BYTES, BLOCK_IDS = 16 << 20, 4 << 20, 1 << 21
+#: Places of a block that a pass looks at together, and ids read back together; it bounds what stands beside the block itself.
+STEP = 1 << 18
+#: Bytes that end neither ASCII white space nor a separator; those above ASCII are looked at further.
+SOLID = ~SPACE
+SOLID[0x1C:0x20] = False
 BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
 READ = "shard int, block int, doc long, before long, n_tokens long, ids_crc32 long"
 
@@ -40,18 +46,18 @@ def chunk_borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     splits off never reach across such a place. Bytes that could end other white space are not cut behind.
     """
     n = len(data)
-    solid = ~SPACE[data] & ((data < 0x1C) | (data > 0x1F))
-    tail = data >= 0x80
-    two = np.r_[np.uint8(0), data[:-1]] if n else data
-    three = np.r_[np.zeros(2, np.uint8), data[:-2]][:n] if n else data
-    wide = tail & (
-        ((two == 0xC2) & ((data == 0x85) | (data == 0xA0)))
+    at = np.flatnonzero(SPACE[data[1:]] & SOLID[data[:-1]]) + 1
+    tail = np.flatnonzero(data[at - 1] >= 0x80)
+    place = at[tail]
+    one, two, three = (np.where(place >= k, data[np.maximum(place - k, 0)], 0) for k in (1, 2, 3))
+    wide = (
+        ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
         | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81)))
-        | ((three == 0xE3) & (two == 0x80) & (data == 0x80))
+        | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
     )
     cut = np.zeros(n + 1, bool)
-    if n:
-        cut[1:n] = SPACE[data[1:]] & (solid & ~wide)[:-1]
+    cut[at] = True
+    cut[place[wide]] = False
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -64,10 +70,11 @@ class Encoder:
     ``<|endoftext|>`` are pieces of their own, as the tokenizer splits them off before anything else.
     """
 
-    #: Pieces remembered at most, by 64-bit hash; then the memory starts anew.
+    #: Pieces remembered at most, by 64-bit hash; then those not met again since they came, or since the last time, are forgotten.
     MOST = 1_200_000
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], np.uint32)
@@ -89,6 +96,42 @@ class Encoder:
 
     def forget(self) -> None:
         self.known, self.values, self.at = np.zeros(0, np.uint64), np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.again, self.slots = np.zeros(0, bool), np.full(1 << 16, -1, np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the pieces that were met again."""
+        kept = np.flatnonzero(self.again)
+        known, (values, at) = self.known[kept], ragged(self.values, self.at, kept)
+        self.forget()
+        self.remember(known, values, at)
+
+    def remember(self, hashes: np.ndarray, values: np.ndarray, at: np.ndarray) -> None:
+        """Add pieces that are not known: their hashes, ids and offsets of ids."""
+        had = len(self.known)
+        self.known, self.values = np.r_[self.known, hashes], np.r_[self.values, values]
+        self.at, self.again = np.r_[self.at, self.at[-1] + at[1:]], np.r_[self.again, np.zeros(len(hashes), bool)]
+        if 2 * len(self.known) > len(self.slots):  # a table of slots, at most half full
+            self.slots, had = np.full(1 << (2 * len(self.known)).bit_length(), -1, np.int32), 0
+        hashes, last = self.known[had:], np.uint64(len(self.slots) - 1)
+        slot, left = (hashes & last).astype(np.intp), np.arange(len(hashes))
+        while len(left):  # a taken slot sends on to the next one
+            free = self.slots[slot[left]] < 0
+            tried = left[free]
+            self.slots[slot[tried]] = had + tried
+            left = np.r_[left[~free], tried[self.slots[slot[tried]] != had + tried]]
+            slot[left] = slot[left] + 1 & int(last)
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known pieces, -1 for others."""
+        last = len(self.slots) - 1
+        slot = (hashes & np.uint64(last)).astype(np.intp)
+        out = self.slots[slot]
+        left = np.flatnonzero(out >= 0)
+        while len(left := left[self.known[out[left]] != hashes[left]]):
+            slot[left] = slot[left] + 1 & last
+            out[left] = self.slots[slot[left]]
+            left = left[out[left] >= 0]
+        return out
 
     def borders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces begin: at safe borders, and around added tokens but not inside them."""
@@ -127,19 +170,27 @@ class Encoder:
             out.append(found), sizes.append(np.diff(last, prepend=-1))
         return np.concatenate(out or [np.zeros(0, self.kind)]), np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, np.int64)
 
-    def learn(self, spans: Spans, distinct: np.ndarray, first: np.ndarray) -> None:
-        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(self.known) + len(new) > self.MOST and len(self.known):
-            self.forget()
-            return self.learn(spans, distinct, first)
+    def numbers(self, spans: Spans) -> np.ndarray:
+        """Numbers of all pieces; new ones are tokenized and remembered."""
+        hashes = spans.hashes[0]
+        numbers = self.found(hashes)
+        new = np.flatnonzero(numbers < 0)
+        if not len(new):
+            return numbers
+        distinct, first = np.unique(hashes[new], return_index=True)
+        if len(self.known) and len(self.known) + len(distinct) > self.MOST:
+            self.again[numbers[numbers >= 0]] = True
+            self.forget_rare()
+            if len(self.known) + len(distinct) > self.MOST:
+                self.forget()
+            return self.numbers(spans)
+        self.again[numbers[numbers >= 0]] = True
+        first = new[first]
         flat = spans.data.tobytes()
-        pieces = [flat[a:b] for a, b in zip(spans.start[first[new]].tolist(), spans.end[first[new]].tolist())]
-        values, at = self.ids(pieces)
-        keys, all_at = np.r_[self.known, distinct[new]], np.r_[self.at, self.at[-1] + at[1:]]
-        order = np.argsort(keys)
-        self.values, self.at = gathered(np.r_[self.values, values], all_at, order)
-        self.known = keys[order]
+        pieces = [flat[a:b] for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())]
+        self.remember(distinct, *self.ids(pieces))
+        numbers[new] = self.found(hashes[new])
+        return numbers
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, and the number of each text."""
@@ -147,16 +198,23 @@ class Encoder:
         border = self.borders(data, offsets)
         border = border[border < len(data)]
         spans = Spans(data, offsets, border, np.r_[border[1:], len(data)] if len(border) else border)
-        distinct, first, inverse = np.unique(spans.hashes[0], return_index=True, return_inverse=True)
-        self.learn(spans, distinct, first)
-        values, at = np.r_[self.values.astype(np.uint32), self.end], np.r_[self.at, len(self.values) + 1]
+        numbers = self.numbers(spans)
         n = len(offsets) - 1
-        chosen = np.full(len(inverse) + n, len(self.known))
+        chosen = np.full(len(numbers) + n, len(self.known), np.int32)
         inner = np.ones(len(chosen), bool)
         inner[spans.first[1:] + np.arange(n)] = False
-        chosen[inner] = np.searchsorted(self.known, distinct)[inverse]
-        out, ends = gathered(values, at, chosen)
-        return out, np.diff(ends[np.r_[0, spans.first[1:] + np.arange(1, n + 1)]])
+        chosen[inner] = numbers
+        out, ends = ragged(np.r_[self.values, self.end.astype(self.kind)], np.r_[self.at, len(self.values) + 1], chosen)
+        return out.astype(np.uint32), np.diff(ends[np.r_[0, spans.first[1:] + np.arange(1, n + 1)]])
+
+
+def ragged(values: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``gathered``, a part of the rows at a time."""
+    new = np.r_[0, np.cumsum(np.diff(offsets)[chosen])]
+    out = np.empty(new[-1], values.dtype)
+    for k in range(0, len(chosen), STEP):
+        out[new[k] : new[min(k + STEP, len(chosen))]] = gathered(values, offsets, chosen[k : k + STEP])[0]
+    return out, new
 
 
 @lru_cache(1)
@@ -165,6 +223,44 @@ def shared_encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def pairs(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs of neighbours at some places, as one number each."""
+    return symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+
+
+def places(symbols: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places that count among ``at``, every other one in a run of one symbol; slots of their pairs in round ``k``, and the bits of a slot."""
+    parts = [slice(i, i + STEP) for i in range(0, len(at), STEP)]
+    same = np.concatenate([np.flatnonzero(symbols[at[p]] == symbols[at[p] + 1]) + p.start for p in parts])
+    if len(same):
+        place = at[same]
+        begin = np.r_[True, np.diff(place) > 1]
+        odd = (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 1
+        kept = np.ones(len(at), bool)
+        kept[same[odd]] = False
+        at = at[kept]
+    bits = min(20, max(10, (2 * len(at)).bit_length()))
+    slots = np.empty(len(at), np.int32)
+    for i in range(0, len(at), STEP):
+        a, b = symbols[at[i : i + STEP]], symbols[at[i : i + STEP] + 1]
+        slot = a * np.uint32((0x9E3779B1 + 0x3C6EF372 * k) & 0xFFFFFFFF | 1) ^ b * np.uint32((0x85EBCA6B + 0x27D4EB2E * k) & 0xFFFFFFFF | 1)
+        slot ^= slot >> np.uint32(15)
+        slots[i : i + STEP] = (slot * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
+    return at, slots, bits
+
+
+def highest(spots: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which places hold a pair more frequent than those that overlap it; the slot decides between equals."""
+    taken = np.ones(len(spots), bool)
+    for i in range(0, len(spots), STEP):
+        part = slice(i, i + STEP + 1)  # one more, to look at the next part's first
+        rank = counts[held[part]].astype(np.int64) << 20 | held[part]
+        apart = np.diff(spots[part]) > 1
+        taken[i + 1 : i + len(rank)] &= apart | (rank[:-1] < rank[1:])
+        taken[i : i + len(rank) - 1] &= apart | (rank[:-1] > rank[1:])
+    return taken
+
+
 def compressed(ids: np.ndarray, first: int, rounds: int | None = None, least: int = 2):
     """Symbols and rules ``left, right, length`` after replacing pairs until none is seen ``least`` times.
 
@@ -180,39 +276,29 @@ def compressed(ids: np.ndarray, first: int, rounds: int | None = None, least: in
     live = np.ones(max(0, len(symbols) - 1), bool)  # pairs that may be frequent
     k = 0
     while (rounds is None or k < rounds) and len(at := np.flatnonzero(live)):
-        a, b = symbols[at], symbols[at + 1]
-        same = np.flatnonzero(a == b)
-        if len(same):  # every other place of a run
-            place = at[same]
-            begin = np.r_[True, np.diff(place) > 1]
-            odd = (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 1
-            kept = np.ones(len(at), bool)
-            kept[same[odd]] = False
-            at, a, b = at[kept], a[kept], b[kept]
-        bits = min(20, max(10, (2 * len(at)).bit_length()))
-        slot = a * np.uint32((0x9E3779B1 + 0x3C6EF372 * k) & 0xFFFFFFFF | 1) ^ b * np.uint32((0x85EBCA6B + 0x27D4EB2E * k) & 0xFFFFFFFF | 1)
-        slot ^= slot >> np.uint32(15)
-        slot = ((slot * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.intp)
-        pair = a.astype(np.uint64) << np.uint64(32) | b
-        holder = np.zeros(1 << bits, np.uint64)
-        holder[slot] = pair
-        own = holder[slot] == pair
-        counts = np.bincount(slot[own], minlength=1 << bits)
-        often = own & (counts >= least)[slot]  # a table of bytes stays in the cache
+        at, slots, bits = places(symbols, at.astype(np.int32), k)
+        holder, parts = np.zeros(1 << bits, np.uint64), [slice(i, i + STEP) for i in range(0, len(at), STEP)]
+        for part in parts:
+            holder[slots[part]] = pairs(symbols, at[part])
+        own = np.concatenate([holder[slots[part]] == pairs(symbols, at[part]) for part in parts])
+        counts = np.zeros(1 << bits, np.int32)
+        for part in parts:
+            np.add.at(counts, slots[part][own[part]].astype(np.intp), np.int32(1))
+        frequent = counts >= least  # a table of bytes stays in the cache
+        often = np.concatenate([own[part] & frequent[slots[part]] for part in parts])
         live[at[own & ~often]] = False
         k += 1
         if not often.any():
             continue
-        spots, held = at[often], slot[often]
-        rank = counts[held] << 20 | held
-        apart = np.diff(spots) > 1
-        less, more = apart | (rank[:-1] < rank[1:]), apart | (rank[:-1] > rank[1:])
-        taken = np.r_[True, less] & np.r_[more, True]
+        spots, held = at[often], slots[often]
+        taken = highest(spots, held, counts)
         where, held = spots[taken], held[taken]
+        del at, slots, own, often, spots, taken
         uses = np.bincount(held, minlength=1 << bits)
         enough = uses >= least
         several = enough[held]
         where, held = where[several], held[several]
+        del several
         used = np.flatnonzero(enough)
         if first + len(used) > 1 << 24:  # no more rules than 3 bytes can name
             break
@@ -294,7 +380,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     Null keys come first; rows with equal keys follow each other by text. Null texts count as empty and
     give the end id alone; an empty table gives no blocks; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def write(batches):
@@ -322,8 +408,11 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if sum(map(len, held)) >= BLOCK_IDS:
                     yield flush()
                     held, docs_held, counts, block = [], [], [], block + 1
+                    give_back()
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     dealt = rows.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc").sortWithinPartitions("doc", "text")
     return dealt.mapInArrow(write, BLOCKS)
@@ -336,7 +425,9 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = Block(batch.column("data")[k].as_py())
-                raw = block.ids().astype("<u4")
+                raw = np.empty(block.size, "<u4")
+                for a in range(0, block.size, STEP):
+                    raw[a : a + STEP] = block.ids(a, a + STEP)
                 ends = np.cumsum(block.counts)
                 crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends, block.counts)]
                 where = {c: pa.array([batch.column(c)[k].as_py()] * len(crc), pa.int32()) for c in ("shard", "block")}
@@ -344,6 +435,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     where | {"doc": pa.array(block.docs, pa.int64()), "before": pa.array(ends - block.counts),
                              "n_tokens": pa.array(block.counts), "ids_crc32": pa.array(crc, pa.int64())}
                 )
+                del block, raw
+                give_back()
 
     sizes = blocks.select("shard", "block", "n_ids")
     in_shard = sizes.withColumn("base", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))

@@ -264,6 +264,46 @@ def test_grammars_leave_no_repeated_pair(spark):
             assert (block.ids(a, a + 777) == whole[a : a + 777]).all()
 
 
+def test_grammar_needs_little_beside_its_block():
+    """Passes over a block look at a part at a time; they held some 90 bytes an id."""
+    import tracemalloc
+
+    ids = np.random.default_rng(6).zipf(1.3, 1 << 21).astype(np.uint32) % 50_000
+    tracemalloc.start()
+    symbols, left, right, _ = token_files.compressed(ids, 50_257)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(symbols) < len(ids) and len(left) == len(right) > 1000
+    assert peak < 65 * len(ids)
+
+
+def test_encoder_forgets_what_is_not_met_again(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = token_files.Encoder(path, 2)
+    monkeypatch.setattr(token_files.Encoder, "MOST", 300)
+    asked = []
+    monkeypatch.setattr(token_files.Encoder, "ids", lambda self, pieces, own=token_files.Encoder.ids: asked.extend(pieces) or own(self, pieces))
+    common = " ".join(f"common{i}" for i in range(100))
+    texts = [f"{common} " + " ".join(f"rare{k}x{i}" for i in range(90)) for k in range(12)] + [" ".join(f"many{i}" for i in range(400)), common]
+    for t in texts:
+        ids, n = encoder(pa.array([t, None]))
+        want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == [*want, 2, 2] and n.tolist() == [len(want) + 1, 1]
+    assert Counter(asked)[b" common7"] == 2  # again only after a batch that fills the memory alone
+    assert len(encoder.known) < 500
+
+
+def test_token_files_move_texts_in_small_batches(spark, docs):
+    from docloom.llm.arrays import ARROW_BYTES, ARROW_SETTING
+
+    had = spark.conf.get(ARROW_SETTING, None)
+    spark.conf.unset(ARROW_SETTING)
+    token_files.shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert spark.conf.get(ARROW_SETTING) == str(ARROW_BYTES)
+    if had is not None:
+        spark.conf.set(ARROW_SETTING, had)
+
+
 def test_quality(spark, docs, none):
     good = [(i, " ".join(f"word{(i * 7 + j) % 97}" for j in range(40)) + ".", 1) for i in range(100, 160)]
     bad = [(i, "BUY!! $$$ " * (i % 9 + 2), 0) for i in range(200, 260)]
