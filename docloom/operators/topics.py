@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.rows import each
 from ..functions.text import clean_tokens, without_words
 from ..session import written
+from .onlinelda import ChunkedModel, train_chunks
 from .phrases import apply_phrases, scored_pairs
 
 # Training defaults.
 NUM_TOPICS, SEED, PASSES, CHUNK = 10, 100, 10, 100
 WINDOW = 110
 TOP_WORDS = 20
+# Chunks of a corpus that Spark's own training is given; it scans the corpus for each, so more are trained by ``onlinelda``.
+SCANNED_CHUNKS = 10
 
 
 def prepared(
@@ -37,6 +40,15 @@ def prepared(
     return out.filter(F.size("words") > 0)
 
 
+def reread(words: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """``words`` for several readers, and whether they are a written table: those of many chunks are, so texts are cut into words once.
+
+    Spark's draws follow the parts of a table, so a corpus that it trains on stays as it is.
+    """
+    table = written(words, "topic-words")
+    return (table, True) if table.count() > SCANNED_CHUNKS * chunk else (words, False)
+
+
 def learn_phrases(docs: DataFrame, text: str, **limits) -> DataFrame:
     """Phrases are learnt from tokens that still contain stop words."""
     raw = docs.filter(F.length(text) > 0).select(clean_tokens(F.col(text)).alias("words"))
@@ -50,16 +62,21 @@ def train(
     passes: int = PASSES,
     chunk: int = CHUNK,
     vocabulary: int | None = None,
-) -> PipelineModel:
+    kept: bool = False,
+) -> PipelineModel | ChunkedModel:
     """Online LDA over the whole dictionary with learnt document concentration.
 
-    ``passes`` over the corpus in chunks of ``chunk`` documents become a sampling rate and a number of rounds;
-    both follow from these two alone. Each round scans the corpus, so a large one wants a large ``chunk``. The model is
-    ``num_topics`` times the vocabulary and lives on the driver; only an explicit ``vocabulary`` keeps just the words of most documents.
+    ``passes`` over the corpus in chunks of ``chunk`` documents. Spark's training scans the corpus for every chunk: up to
+    ``SCANNED_CHUNKS`` of them become its sampling rate and number of rounds. A larger corpus is dealt to its chunks once, and a round reads
+    one. The model is ``num_topics`` times the vocabulary and lives on the driver; only an explicit ``vocabulary`` keeps just the
+    most frequent words. ``kept``: ``words`` read a written table, which a large corpus need not be copied from.
     """
     # every round reads the corpus again: texts are cut into words once
-    words = written(words.select("words"), "lda-words")
+    if not kept or words.count() <= SCANNED_CHUNKS * chunk:
+        words = written(words.select("words"), "lda-words")
     n_docs = max(1, words.count())
+    if n_docs > SCANNED_CHUNKS * chunk:
+        return train_chunks(words.select("words"), num_topics, seed, passes, round(n_docs / chunk), vocabulary)
     size = vocabulary or max(1, each(words, [], F.array_distinct("words"), "word").distinct().count())
     rate = min(1.0, chunk / n_docs)
     return Pipeline(
@@ -77,31 +94,41 @@ def train(
     ).fit(words)
 
 
-def topic_words(model: PipelineModel, top: int = TOP_WORDS) -> DataFrame:
+def topic_words(model: PipelineModel | ChunkedModel, top: int = TOP_WORDS) -> DataFrame:
     """``topic, rank, term, weight`` of the heaviest words per topic; as many rows as topics times ``top``."""
-    vectorizer, lda = model.stages
-    names = vectorizer.vocabulary
-    rows = [
-        (r["topic"], rank, names[at], float(weight))
-        for r in lda.describeTopics(top).collect()
-        for rank, (at, weight) in enumerate(zip(r["termIndices"], r["termWeights"]))
-    ]
+    if isinstance(model, ChunkedModel):
+        rows = model.heaviest(top)
+    else:
+        vectorizer, lda = model.stages
+        names = vectorizer.vocabulary
+        rows = [
+            (r["topic"], rank, names[at], float(weight))
+            for r in lda.describeTopics(top).collect()
+            for rank, (at, weight) in enumerate(zip(r["termIndices"], r["termWeights"]))
+        ]
     return SparkSession.getActiveSession().createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
-def perplexity_bound(model: PipelineModel, words: DataFrame) -> float:
+def perplexity_bound(model: PipelineModel | ChunkedModel, words: DataFrame) -> float:
     """Per-word likelihood bound (negative; higher is better)."""
+    if isinstance(model, ChunkedModel):
+        return model.bound(words)
     vectorizer, lda = model.stages
     return -lda.logPerplexity(vectorizer.transform(words))
 
 
-def topics_for(model: PipelineModel, words: DataFrame, key: str, minimum: float = 0.01) -> DataFrame:
+def topics_for(
+    model: PipelineModel | ChunkedModel, words: DataFrame, key: str, minimum: float = 0.01
+) -> DataFrame:
     """``key, topic, weight`` for topics with at least the minimum weight."""
     from pyspark.ml.functions import vector_to_array
 
-    spread = each(
-        model.transform(words), [key], vector_to_array("topicDistribution"), "weight", at="topic"
-    )
+    if isinstance(model, ChunkedModel):
+        spread = each(model.shares(words, key, "shares"), [key], F.col("shares"), "weight", at="topic")
+    else:
+        spread = each(
+            model.transform(words), [key], vector_to_array("topicDistribution"), "weight", at="topic"
+        )
     return spread.filter(F.col("weight") >= minimum)
 
 
@@ -216,10 +243,13 @@ def coherence(
     return measured.groupBy("topic").agg(F.avg("c").alias("coherence"))
 
 
-def save_model(model: PipelineModel, root: str, name: str, instance: str, now: Column) -> DataFrame:
+def save_model(model: PipelineModel | ChunkedModel, root: str, name: str, instance: str, now: Column) -> DataFrame:
     """Write the model and return its registry document, ready for an upsert."""
     path = f"{root}/models/{name}/{instance}"
-    model.write().overwrite().save(path)
+    if isinstance(model, ChunkedModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     spark = SparkSession.getActiveSession()
     ident = hashlib.sha256(f"{name}/{instance}".encode()).hexdigest()
     return spark.range(1).select(
@@ -232,5 +262,8 @@ def save_model(model: PipelineModel, root: str, name: str, instance: str, now: C
     )
 
 
-def load_model(root: str, name: str, instance: str) -> PipelineModel:
-    return PipelineModel.load(f"{root}/models/{name}/{instance}")
+def load_model(root: str, name: str, instance: str) -> PipelineModel | ChunkedModel:
+    path, spark = f"{root}/models/{name}/{instance}", SparkSession.getActiveSession()
+    if ChunkedModel.stands_in(spark, path):
+        return ChunkedModel.load(spark, path)
+    return PipelineModel.load(path)
