@@ -90,6 +90,31 @@ def test_text_index(spark):
     assert got[0].score == pytest.approx(2 * red / math.hypot(2 * red, fox), abs=1e-6)
 
 
+def test_text_index_moves_no_postings(spark, monkeypatch):
+    """The rows of all words of all documents stay in the parts of their documents while the index is made."""
+    monkeypatch.setattr(textindex, "lookup_join", None)
+    docs = [(i, [f"w{i % 7}", f"w{i % 5}", "all"]) for i in range(100)]
+    index = textindex.TextIndex(spark.createDataFrame(docs, "k int, w array<string>").repartition(4), "k", "w")
+    assert index.postings.where("word = 'all'").count() == 100 and index.words.where("word = 'all'").first().idf == 0
+
+
+def test_text_index_of_repeated_keys(spark):
+    """Rows that share a key are one document; a null key is none."""
+    docs = [(1, ["red", "fox"]), (1, ["red", "hat"]), (2, ["red"]), (None, ["red"]), (3, ["blue"]), (4, None)]
+    index = textindex.TextIndex(spark.createDataFrame(docs, "k int, w array<string>"), "k", "w")
+    got = {r.k: r.score for r in index.search(spark.createDataFrame([(1, ["red"])], "q int, w array<string>"), "q", "w", 5).collect()}
+    red, fox = math.log(7 / 5), math.log(7 / 2)
+    assert got == {1: pytest.approx(2 * red / math.sqrt(2 * red**2 + 2 * fox**2), abs=1e-6), 2: 1.0}
+
+
+def test_queries_reach_their_cells_in_pieces(spark):
+    """A query that asks many cells becomes many rows, each with its vector: no batch holds more than its share."""
+    pivots = np.arange(3000.0).reshape(1000, 3)
+    frame = pd.DataFrame({"v": [[1.0, 2.0, 3.0]] * 500})
+    sizes = [len(f) for f in K.pieces(iter([frame, frame.iloc[:0]]), pivots)]
+    assert sum(sizes) == 500 and max(sizes) * len(pivots) <= K.HELD
+
+
 def test_bisecting_finds_the_raising_rows():
     frame = pd.DataFrame({"n": range(100), "out": None})
     calls = []
