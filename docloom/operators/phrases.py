@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rows import each
-from ..session import written
+from ..session import small_batches, written
 from .joins import lookup_join
 
+# what tasks call travels with them, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Default support and score a phrase needs.
 MIN_COUNT = 5
 THRESHOLD = 100.0
@@ -94,21 +103,44 @@ def merge_at(token_list: str, taken: str) -> Column:
     return F.when(F.size(at) > 0, F.concat(F.flatten(pieces), rest)).otherwise(words)
 
 
-def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame) -> DataFrame:
-    """Documents with ``token_col`` merged.
+def phrase_starts(docs: DataFrame, token_col: str, phrases: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the 1-based positions at which a phrase starts.
 
-    Only positions that start a phrase are shuffled back to their document, not all tokens. Rows that
-    repeat a key are told apart by their tokens.
+    Each task gets two hashes of every phrase (96 bits that a pair has to meet) and looks the pairs of a text up in its row, so no
+    position moves.
     """
-    docs = docs.withColumn("__print", F.xxhash64(token_col))
-    spots = each(docs, [key, "__print"], neighbour_pairs(F.col(token_col)), "p", at="pos").select(
-        key, "__print", (F.col("pos") + 1).alias("pos"), "p.a", "p.b")
-    hits = lookup_join(spots, phrases.select("a", "b"), ["a", "b"], "left_semi")
-    taken = hits.groupBy(key, "__print").agg(greedy_starts(F.collect_set("pos")).alias("__taken"))
-    none = F.array().cast("array<int>")
+    spark = docs.sparkSession
+    hashes = lambda a, b: (F.xxhash64(a, b), F.hash(b, a).cast("long"))
+    table = phrases.select(*[h.alias(c) for h, c in zip(hashes("a", "b"), "ab")]).distinct().toArrow()
+    order = np.argsort(table.column("a").to_numpy())
+    known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy()[order] for c in "ab"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = known.value
+        for batch in batches:
+            pairs = batch.column(batch.num_columns - 1)
+            sizes = np.nan_to_num(pairs.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = pairs.flatten()
+            at = np.searchsorted(first, flat.field("x").to_numpy())
+            at[at == len(first)] = 0
+            hit = np.flatnonzero((first[at] == flat.field("x").to_numpy()) & (second[at] == flat.field("y").to_numpy())) if len(first) else np.zeros(0, int)
+            ends = np.cumsum(sizes)
+            row = np.searchsorted(ends, hit, side="right")
+            cuts = np.searchsorted(hit, np.concatenate([[0], ends])).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(cuts), pa.array((hit - (ends - sizes)[row] + 1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], starts], names=[*batch.schema.names[:-1], name])
+
+    small_batches(spark)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    pairs = F.transform(neighbour_pairs(F.col(token_col)), lambda p: F.struct(*[h.alias(c) for h, c in zip(hashes(p["a"], p["b"]), "xy")]))
+    return docs.select("*", pairs.alias("__pairs")).mapInArrow(find, f"{kept}, {name} array<int>")
+
+
+def apply_phrases(docs: DataFrame, key: str, token_col: str, phrases: DataFrame) -> DataFrame:
+    """Documents with ``token_col`` merged, each in its row; rows may share a key."""
+    found = phrase_starts(docs, token_col, phrases, "__starts")
     return (
-        docs.join(taken, [key, "__print"], "left")
-        .withColumn("__taken", F.coalesce("__taken", none))
+        found.withColumn("__taken", greedy_starts(F.col("__starts")))
         .withColumn(token_col, merge_at(token_col, "__taken"))
-        .drop("__taken", "__print")
+        .drop("__starts", "__taken")
     )

@@ -235,6 +235,20 @@ def test_greedy_phrases(spark):
     assert got == {1: ["a_b", "c", "x", "a_b"], 2: [], 3: ["b"]}
 
 
+def test_phrases_are_merged_in_their_row(spark):
+    """No text and no position moves, whatever the number of phrases; keys may repeat or be null, texts be null or without pairs."""
+    rows = [(1, ["a", "b", "c"], "x"), (1, ["c", "a", "b"], "y"), (None, ["b", "c"], "z"), (2, None, None), (3, [], ""), (4, ["b", "a"], "w"), (5, ["c", "b", "c", "c", "b", "c"], "v")]
+    docs = spark.createDataFrame(rows, "k int, w array<string>, other string")
+    many = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), *[(f"p{i}", "q") for i in range(1000)]], "a string, b string")
+    found = phrases.apply_phrases(docs, "k", "w", many)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["k"], r["w"], r["other"]) for r in found.collect()] == [
+        (1, ["a_b", "c"], "x"), (1, ["c", "a_b"], "y"), (None, ["b_c"], "z"), (2, None, None), (3, [], ""), (4, ["b", "a"], "w"), (5, ["c", "b_c", "c", "b_c"], "v"),
+    ]
+    none = phrases.apply_phrases(docs, "k", "w", many.where("false"))
+    assert [r["w"] for r in none.collect()] == [r[1] for r in rows]
+
+
 def test_spans_have_code_point_offsets(spark):
     text = "né 12 🎉 34 Written by Gabe." + " 5" * 2500
     frame = spark.createDataFrame([(1, text)], "id int, t string")
